@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, urls
+from . import decontam, exact, langid, packing, shard, urls
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op3_url_filter": urls.op3_url_filter,
+    "op6_sharding": shard.op6_sharding,
     "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_language_id": langid.op9_language_id,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op1_decontamination": decontam.SQL,
