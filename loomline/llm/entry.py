@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, langid, packing, shard, urls
+from . import decontam, exact, langid, packing, pii, shard, urls
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op3_url_filter": urls.op3_url_filter,
+    "op5_personal_data": pii.op5_personal_data,
     "op6_sharding": shard.op6_sharding,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
