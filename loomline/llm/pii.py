@@ -227,8 +227,12 @@ def redacted(text: str, spans: list[str]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _starting(prefix: str):
+    return lambda x: x.startswith(prefix)
+
+
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
     done = found(texts(table(spark, sf_dir, "documents")))
     # the counts are those of the base spans, as base_sha256 is
-    counts = [F.size(F.filter("base", lambda x, k=k: x.startswith(k + ":"))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", _starting(k + ":"))).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return done.select("doc_id", *counts, F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
