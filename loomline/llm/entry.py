@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, langid, packing, pii, shard, urls
+from . import decontam, exact, langid, packing, pii, shard, substring, urls
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_personal_data": pii.op5_personal_data,
     "op6_sharding": shard.op6_sharding,
     "op8_exact_dedup": exact.op8_exact_dedup,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontam.SQL,
     "op3_url_filter": urls.SQL,
+    "op4_substring_dedup": substring.SQL,
     "op8_exact_dedup": exact.SQL,
 }
