@@ -53,18 +53,20 @@ class Model:
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         s = self.size = len(seen) + 1  # symbol 0: bytes that training never saw
         streams = [self.symbol[x] for x in streams]
-        self.state = np.zeros(s**order, np.int32)
         probabilities, parents = [], np.zeros(s**order, np.int64)
         lower = np.full((1, len(streams), s), 1 / s)
         total = 0
         for k in range(order + 1):
-            grams = [np.bincount(self._codes(x, k), minlength=s ** (k + 1)) for x in streams]
-            counts = np.stack([g.reshape(s**k, s) for g in grams], 1)
-            often = counts.sum((1, 2))
+            grams = [np.unique(self._codes(x, k), return_counts=True) for x in streams]
+            often = sum(np.bincount(codes // s, n, s**k) for codes, n in grams)
             ids = np.flatnonzero(often >= least) if k else np.array([0])
             if len(ids) > most_contexts:
                 ids = np.sort(ids[np.argsort(-often[ids], kind="stable")[:most_contexts]])
-            own = counts[ids].astype(float)
+            own = np.zeros((len(ids), len(streams), s))
+            for lang, (codes, n) in enumerate(grams):
+                at = np.minimum(np.searchsorted(ids, codes // s), len(ids) - 1)
+                known = ids[at] == codes // s
+                own[at[known], lang, codes[known] % s] = n[known]
             under = lower if k == 0 else np.concatenate(probabilities)[parents[ids % s ** (k - 1) if k > 1 else np.zeros(len(ids), np.int64)]]
             n, distinct = own.sum(2, keepdims=True), (own > 0).sum(2, keepdims=True)
             unseen = np.where(own > 0, 0, under)
