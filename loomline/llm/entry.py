@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, langid, packing, pii, shard, substring, urls
+from . import decontam, exact, langid, neardup, packing, pii, shard, substring, urls
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_personal_data": pii.op5_personal_data,
     "op6_sharding": shard.op6_sharding,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
@@ -18,5 +19,6 @@ ORACLES = {
     "op1_decontamination": decontam.SQL,
     "op3_url_filter": urls.SQL,
     "op4_substring_dedup": substring.SQL,
+    "op7_near_duplicates": neardup.SQL,
     "op8_exact_dedup": exact.SQL,
 }
