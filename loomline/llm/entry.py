@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, langid, neardup, packing, pii, shard, substring, urls
+from . import decontam, exact, langid, lm, neardup, packing, pii, shard, substring, urls
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_url_filter": urls.op3_url_filter,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_personal_data": pii.op5_personal_data,
