@@ -7,7 +7,7 @@ it. So the model may be larger than any machine, and a scored token costs a look
 
 Smoothing: p(w) = (c(w) + 1) / (N + V + 1); p(w | v) = (c(v w) + m p(w)) / (c(v) + m) and p(w | u v) likewise over
 p(w | v), where m = strength * c ** 0.75 + 1 of the context's count c. Texts start after two start symbols and end in an
-end symbol, a token. Contexts of over 1 / (4 shards) of all tokens are hot (at most 4 shards of them): their n-grams are
+end symbol, a token. Contexts of over 1 / shards of all tokens are hot (no more of them than shards): their n-grams are
 dealt by both words, and stop at order two.
 
 Cases: a null text counts as empty: one token, the end; a null key counts as the empty text where the training rows are
@@ -54,7 +54,7 @@ class Plan:
     def known(self, total: int, distinct: int, texts: int, top: list[tuple[int, int]]) -> None:
         """After the words are counted."""
         self.total, self.distinct, self.texts = total, distinct, texts
-        least = total / (4 << self.bits)
+        least = total / (1 << self.bits)
         self.hot = np.array(sorted([h for h, c in top if c > least] + [int(START)] * (texts > least)), U)
 
 
