@@ -1 +1 @@
-
+"""Operators over DataFrames: selection, joins, graphs, statistics, and the corpus workflow."""

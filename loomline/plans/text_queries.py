@@ -1 +1,333 @@
-"""Queries over conversations and documents."""
+"""Queries over conversations, documents, benchmark and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify as C
+from ..functions import text as T
+from ..operators import aggregates as A
+from ..operators import joins as J
+from ..operators import select as S
+from ..operators.graph import linked_by_keys
+from .registry import query
+
+#: One class for words on both sides of the comparison.
+WORD = "[\\p{L}\\p{N}_ー''’]+"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+
+
+TURNS = "turns AS (SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '')"
+ISLANDS = f"""{TURNS},
+marked AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS fresh FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS island FROM marked),
+islands AS (SELECT conv_id, CAST(island AS BIGINT) AS island, role, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS rows, min(turn) AS first, max(turn) AS last FROM numbered GROUP BY conv_id, island, role)"""
+
+
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.islands(turns(spark, sf_dir), ["conv_id"], "turn", "role", "text", T.SEPARATOR)
+
+
+@query("role_islands", f"WITH {ISLANDS} SELECT * FROM islands")
+def role_islands(spark, sf_dir):
+    return islands(spark, sf_dir)
+
+
+@query("chat_validity", """
+WITH a AS (SELECT conv_id, role, text, turn FROM conversations WHERE lower(trim(role)) IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''),
+b AS (SELECT conv_id, count(*) AS messages, arg_max(lower(trim(role)), turn) AS last_role, count(*) FILTER (lower(trim(role)) = 'user') AS users FROM a GROUP BY conv_id)
+SELECT c.conv_id, coalesce(messages, 0) AS messages, coalesce(users, 0) AS user_turns, coalesce(messages >= 2 AND last_role = 'assistant', false) AS usable
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b USING (conv_id)""")
+def chat_validity(spark, sf_dir):
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("messages")).withColumn("messages", C.clean_messages(F.col("messages")))
+    users = F.size(F.filter("messages", lambda m: m["role"] == "user")).cast("bigint")
+    return rows.select("conv_id", F.size("messages").cast("bigint").alias("messages"), users.alias("user_turns"), C.usable(F.col("messages")).alias("usable"))
+
+
+SQUASH = "lower(trim(regexp_replace({}, '[ \\t\\n\\r]+', ' ', 'g')))"
+
+
+@query("sft_examples", f"""
+WITH {ISLANDS},
+pairs AS (SELECT a.conv_id, a.island AS depth, u.text AS prompt, a.text AS response FROM islands a JOIN islands u ON u.conv_id = a.conv_id AND u.island = a.island - 1 WHERE a.role = 'assistant' AND u.role = 'user'),
+keyed AS (SELECT *, sha256({SQUASH.format('prompt')} || chr(30) || {SQUASH.format('response')}) AS fingerprint FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY depth DESC, conv_id) AS n, count(*) OVER (PARTITION BY fingerprint) AS duplicate_count FROM keyed)
+SELECT conv_id, depth, prompt, response, fingerprint, duplicate_count FROM ranked WHERE n = 1""")
+def sft_examples(spark, sf_dir):
+    """Each reply with the prompt before it; of pairs equal but for case and spacing the deepest."""
+    rows = islands(spark, sf_dir)
+    replies = rows.where("role = 'assistant'").select("conv_id", F.col("island").alias("depth"), F.col("text").alias("response"))
+    prompts = rows.where("role = 'user'").select("conv_id", (F.col("island") + 1).alias("depth"), F.col("text").alias("prompt"))
+    squash = lambda c: F.lower(F.trim(F.regexp_replace(c, "[ \t\n\r]+", " ")))
+    pairs = replies.join(prompts, ["conv_id", "depth"]).withColumn("fingerprint", F.sha2(F.concat(squash("prompt"), F.lit("\x1e"), squash("response")).cast("binary"), 256))
+    counts = pairs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("duplicate_count"))
+    best = S.best_per_key(pairs, ["fingerprint"], [F.col("depth").desc(), F.col("conv_id")])
+    return best.join(counts, "fingerprint").select("conv_id", "depth", "prompt", "response", "fingerprint", "duplicate_count")
+
+
+@query("chain_walk", """
+WITH RECURSIVE edges AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent FROM conversations),
+walk AS (SELECT id, [id] AS chain, parent AS up, 1 AS n FROM edges UNION ALL SELECT w.id, list_prepend(e.id, w.chain), e.parent, n + 1 FROM walk w JOIN edges e ON e.id = w.up WHERE n < 8 AND NOT list_contains(w.chain, e.id))
+SELECT id, CAST(max(n) AS BIGINT) AS depth, CAST(arg_max(chain[1], n) AS BIGINT) AS oldest FROM walk GROUP BY id""")
+def chain_walk(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    edges = rows.select(at.alias("id"), F.when(F.col("turn") > 0, at - 1).alias("parent"))
+    return J.chains(edges, "id", "parent", 8).select("id", F.size("chain").cast("bigint").alias("depth"), F.element_at("chain", 1).alias("oldest"))
+
+
+@query("branch_prefix", "SELECT conv_id, turn, role, CASE WHEN turn = 2 THEN 'edited' ELSE text END AS text FROM conversations WHERE turn <= 2")
+def branch_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("turn <= 2").withColumn("text", F.when(F.col("turn") == 2, "edited").otherwise(F.col("text"))).select("conv_id", "turn", "role", "text")
+
+
+@query("context_within_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS s FROM conversations) WHERE s <= 2000")
+def context_within_budget(spark, sf_dir):
+    return S.within_budget(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn").desc()], F.char_length(F.coalesce("text", F.lit(""))), 2000).select("conv_id", "turn")
+
+
+WC = f"len(regexp_extract_all(text, '{WORD}'))"
+
+
+@query("word_counts", f"SELECT doc_id, CAST({WC} AS BIGINT) AS words, CAST(least(5, {WC} // 20) AS BIGINT) AS length_bucket, {WC} <= 1 OR ({WC} <= 2 AND length(text) <= 12) AS few_words FROM documents")
+def word_counts(spark, sf_dir):
+    n = T.word_count(F.col("text")).cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("words"), F.least(F.lit(5), F.floor(n / 20)).cast("bigint").alias("length_bucket"), ((n <= 1) | ((n <= 2) & (F.char_length("text") <= 12))).alias("few_words"))
+
+
+@query("length_histogram", f"SELECT lang, least(5, {WC} // 20) AS bucket, count(*) AS documents FROM documents GROUP BY ALL")
+def length_histogram(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang", F.least(F.lit(5), F.floor(T.word_count(F.col("text")) / 20)).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("exact_dup_groups", """
+WITH g AS (SELECT sha256(text) AS fingerprint, list(doc_id ORDER BY n_chars DESC, doc_id) AS ids FROM documents GROUP BY ALL)
+SELECT fingerprint, ids[1] AS kept_id, array_to_string(ids[2:], ',') AS duplicate_ids, len(ids) AS count FROM g WHERE len(ids) > 1""")
+def exact_dup_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id")))), lambda x: x["doc_id"])
+    g = rows.groupBy("fingerprint").agg(ids.alias("ids")).where(F.size("ids") > 1)
+    return g.select("fingerprint", F.element_at("ids", 1).alias("kept_id"), F.array_join(F.slice("ids", 2, F.size("ids")).cast("array<string>"), ",").alias("duplicate_ids"), F.size("ids").cast("bigint").alias("count"))
+
+
+@query("last_by_text", "SELECT source, arg_max(doc_id, (n_chars, doc_id)) AS doc_id FROM documents GROUP BY source")
+def last_by_text(spark, sf_dir):
+    return S.best_per_key(table(spark, sf_dir, "documents"), ["source"], [F.col("n_chars").desc(), F.col("doc_id").desc()]).select("source", "doc_id")
+
+
+@query("topk_per_source", "SELECT source, doc_id, n FROM (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= CASE WHEN source IN ('src0', 'src1') THEN 4 ELSE 12 END")
+def topk_per_source(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = S.top_k_per_key(table(spark, sf_dir, "documents"), ["source"], [F.col("n_chars").desc(), F.col("doc_id")], F.when(F.col("source").isin("src0", "src1"), 4).otherwise(12))
+    return rows.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")).cast("bigint").alias("n"))
+
+
+LABELLED = "d AS (SELECT doc_id, lang, n_chars, coalesce(quality = 0, false) AS low FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+def labelled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", "n_chars", F.coalesce(F.col("quality") == 0, F.lit(False)).alias("low"))
+
+
+@query("low_info_cap", f"WITH {LABELLED}, h AS (SELECT greatest(20, CAST(floor(0.2 * greatest(1, count(*))) AS BIGINT)) AS cap FROM d WHERE NOT low) SELECT doc_id, low FROM d WHERE NOT low UNION ALL SELECT doc_id, low FROM (SELECT doc_id, low, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM d WHERE low) WHERE n <= (SELECT cap FROM h)")
+def low_info_cap(spark, sf_dir):
+    return S.capped_low(labelled(spark, sf_dir), "low", [F.col("n_chars").desc(), F.col("doc_id")]).select("doc_id", "low")
+
+
+@query("round_robin_cap", "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS n FROM documents) ORDER BY n, lang, source LIMIT 150")
+def round_robin_cap(spark, sf_dir):
+    return S.round_robin(table(spark, sf_dir, "documents"), ["lang", "source"], [F.col("n_chars").desc(), F.col("doc_id")], 150).select("doc_id", "lang", "source")
+
+
+@query("systematic_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n, count(*) OVER () AS c FROM documents) SELECT doc_id FROM r WHERE n % greatest(1, c // 40) = 0 AND n < 40 * greatest(1, c // 40)")
+def systematic_sample(spark, sf_dir):
+    return S.systematic(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], 40)
+
+
+@query("quantile_pick", "WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS n, count(*) OVER () AS c FROM documents), p AS (SELECT DISTINCT CAST(round_even(i * (c - 1) / 24.0, 0) AS BIGINT) AS n FROM range(25) t(i), (SELECT count(*) AS c FROM documents)) SELECT doc_id, n_chars FROM r JOIN p USING (n)")
+def quantile_pick(spark, sf_dir):
+    return S.quantile_rows(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.col("n_chars"), F.col("doc_id")], 25)
+
+
+HASHED = "CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) % 1000"
+SPLIT = f"CASE WHEN {HASHED} < 800 THEN 'train' WHEN {HASHED} < 900 THEN 'validation' ELSE 'test' END"
+
+
+@query("hash_split", f"SELECT doc_id, {SPLIT} AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.hash_split(F.col("doc_id").cast("string")).alias("split"))
+
+
+@query("split_leakage", f"SELECT sha256(text) AS key, count(DISTINCT {SPLIT}) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {SPLIT}) > 1")
+def split_leakage(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), S.hash_split(F.col("doc_id").cast("string")).alias("split"))
+    return S.split_overlap(rows, ["key"], "split")
+
+
+@query("leakage_prune", f"""
+WITH s AS (SELECT doc_id, sha256(text) AS k, left(text, 40) AS g, {SPLIT} AS split FROM documents),
+v AS (SELECT * FROM s WHERE split = 'validation' AND k NOT IN (SELECT k FROM s WHERE split = 'test') AND g NOT IN (SELECT g FROM s WHERE split = 'test')),
+h AS (SELECT k, g FROM v UNION ALL SELECT k, g FROM s WHERE split = 'test')
+SELECT doc_id, split FROM s WHERE split = 'train' AND k NOT IN (SELECT k FROM h) AND g NOT IN (SELECT g FROM h) UNION ALL SELECT doc_id, split FROM v UNION ALL SELECT doc_id, split FROM s WHERE split = 'test'""")
+def leakage_prune(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.substring("text", 1, 40).alias("g"), S.hash_split(F.col("doc_id").cast("string")).alias("split"))
+    test = rows.where("split = 'test'")
+    train, validation = J.pruned_splits(rows.where("split = 'train'"), rows.where("split = 'validation'"), test, ["k", "g"])
+    return train.select("doc_id", "split").unionByName(validation.select("doc_id", "split")).unionByName(test.select("doc_id", "split"))
+
+
+@query("components", """
+WITH RECURSIVE k AS (SELECT doc_id, 'a' || sha256(text) AS k FROM documents UNION SELECT doc_id, 'b' || left(text, 30) FROM documents),
+firsts AS (SELECT k, min(doc_id) AS f FROM k GROUP BY k),
+e AS (SELECT DISTINCT doc_id AS a, f AS b FROM k JOIN firsts USING (k) WHERE doc_id <> f), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS z FROM documents UNION SELECT reach.a, b.b FROM reach JOIN b ON reach.z = b.a)
+SELECT a AS doc_id, min(z) AS component FROM reach GROUP BY a""")
+def components(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.substring("text", 1, 30).alias("g"))
+    return linked_by_keys(rows, "doc_id", {"text": F.array("k"), "start": F.array("g")}).select("doc_id", "component")
+
+
+@query("prefix_split", """
+WITH g AS (SELECT source, count(*) AS n, max(doc_id) AS last FROM documents GROUP BY source),
+r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY last, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT count(*) FROM documents) AS total FROM g),
+t AS (SELECT *, least(greatest(CAST(round_even(total * 0.8, 0) AS BIGINT), 1), total - 2) AS a FROM r), u AS (SELECT *, least(greatest(CAST(round_even(total * 0.1, 0) AS BIGINT), 1), total - a - 1) AS b FROM t)
+SELECT source, n, CASE WHEN before < a THEN 'train' WHEN before < a + b THEN 'validation' ELSE 'test' END AS split FROM u""")
+def prefix_split(spark, sf_dir):
+    groups = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+    return S.prefix_split(groups, [F.col("last"), F.col("source")], "n").select("source", "n", "split")
+
+
+@query("ngram_cosine", """
+WITH t AS (SELECT lang, substr(text, 1, 400) AS x FROM documents), g AS (SELECT lang, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS g FROM t WHERE length(x) >= 4),
+c AS (SELECT lang, g, CAST(count(*) AS DOUBLE) AS c FROM g GROUP BY ALL), n AS (SELECT lang, sqrt(sum(c * c)) AS n FROM c GROUP BY lang),
+d AS (SELECT a.lang AS a, b.lang AS b, sum(a.c * b.c) AS d FROM c a JOIN c b ON a.g = b.g AND a.lang < b.lang GROUP BY ALL)
+SELECT a, b, round(d / (na.n * nb.n), 9) AS cosine FROM d JOIN n na ON na.lang = a JOIN n nb ON nb.lang = b""")
+def ngram_cosine(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.substring("text", 1, 400).alias("x")).where(F.char_length("x") >= 4)
+    return A.ngram_cosine(rows, "lang", F.col("x")).select("a", "b", F.round("cosine", 9).alias("cosine"))
+
+
+@query("nearest_other", """
+WITH g AS (SELECT source, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS g FROM (SELECT source, substr(text, 1, 200) AS x FROM documents) WHERE length(x) >= 4),
+c AS (SELECT source, g, CAST(count(*) AS DOUBLE) AS c FROM g GROUP BY ALL), n AS (SELECT source, sqrt(sum(c * c)) AS n FROM c GROUP BY source),
+d AS (SELECT a.source AS a, b.source AS b, sum(a.c * b.c) AS d FROM c a JOIN c b ON a.g = b.g AND a.source <> b.source GROUP BY ALL)
+SELECT a AS source, round(max(d / (na.n * nb.n)), 9) AS nearest FROM d JOIN n na ON na.source = a JOIN n nb ON nb.source = b GROUP BY a""")
+def nearest_other(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 200).alias("x")).where(F.char_length("x") >= 4)
+    return A.nearest_other(A.ngram_cosine(rows, "source", F.col("x")), rows, "source").select("source", F.round("nearest", 9).alias("nearest"))
+
+
+COUNT = "CAST(len(regexp_extract_all(text, '{}')) AS DOUBLE)"
+
+
+@query("style_features", f"""
+SELECT doc_id, round({COUNT.format('!')} / greatest(1, length(text)), 9) AS exclamations, round({COUNT.format('[?]')} / greatest(1, length(text)), 9) AS questions, round({COUNT.format('[.]')} / greatest(1, length(text)), 9) AS stops,
+round({COUNT.format('[0-9]')} / greatest(1, length(text)), 9) AS digits, round({COUNT.format(chr(92) + 'p{Lu}')} / greatest(1, {COUNT.format(chr(92) + 'p{L}')}), 9) AS capitals FROM documents""".replace("\\p{Lu}", "\\p{Lu}"))
+def style_features(spark, sf_dir):
+    v = T.style(F.col("text"))
+    at = lambda i, name: F.round(v[i], 9).alias(name)
+    return table(spark, sf_dir, "documents").select("doc_id", at(1, "exclamations"), at(2, "questions"), at(3, "stops"), at(7, "digits"), at(5, "capitals"))
+
+
+GENERIC = ("worthless", "pathetic", "token = ")
+
+
+@query("regex_markers", "SELECT doc_id, " + " + ".join(f"CAST(regexp_matches(text, '(?i){p}') AS BIGINT)" for p in GENERIC) + " AS markers FROM documents")
+def regex_markers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(C.pattern_hits(F.col("text"), GENERIC)).cast("bigint").alias("markers"))
+
+
+@query("text_class", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS (SELECT *, CASE WHEN contains(x, chr(65533)) THEN 100 ELSE len(regexp_extract_all(x, 'ÔÇ')) + len(regexp_extract_all(x, 'Ã')) + len(regexp_extract_all(x, 'Â')) + len(regexp_extract_all(x, 'â€™')) + len(regexp_extract_all(x, 'â€œ')) + len(regexp_extract_all(x, 'â€')) + len(regexp_extract_all(x, 'Ń')) + len(regexp_extract_all(x, 'ň')) + len(regexp_extract_all(x, '╣')) + len(regexp_extract_all(x, '▒')) + len(regexp_extract_all(x, '▓')) END AS bad FROM t)
+SELECT doc_id, CAST(bad AS BIGINT) AS mojibake, CASE WHEN bad >= 3 THEN 'unintelligible' WHEN x = '' THEN 'empty' WHEN regexp_matches(regexp_replace(regexp_replace(x, '<LINK(:[^>]+)?>', ' ', 'g'), '(^|[^\p{L}\p{N}_@])@[A-Za-z0-9_]{1,50}', '\1 ', 'g'), '[\p{L}\p{N}]') THEN 'substantive' ELSE 'other' END AS class FROM m""")
+def text_class(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", C.mojibake(F.coalesce("text", F.lit(""))).cast("bigint").alias("mojibake"), C.text_class(F.col("text"), F.lit(False)).alias("class"))
+    return rows.withColumn("class", F.when(F.col("class").isin("unintelligible", "empty", "substantive"), F.col("class")).otherwise("other"))
+
+
+@query("mention_tokens", r"SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}_@])@([A-Za-z0-9_]{1,50})', '\1<USER>', 'g') AS portable FROM documents WHERE contains(text, '@')")
+def mention_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", F.regexp_replace("text", T.MENTION, "<USER>").alias("portable"))
+
+
+@query("slugs", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS slug, regexp_replace(lower(source || '-' || lang), '[^a-z0-9]', '', 'g') AS code, regexp_replace(source || '/' || lang, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"), T.code(F.concat("source", F.lit("-"), "lang")).alias("code"), T.safe_name(F.concat("source", F.lit("/"), "lang")).alias("name"))
+
+
+@query("stable_seeds", "SELECT doc_id, CAST(('0x' || substr(sha256(source || '::' || lang || '::' || doc_id), 1, 8)) AS BIGINT) % 2000000000 + 1 AS seed FROM documents")
+def stable_seeds(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.stable_seed(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("seed"))
+
+
+@query("secret_scan", r"SELECT doc_id, regexp_matches(text, '(gh[pousr]_|github_pat_)[A-Za-z0-9_]{30,}|-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----|(auth_token|ct0)\s*=\s*[A-Fa-f0-9]{32,}') AS secret, regexp_matches(text, '([A-Za-z]:[\\/]+Users[\\/]+|/home/|/Users/)[A-Za-z0-9_.-]+') AS user_path FROM documents")
+def secret_scan(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(C.SECRET).alias("secret"), F.col("text").rlike(C.USER_PATH).alias("user_path"))
+
+
+@query("quality_scores", f"""
+WITH b AS (SELECT doc_id, CAST({WC} AS BIGINT) AS w, doc_id % 4 AS depth, CASE doc_id % 3 WHEN 0 THEN 'external_reply_multiturn' WHEN 1 THEN 'quote_commentary' ELSE 'external_reply_oneshot' END AS task, length(text) AS n FROM documents),
+l AS (SELECT *, w <= 1 OR (w <= 2 AND n <= 12) AS low FROM b)
+SELECT doc_id, round(greatest(0.05, (1.0 + CASE task WHEN 'external_reply_multiturn' THEN 0.40 WHEN 'quote_commentary' THEN 0.25 ELSE 0 END + CASE WHEN depth >= 2 THEN least(0.35, 0.12 * (depth - 1)) ELSE 0 END + CASE WHEN w BETWEEN 4 AND 100 THEN 0.25 WHEN w > 180 THEN -0.2 ELSE 0 END + CASE WHEN w BETWEEN 4 AND 180 THEN 0.15 ELSE 0 END) * CASE WHEN low AND depth <= 1 THEN 0.38 WHEN low THEN 0.62 ELSE 1 END)::DOUBLE, 6) AS quality FROM l""")
+def quality_scores(spark, sf_dir):
+    words, depth = T.word_count(F.col("text")), F.col("doc_id") % 4
+    task = F.when(F.col("doc_id") % 3 == 0, "external_reply_multiturn").when(F.col("doc_id") % 3 == 1, "quote_commentary").otherwise("external_reply_oneshot")
+    low = (words <= 1) | ((words <= 2) & (F.char_length("text") <= 12))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(C.quality(task, depth, words, words, F.lit(False), low), 6).alias("quality"))
+
+
+@query("schedules", "SELECT source, count(*) AS n, CASE WHEN count(*) < 180 THEN 120 WHEN count(*) < 320 THEN 140 WHEN count(*) < 550 THEN 160 WHEN count(*) < 900 THEN 180 ELSE 200 END AS steps FROM documents GROUP BY source")
+def schedules(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("steps", T.training_steps(F.col("n")))
+
+
+@query("split_statistics", f"SELECT {SPLIT} AS split, count(*) AS rows, count(*) FILTER ({WC} <= 1) AS low_information, CAST(median({WC}) AS DOUBLE) AS median_words FROM documents GROUP BY 1")
+def split_statistics(spark, sf_dir):
+    words = T.word_count(F.col("text"))
+    rows = table(spark, sf_dir, "documents").withColumn("split", S.hash_split(F.col("doc_id").cast("string")))
+    return A.split_statistics(rows, "split", words, words <= 1, "lang").select("split", "rows", "low_information", F.col("median_words").cast("double").alias("median_words"))
+
+
+@query("link_hosts", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www[.]', '') AS host, '<LINK:' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www[.]', '') || '>' AS marker FROM pages")
+def link_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"), T.link_marker(F.col("url")).alias("marker"))
+
+
+@query("public_urls")
+def public_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.public_url(F.col("url")).alias("public"))
+
+
+@query("html_text")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.transport_text(F.col("html"), F.array().cast("array<string>")).alias("text"))
+
+
+@query("lexical_screen")
+def lexical_screen(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.screened(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query("phase_split")
+def phase_split(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.phases(F.coalesce("text", F.lit(""))).alias("p")).select("conv_id", "turn", "p.reasoning_text", "p.answer_text", "p.phase", "p.reasoning_unclosed")
+
+
+@query("matching_ratio")
+def matching_ratio(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL")
+    return rows.select("conv_id", "turn", F.round(T.matching_ratio(F.col("text"), F.col("before")), 9).alias("ratio"))
