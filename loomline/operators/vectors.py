@@ -76,11 +76,11 @@ def area(y: np.ndarray, score: np.ndarray) -> float:
 
 def auc(rows: DataFrame, keys: Sequence[str], score: str, label: Column) -> DataFrame:
     """Per key the area under the ROC curve from mean ranks: scores are counted first, so a tie is one row."""
-    tied = rows.withColumn("_y", label.cast("int")).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tied.withColumn("rank", before + (F.col("n") + 1) / 2)
-    out = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return out.select(*keys, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("auc"))
+    tied = rows.withColumn("_y", label.cast("int")).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_p"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = tied.withColumn("_rank", before + (F.col("_n") + 1) / 2)
+    out = ranked.groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_p")).alias("_r"), F.sum("_p").alias("_a"), F.sum("_n").alias("_b"))
+    return out.select(*keys, ((F.col("_r") - F.col("_a") * (F.col("_a") + 1) / 2) / F.nullif(F.col("_a") * (F.col("_b") - F.col("_a")), F.lit(0))).alias("auc"))
 
 
 def auc_interval(rows: DataFrame, keys: Sequence[str], score: str, label: str, draws: int = 500, seed: int = 42) -> DataFrame:

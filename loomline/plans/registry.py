@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return held
 
 
-from . import text_queries  # noqa: E402,F401
+from . import table_queries, text_queries  # noqa: E402,F401
