@@ -189,7 +189,7 @@ def _finish(plan: Plan, texts_too: bool):
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 20, texts: bool = True, cells: int = 4, block_bytes: int = 16 << 20, shard_bits: int = 24) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (or, without texts, kept_sha256) for each row of docs."""
     plan = Plan(n, B.text_bytes(docs, text), cells, shard_bits)
-    made = written(B.made(docs, key, text, block_bytes), "substring")
+    made = written(B.made(docs, key, text, block_bytes, level=9), "substring")
     repeated = written(B.gathered(B.each(made, _sketch(plan)), _merge(plan)), "substring")
     earlier = B.gathered(B.gathered(made.unionByName(repeated), _ask(plan)), _first)
     return B.gathered(made.unionByName(repeated).unionByName(earlier), _finish(plan, texts), f"doc_id bigint, n_words bigint, n_removed bigint, {'kept_text' if texts else 'kept_sha256'} string")
