@@ -7,11 +7,11 @@ one branch of a node on average, sets of less fewer, so nodes get small with dep
 grows with the trees to the target recall. Nodes above `node_rows` branch on; the members of small nodes are compared
 exhaustively by signature, and the pairs that pass are confirmed on the full shingle sets.
 
-A node of many alike members would give all their pairs. It gives the links of a spanning forest instead; when those are
-confirmed and components known, its members of different components are compared again and every pair that passes is
-confirmed. So no link that would join two components is skipped. Nodes that stay large are compared in cells: in the
-first round with the node's first member in each cell, in the second each cell of the largest component's members with
-all other members, again in cells.
+A node of many alike members would give all their pairs. It gives the links of a spanning forest instead, the likeliest
+first; when those are confirmed and components known, its members outside its largest component are held against all its
+members on the full sets, which travel with the members, not with pairs. So no link that would join two components is
+skipped, and rows grow with members. Nodes that stay large are compared in cells: in the first round with the node's
+first member in each cell, in the second each cell of the largest component's members with all others, in cells too.
 
 Cases: a null or empty text has an empty set and is linked with nothing; texts with fewer words than a shingle have one
 shingle, the whole sequence; rows with a null key are linked with nothing, have no component and are kept; rows of the
@@ -94,16 +94,17 @@ class Links:
         return i != j
 
 
-def alike(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j of rows that agree in `least` places."""
-    out_i, out_j = [], []
+def alike(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs i < j of rows that agree in `least` places, and in how many."""
+    out_i, out_j, places = [], [], []
     for i in range(0, len(tokens), 64):
         same = (tokens[i : i + 64, None, :] == tokens[None, i:, :]).sum(2, dtype=np.int16)
         a, b = np.nonzero(same >= least)
         ok = b > a
         out_i.append(a[ok] + i)
         out_j.append(b[ok] + i)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64),) * 2
+        places.append(same[a[ok], b[ok]])
+    return (np.concatenate(out_i), np.concatenate(out_j), np.concatenate(places)) if out_i else (np.zeros(0, np.int64),) * 3
 
 
 def _tokens(blobs: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -113,7 +114,7 @@ def _tokens(blobs: pa.ChunkedArray, kind: str) -> np.ndarray:
 class Join:
     def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int, trees: int, depth: int, node_rows: int):
         self.docs, self.n, self.percent, self.trees, self.depth, self.node_rows = only_texts(docs, key, text), n, percent, trees, depth, node_rows
-        self.spark, self.similarity = docs.sparkSession, percent / 100
+        self.similarity, self.cell_rows = percent / 100, 8 * node_rows
         # four standard deviations of the share of agreeing places
         self.least = int(PLACES * (self.similarity - 4 * (self.similarity * (1 - self.similarity) / PLACES) ** 0.5))
 
@@ -166,20 +167,18 @@ class Join:
         more = more.join(more.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node")
         return written(found.where(F.col("size") <= self.node_rows).unionByName(more).join(sets.select("set", "sign"), "set"), "neardup")
 
-    def compared(self, cells: DataFrame, forest: bool) -> DataFrame:
-        """Pairs (a, b) of members alike in a cell (node, cell, set, sign, label), labels differing; with forest, at most a spanning forest of them where there are many, and a row (node, null, null) that says so."""
+    def compared(self, cells: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members alike in a cell (node, cell, set, sign, label); where there are many, only a spanning forest of the likeliest, and a row (node, null, null) that says so."""
         least = self.least
 
         def run(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by("set")
-            ids, labels, node = rows["set"].to_pylist(), rows["label"].to_pylist(), rows["node"][0].as_py()
-            number = {x: k for k, x in enumerate(dict.fromkeys(labels))}
-            own = np.array([number[x] for x in labels])
-            i, j = alike(_tokens(rows["sign"], "<u2").astype(np.uint8), least) if len(number) > 1 else (np.zeros(0, np.int64),) * 2
-            other = own[i] != own[j]
-            i, j, whole = i[other], j[other], True
-            if forest and len(i) > 2 * len(ids):
+            ids, node, whole = rows["set"].to_pylist(), rows["node"][0].as_py(), True
+            i, j, places = alike(_tokens(rows["sign"], "<u2").astype(np.uint8), least)
+            if len(i) > 2 * len(ids):
                 links = Links(len(ids))
+                most = np.argsort(-places.astype(int), kind="stable")  # the likeliest links first
+                i, j = i[most], j[most]
                 pairs = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if links.join(a, b)]
                 whole = False
             else:
@@ -191,10 +190,10 @@ class Join:
 
         return cells.groupBy("node", "cell").applyInArrow(run, "node bigint, a binary, b binary")
 
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those of full sets that are similar enough."""
-        n, percent = self.n, self.percent
-        need = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets.select("set", "rep"), "set")
+    def bodies(self, need: DataFrame, sets: DataFrame) -> DataFrame:
+        """(set, words) of the sets wanted: the text, packed, of a document of each."""
+        n = self.n
+        need = need.join(sets.select("set", "rep"), "set")
 
         def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -202,31 +201,60 @@ class Join:
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(found, n)]
                 yield pa.record_batch({"set": batch.column(0), "own": pa.array(ids, pa.binary()), "words": pa.array([zstandard.compress(t, 3) for t in found], pa.binary())})
 
-        bodies = self.docs.join(need, self.docs["doc_id"] == need["rep"]).select("set", "text").mapInArrow(squeezed, "set binary, own binary, words binary")
-        bodies = written(bodies.where("set = own").dropDuplicates(["set"]).select("set", "words"), "neardup")  # one key can have several texts
+        found = self.docs.join(need, self.docs["doc_id"] == need["rep"]).select("set", "text").mapInArrow(squeezed, "set binary, own binary, words binary")
+        return written(found.where("set = own").dropDuplicates(["set"]).select("set", "words"), "neardup")  # one key can have several texts
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those of full sets that are similar enough."""
+        n, percent = self.n, self.percent
+        bodies = self.bodies(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), sets)
         rows = pairs.join(bodies.select(F.col("set").alias("b"), F.col("words").alias("right")), "b").join(bodies.select(F.col("set").alias("a"), F.col("words").alias("left")), "a")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: tuple = (None, None)
             for batch in batches:
                 ok = []
-                sides = []
-                for k, name in enumerate(("left", "right")):
-                    sides.append(batch.column(batch.schema.get_field_index(name)))
-                names = batch.column(batch.schema.get_field_index("a")).to_pylist()
-                for r, a in enumerate(names):
+                for a, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                     if held[0] != a:
-                        held = (a, next(shingle_sets([zstandard.decompress(sides[0][r].as_py())], n)))
-                    other = next(shingle_sets([zstandard.decompress(sides[1][r].as_py())], n))
+                        held = (a, next(shingle_sets([zstandard.decompress(left.as_py())], n)))
+                    other = next(shingle_sets([zstandard.decompress(right.as_py())], n))
                     both = len(np.intersect1d(held[1], other, assume_unique=True))
                     ok.append(100 * both >= percent * (len(held[1]) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return rows.select("a", "b", "left", "right").mapInArrow(check, "a binary, b binary")
 
+    def settled(self, cells: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b): a spanning forest of the links of full sets between members of different labels of each cell.
+
+        Every member that is not of the cell's most common label is held against all members, on full sets.
+        """
+        n, percent = self.n, self.percent
+        rows = cells.join(self.bodies(cells.select("set").distinct(), sets), "set").select("node", "cell", "set", "label", "words")
+
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("set")
+            ids = rows["set"].to_pylist()
+            _, own = np.unique(np.array(rows["label"].to_pylist(), dtype=object), return_inverse=True)
+            found = list(shingle_sets([zstandard.decompress(w.as_py()) for w in rows["words"]], n))
+            size = np.array([len(s) for s in found])
+            seen, flat = np.unique(np.concatenate(found), return_inverse=True)
+            starts, mark, links, pairs = np.cumsum(size) - size, np.zeros(len(seen), bool), Links(len(ids)), []
+            for i in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
+                at = flat[starts[i] : starts[i] + size[i]]
+                mark[at] = True
+                both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+                mark[at] = False
+                alike = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (own != own[i]))
+                pairs += [(ids[min(i, j)], ids[max(i, j)]) for j in alike.tolist() if links.join(i, j)]
+            return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+
+        return rows.groupBy("node", "cell").applyInArrow(run, "a binary, b binary")
+
     def cells(self, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
         """(node, cell, set, sign, label): small nodes are one cell, large ones several."""
-        count = F.ceil(F.col("size") / self.node_rows).cast("bigint")
+        most = self.node_rows if labels is None else self.cell_rows
+        count = F.ceil(F.col("size") / most).cast("bigint")
         own = F.pmod(F.xxhash64("set"), count)
         if labels is None:
             rows = nodes.withColumn("label", F.col("set"))
@@ -236,7 +264,7 @@ class Join:
         rows = written(nodes.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "neardup")
         by = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).where("most.n < all")
         rows = rows.join(by.select("node", F.col("most.label").alias("main"), (F.col("all") - F.col("most.n")).alias("others")), "node")
-        wide = F.ceil(F.col("others") / self.node_rows).cast("bigint")
+        wide = F.ceil(F.col("others") / most).cast("bigint")
         side = F.pmod(F.xxhash64("set", F.lit(1)), wide)
         # main members take a row of cells, others a column of them and, to meet each other, a row too
         main = rows.where("label = main").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), wide - 1), lambda j: own * wide + j)))
@@ -250,15 +278,14 @@ class Join:
         linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         sets = written(linked.groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("sign").alias("sign")), "neardup")
         nodes = self.nodes(sets)
-        found = written(self.compared(self.cells(nodes, None), True), "neardup")
+        found = written(self.compared(self.cells(nodes, None)), "neardup")
         pairs = written(found.where("a IS NOT NULL").select("a", "b").distinct(), "neardup")
         links = written(self.confirmed(pairs, sets), "neardup")
         labels = written(components(links), "neardup")
         again = nodes.join(found.where("a IS NULL").select("node").unionByName(nodes.where(F.col("size") > self.node_rows).select("node")).distinct(), "node", "left_semi")
-        rest = written(self.compared(self.cells(again, labels), False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "neardup")
+        rest = written(self.settled(self.cells(again, labels), sets).distinct(), "neardup")
         if not rest.isEmpty():
-            links = written(links.unionByName(self.confirmed(rest, sets)), "neardup")
-            labels = written(components(links), "neardup")
+            labels = written(components(links.unionByName(rest)), "neardup")
         labelled = sets.select("set", "rep").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
         least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
         parts = written(labelled.join(least, "label").select("set", "component_id"), "neardup")
