@@ -29,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..scratch import written
-from .components import components
 from .frames import col, fresh, table
 from .frames import texts as only_texts
 from .words import SPACED_LOWER, U, Words, binary, chunks, mix, rolling
