@@ -34,7 +34,7 @@ from .words import SPACED_LOWER, U, Words, chunks, mix
 
 WORDS, COUNTS, STATS, GRAMS, SCORES, MODEL = 1, 2, 3, 4, 5, 6
 START, NONE, END = U(0), U(1), U(2)
-UNIT = 1000  # answers are log10 p in thousandths
+UNIT = 250  # answers are -log10 p in steps of 1 / 250
 SCHEMA = "doc_id bigint, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -49,13 +49,18 @@ class Plan:
         self.train, self.strength = train, strength
         self.bits = max(3, int(np.ceil(np.log2(max(1, tokens / shard_tokens)))))
         self.total = self.distinct = self.texts = 0
-        self.hot = np.zeros(0, U)
+        self.hot, self.first = np.zeros(0, U), np.zeros(1 << self.bits, U)
 
-    def known(self, total: int, distinct: int, texts: int, top: list[tuple[int, int]]) -> None:
-        """After the words are counted."""
-        self.total, self.distinct, self.texts = total, distinct, texts
-        least = total / (1 << self.bits)
-        self.hot = np.array(sorted([h for h, c in top if c > least] + [int(START)] * (texts > least)), U)
+    def known(self, counted: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """After the words are counted: of each word shard its sums and its largest counts with their words' places."""
+        sums = np.sum([x for _, x, _, _ in counted], axis=0) if counted else np.zeros(4, np.int64)
+        self.total, self.distinct, self.texts = int(sums[0]), int(sums[1]), int(sums[2])
+        for shard, x, _, _ in counted:
+            self.first[shard] = x[3]
+        self.first = np.cumsum(self.first) - self.first + U(2)  # a word's number: numbers before its shard, then its place in it
+        least = self.total / (1 << self.bits)
+        hot = [int(self.first[shard]) + int(k) for shard, _, place, n in counted for k, c in zip(place, n) if c > least]
+        self.hot = np.array(sorted(hot + [int(START)] * (self.texts > least)), U)
 
 
 def _tokens(plan: Plan, blob: bytes) -> tuple:
@@ -102,23 +107,26 @@ def _count_words(plan: Plan):
         for h, (_, count) in zip(hashes, parts):
             total[np.searchsorted(words, h)] += count
         for (block, _), h in zip(by[WORDS], hashes):
-            yield block, COUNTS, dest, B.pack(total[np.searchsorted(words, h)].astype(np.uint64))
-        top = np.argsort(-total, kind="stable")[: 4 << plan.bits]
+            place = np.searchsorted(words, h)
+            yield block, COUNTS, dest, B.pack(B.steps(place.astype(U)), total[place].astype(U))
+        top = np.argsort(-total, kind="stable")[: 1 << plan.bits]
         ends = int(total[0]) if len(words) and words[0] == END else 0
-        yield -1, STATS, dest, B.pack(np.array([total.sum(), (total > 0).sum(), ends], np.int64), words[top], total[top])
+        yield -1, STATS, dest, B.pack(np.array([total.sum(), (total > 0).sum(), ends, len(words)], np.int64), top.astype(np.int64), total[top])
 
     return run
 
 
 class _Block:
-    """The n-grams of a block: vocabulary and its counts, distinct triples ordered by shard, and the triple of each token."""
+    """The n-grams of a block: numbers of its words and their counts, distinct triples ordered by shard, and the triple of each token."""
 
     def __init__(self, plan: Plan, by: dict):
         self.ids, self.train, tokens, self.text = _tokens(plan, by[B.DOCS][0][1])
         words, w = np.unique(tokens, return_inverse=True)
-        counts = np.concatenate([B.unpack(blob)[0] for _, blob in by[COUNTS]])
+        told = [(plan.first[shard], *B.unpack(blob)) for shard, blob in by[COUNTS]]
+        counts = np.concatenate([n for _, _, n in told])
         self.token_counts = counts[w].astype(np.int64)
-        self.words, self.counts = np.concatenate([[START, NONE], words]), np.concatenate([np.array([plan.texts, 0], U), counts])
+        self.words = np.concatenate([[START, NONE], *[first + np.cumsum(step, dtype=U) for first, step, _ in told]])
+        self.counts = np.concatenate([np.array([plan.texts, 0], U), counts])
         w = w.astype(np.int64) + 2
         first = np.ones(len(w), bool)
         first[1:] = self.text[1:] != self.text[:-1]
@@ -220,18 +228,12 @@ def _finish(plan: Plan):
     return run
 
 
-def scored(docs: DataFrame, train: Callable[[int | None], bool], key: str = "doc_id", text: str = "text", strength: float = 2.0, block_bytes: int = 16 << 20, shard_tokens: int = 2_500_000) -> tuple[DataFrame, Plan]:
+def scored(docs: DataFrame, train: Callable[[int | None], bool], key: str = "doc_id", text: str = "text", strength: float = 2.0, block_bytes: int = 12 << 20, shard_tokens: int = 1_000_000) -> tuple[DataFrame, Plan]:
     """doc_id, trained, n_tokens, n_known, base_score and score for each row of docs, and the plan with N (total) and V (distinct)."""
     plan = Plan(B.text_bytes(docs, text), train, strength, shard_tokens)
     made = written(B.made(docs, key, text, block_bytes, level=9), "lm")
     counts = written(B.gathered(B.each(made, _ask_words(plan)), _count_words(plan)), "lm")
-    total = distinct = texts = 0
-    top: list[tuple[int, int]] = []
-    for r in counts.where(F.col("kind") == STATS).toLocalIterator():
-        sums, words, n = B.unpack(r["blob"])
-        total, distinct, texts = total + int(sums[0]), distinct + int(sums[1]), texts + int(sums[2])
-        top = sorted([*top, *zip(words.tolist(), n.tolist())], key=lambda x: -x[1])[: 4 << plan.bits]
-    plan.known(total, distinct, texts, top)
+    plan.known([(r["part"], *B.unpack(r["blob"])) for r in counts.where(F.col("kind") == STATS).collect()])  # a row a shard
     known = made.unionByName(counts.where(F.col("kind") == COUNTS))
     scores = B.gathered(B.gathered(known, _ask_grams(plan)), _score_grams(plan))
     return B.gathered(known.unionByName(scores), _finish(plan), SCHEMA), plan
