@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import small_batches
 from .frames import texts as only_texts
 from .words import binary
 
@@ -55,6 +56,8 @@ def batch(rows: list[Row]) -> pa.RecordBatch:
 def made(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, level: int = 3) -> DataFrame:
     """A row for each block of docs: its own number as dest and part, and the packed (keys, texts)."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, keys, texts = TaskContext.get().partitionId() << 32, 0, [], []
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import written
-from .frames import col, fresh, table
+from .frames import col, fresh, small_batches, table
 from .words import ALNUM_LOWER, U, Words, binary, chunks, rolling, window_starts
 
 BITS = 20
@@ -90,6 +90,7 @@ def _runs(flags: np.ndarray) -> np.ndarray:
 
 def scanned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 64 << 20) -> tuple[DataFrame, list[str]]:
     """docs with n_words, hits (starts and ends of runs of hit words, flat) and items (ids); the names clash with no column."""
+    small_batches(docs.sparkSession)
     names = fresh(docs.columns, "n_words", "hits", "items")
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))])
     done = docs.withColumn(names[0], F.lit(0).cast("bigint")).withColumn(names[1], F.array().cast("array<int>")).withColumn(names[2], F.array().cast("array<string>"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import written
-from .frames import col, crc_mod, fresh, past_side, table
+from .frames import col, crc_mod, fresh, past_side, small_batches, table
 from .words import U, mix
 
 GAMMA, LEVELS = 2.0, 40
@@ -140,6 +140,7 @@ def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", historical
     texts the row of the largest key stays, from either side. A digest with over 1 / hot_parts of all rows is hot:
     there are at most hot_parts of those, which go to all tasks, so that their rows need no common bucket.
     """
+    small_batches(docs.sparkSession)
     names = fresh(docs.columns, "digest", "keep_id", "group_size", "kept", "bucket", "blob", "here")
     digest, keep, size, kept, bucket, blob, here = names
     old = crc_mod(col(key), 2) == 0 if historical is None else historical

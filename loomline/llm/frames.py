@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,15 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of few rows and bytes for this session: a worker and its JVM then hold little of long texts at a time."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        held = spark.conf.get(name, None)
+        now = int(re.sub(r"\D", "", held)) if held and re.fullmatch(r"\d+[bB]?", held) else 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only doc_id (bigint) and text."""
     return docs.select(col(key).cast("bigint").alias("doc_id"), col(text).cast("string").alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import col, crc_mod, fresh, table
+from .frames import col, crc_mod, fresh, small_batches, table
 from .words import LOWER, binary, chunks
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in LOWER)
@@ -132,6 +132,7 @@ def trained(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text
 
 def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[DataFrame, list[str]]:
     """docs with lang_pred, score (the language's share of the probability) and bits (a symbol, under that language); the names clash with no column."""
+    small_batches(docs.sparkSession)
     pred, score, bits, letter = names = fresh(docs.columns, "lang_pred", "score", "bits", "letter")
     rows = docs.withColumn(letter, F.coalesce(col(text).cast("string").rlike(r"\p{L}"), F.lit(False)))
     sent = docs.sparkSession.sparkContext.broadcast(model)

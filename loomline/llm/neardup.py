@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..scratch import written
-from .frames import col, fresh, table
+from .frames import col, fresh, small_batches, table
 from .frames import texts as only_texts
 from .words import SPACED_LOWER, U, Words, binary, chunks, mix, rolling
 
@@ -113,6 +113,7 @@ def _tokens(blobs: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 class Join:
     def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int, trees: int, depth: int, node_rows: int):
+        small_batches(docs.sparkSession)
         self.docs, self.n, self.percent, self.trees, self.depth, self.node_rows = only_texts(docs, key, text), n, percent, trees, depth, node_rows
         self.similarity, self.cell_rows = percent / 100, 8 * node_rows
         # four standard deviations of the share of agreeing places

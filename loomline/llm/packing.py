@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .frames import col, table
+from .frames import col, small_batches, table
 from .words import binary, chunks
 
 TIERS = (1024, 512, 256)
@@ -98,6 +98,8 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers), reverse=True):
         raise ValueError("tiers are powers of two, the longest first")
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import encoder
 
