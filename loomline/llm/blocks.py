@@ -95,8 +95,12 @@ def each(blocks: DataFrame, f: Callable[[int, bytes], Iterable[Row]]) -> DataFra
     return blocks.mapInArrow(run, SCHEMA)
 
 
-def gathered(rows: DataFrame, f: Callable[[int, dict[int, list[tuple[int, bytes]]]], object], schema: str = SCHEMA) -> DataFrame:
-    """f(dest, {kind: [(part, blob), ...] by part}) for every dest; it gives rows, or an Arrow table for another schema."""
+def gathered(rows: DataFrame, f: Callable[[int, dict[int, list[tuple[int, bytes]]]], object], schema: str = SCHEMA, also: DataFrame | None = None) -> DataFrame:
+    """f(dest, {kind: [(part, blob), ...] by part}) for every dest; it gives rows, or an Arrow table for another schema.
+
+    also: more rows for the same dests; they are not joined to rows before the shuffle, so that one shuffle of rows serves
+    every call on them in a query.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         dest, by = table["dest"][0].as_py(), {}
@@ -106,6 +110,8 @@ def gathered(rows: DataFrame, f: Callable[[int, dict[int, list[tuple[int, bytes]
         out = f(dest, {kind: [(part, blob.as_py()) for part, blob in found] for kind, found in by.items()})
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([batch(list(out))])
 
+    if also is not None:
+        return rows.groupBy("dest").cogroup(also.groupBy("dest")).applyInArrow(lambda a, b: run(pa.concat_tables([a, b])), schema)
     return rows.groupBy("dest").applyInArrow(run, schema)
 
 

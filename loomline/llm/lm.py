@@ -8,7 +8,8 @@ it. So the model may be larger than any machine, and a scored token costs a look
 Smoothing: p(w) = (c(w) + 1) / (N + V + 1); p(w | v) = (c(v w) + m p(w)) / (c(v) + m) and p(w | u v) likewise over
 p(w | v), where m = strength * c ** 0.75 + 1 of the context's count c. Texts start after two start symbols and end in an
 end symbol, a token. Contexts of over 1 / shards of all tokens are hot (no more of them than shards): their n-grams are
-dealt by both words, and stop at order two.
+dealt by both words. So no shard holds all successors of a hot v after u; c(u v) is asked of the shard of that pair first,
+and goes with the n-grams. The order is three for every context, however many shards there are.
 
 Cases: a null text counts as empty: one token, the end; a null key counts as the empty text where the training rows are
 chosen; repeated rows train and are scored one by one; without training rows every word is unknown and V = N = 0; an
@@ -32,9 +33,9 @@ from .frames import table
 from .trie import Trie
 from .words import SPACED_LOWER, U, Words, chunks, mix
 
-WORDS, COUNTS, STATS, GRAMS, SCORES, MODEL = 1, 2, 3, 4, 5, 6
-START, NONE, END = U(0), U(1), U(2)
-UNIT = 250  # answers are -log10 p in steps of 1 / 250
+WORDS, COUNTS, STATS, GRAMS, SCORES, MODEL, PAIRS, TOTALS = 1, 2, 3, 4, 5, 6, 7, 8
+START, END = U(0), U(2)
+UNIT = 1000  # answers are -log10 p in thousandths
 SCHEMA = "doc_id bigint, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -125,29 +126,72 @@ class _Block:
         told = [(plan.first[shard], *B.unpack(blob)) for shard, blob in by[COUNTS]]
         counts = np.concatenate([n for _, _, n in told])
         self.token_counts = counts[w].astype(np.int64)
-        self.words = np.concatenate([[START, NONE], *[first + np.cumsum(step, dtype=U) for first, step, _ in told]])
-        self.counts = np.concatenate([np.array([plan.texts, 0], U), counts])
-        w = w.astype(np.int64) + 2
+        self.words = np.concatenate([[START], *[first + np.cumsum(step, dtype=U) for first, step, _ in told]])
+        self.counts = np.concatenate([np.array([plan.texts], U), counts])
+        w = w.astype(np.int64) + 1  # 0 is the start, 1 the end, the least of all words
         first = np.ones(len(w), bool)
         first[1:] = self.text[1:] != self.text[:-1]
         v = np.where(first, 0, np.concatenate([[0], w[:-1]]))
         u = np.where(first, 0, np.concatenate([[0], v[:-1]]))
         hot = np.isin(self.words, plan.hot)
-        u = np.where(hot[v], 1, u)
         pairs, of = np.unique((v << 32) | w, return_inverse=True)
         triples, self.of = np.unique((of.astype(np.int64) << 32) | u, return_inverse=True)
         self.count = np.bincount(self.of, self.train[self.text], len(triples)).astype(np.uint32)
         self.v, self.w, self.pair, self.u = pairs >> 32, pairs & 0xFFFFFFFF, triples >> 32, triples & 0xFFFFFFFF
         at = mix(self.words[self.v])
         at[hot[self.v]] = mix(at[hot[self.v]] ^ self.words[self.w[hot[self.v]]])
-        shard = (at >> U(64 - plan.bits))[self.pair]
+        of_pair = at >> U(64 - plan.bits)
+        shard = of_pair[self.pair]
         self.order = np.argsort(shard, kind="stable")
         self.shards = list(_split(shard[self.order]))
+        self.pairs, self.late = pairs, hot[self.v] & (self.v > 0)  # late: the pair's context is hot, and not the start
+        asked = np.flatnonzero(hot[self.w] & (self.w > 1))
+        self.asked = asked[np.argsort(of_pair[asked], kind="stable")]
+        self.asked_shards = list(_split(of_pair[self.asked]))
 
 
-def _ask_grams(plan: Plan):
+def _ask_pairs(plan: Plan):
+    """The training counts of a block's pairs that end in a hot word."""
+
     def run(block: int, by: dict):
         x = _Block(plan, by)
+        count = np.bincount(x.pair, x.count, len(x.pairs)).astype(np.uint32)
+        for shard, a, b in x.asked_shards:
+            k = x.asked[a:b]
+            used, local = np.unique(np.concatenate([x.v[k], x.w[k]]), return_inverse=True)
+            local = local.astype(np.uint32)
+            yield shard, PAIRS, block, B.pack(B.steps(x.words[used]), B.steps(local[: b - a]), local[b - a :], count[k])
+
+    return run
+
+
+def _sum_pairs(plan: Plan):
+    def run(dest: int, by: dict):
+        parts = []
+        for _, blob in by[PAIRS]:
+            step, v, w, n = B.unpack(blob)
+            parts.append((np.cumsum(step, dtype=U), np.cumsum(v, dtype=np.uint32), w, n))
+        words = np.unique(np.concatenate([p[0] for p in parts]))
+        keys = []
+        for h, v, w, _ in parts:
+            to = np.searchsorted(words, h)
+            keys.append((to[v] << 32) | to[w])
+        pairs, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, np.concatenate([p[3] for p in parts]), len(pairs)).astype(U)[of]
+        at = 0
+        for (block, _), p in zip(by[PAIRS], parts):
+            yield block, TOTALS, dest, B.pack(total[at : at + len(p[3])])
+            at += len(p[3])
+
+    return run
+
+
+def _ask_grams(plan: Plan):
+    def run(block: int, by: dict):
+        x, told = _Block(plan, by), dict(by.get(TOTALS, ()))
+        totals = np.zeros(len(x.pairs), U)
+        for shard, a, b in x.asked_shards:
+            totals[x.asked[a:b]] = B.unpack(told[shard])[0]
         for shard, a, b in x.shards:
             t = x.order[a:b]
             first = np.flatnonzero(np.concatenate([[True], x.pair[t[1:]] != x.pair[t[:-1]]]))
@@ -155,7 +199,9 @@ def _ask_grams(plan: Plan):
             used, local = np.unique(np.concatenate([x.v[pair], x.w[pair], x.u[t]]), return_inverse=True)
             local = local.astype(np.uint32)
             n = len(pair)
-            yield shard, GRAMS, block, B.pack(B.steps(x.words[used]), x.counts[used], B.steps(local[:n]), local[n : 2 * n], np.diff(np.append(first, len(t))).astype(np.uint32), local[2 * n :], x.count[t])
+            late = t[x.late[x.pair[t]]]
+            past = totals[np.searchsorted(x.pairs, (x.u[late] << 32) | x.v[x.pair[late]])]
+            yield shard, GRAMS, block, B.pack(B.steps(x.words[used]), x.counts[used], B.steps(local[:n]), local[n : 2 * n], np.diff(np.append(first, len(t))).astype(np.uint32), local[2 * n :], x.count[t], past)
 
     return run
 
@@ -164,41 +210,50 @@ def _score_grams(plan: Plan, keep_model: bool = False):
     def run(dest: int, by: dict):
         parts = []
         for _, blob in by[GRAMS]:
-            step, counts, v, w, many, u, n = B.unpack(blob)
-            parts.append((np.cumsum(step, dtype=U), counts, np.cumsum(v, dtype=np.uint32), w, many, u, n))
+            step, counts, v, w, many, u, n, past = B.unpack(blob)
+            parts.append((np.cumsum(step, dtype=U), counts, np.cumsum(v, dtype=np.uint32), w, many, u, n, past))
         words, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
         counts = np.concatenate([p[1] for p in parts])[at].astype(float)
-        v, w, u = [], [], []
-        for h, _, pv, pw, many, pu, _ in parts:
+        hot = np.isin(words, plan.hot)
+        v, w, u, told = [], [], [], []
+        for h, _, pv, pw, many, pu, _, past in parts:
             to = np.searchsorted(words, h)
             v.append(np.repeat(to[pv], many))
             w.append(np.repeat(to[pw], many))
             u.append(to[pu])
+            told.append(np.where(words[v[-1]] == START, float(plan.texts), 0.0))
+            told[-1][hot[v[-1]] & (words[v[-1]] != START)] = past
         n = np.concatenate([p[6] for p in parts]).astype(float)
         pairs, of = np.unique((np.concatenate(v) << 32) | np.concatenate(w), return_inverse=True)
         triples, of = np.unique((of.astype(np.int64) << 32) | np.concatenate(u), return_inverse=True)
         n = np.bincount(of, n, len(triples))
+        whole = np.zeros(len(triples))
+        whole[of] = np.concatenate(told)
         pair, u = triples >> 32, triples & 0xFFFFFFFF
         v, w, n2 = pairs >> 32, pairs & 0xFFFFFFFF, np.bincount(pair, n, len(pairs))
         mass = lambda c: plan.strength * c**0.75 + 1
         base = (counts + 1) / (plan.total + plan.distinct + 1)
         context, m = counts[v], mass(counts[v])
         p2, back2 = (n2 + m * base[w]) / (context + m), m / (context + m)
-        none = np.searchsorted(words, NONE) if NONE in words else -1
-        t = np.flatnonzero((n > 0) & (u != none))
+        contexts, at = np.unique(v, return_index=True)
+        at = at[counts[contexts] > 0]
+        pasts, past = np.unique((v[pair] << 32) | u, return_inverse=True)
+        held = np.bincount(past, n, len(pasts))
+        late = hot[v[pair]]
+        held[past[late]] = whole[late]  # successors of a hot context are in other shards too
+        m3 = mass(held)
+        back3 = m3 / (held + m3)
+        t = np.flatnonzero(n > 0)
         t = t[np.lexsort((w[pair[t]], u[t], v[pair[t]]))]
-        tv, tu = v[pair[t]], u[t]
-        new = np.ones(len(t), bool)
-        new[1:] = (tv[1:] != tv[:-1]) | (tu[1:] != tu[:-1])
-        group = np.cumsum(new) - 1
-        context = np.bincount(group, n[t])[group] if len(t) else np.zeros(0)
-        m = mass(context)
-        p3, back3 = (n[t] + m * p2[pair[t]]) / (context + m), m / (context + m)
-        s = np.flatnonzero(n2 > 0)
-        coded = Trie.build(v[s], w[s], np.log10(p2[s]), np.log10(back2[s]), tv, tu, w[pair[t]], np.log10(p3), np.log10(back3))
-        with mmap.mmap(-1, len(coded)) as held:
-            held.write(coded)
-            trie = Trie(held)
+        p3 = (n[t] + m3[past[t]] * p2[pair[t]]) / (held[past[t]] + m3[past[t]])
+        s, k = np.flatnonzero(n2 > 0), np.flatnonzero(held > 0)
+        coded = Trie.build(
+            v[s], w[s], np.log10(p2[s]), np.log10(back2[s]), v[pair[t]], u[t], w[pair[t]], np.log10(p3), np.log10(back3[past[t]]),
+            (v[at], np.log10(back2[at])), (pasts[k] >> 32, pasts[k] & 0xFFFFFFFF, np.log10(back3[k])),
+        )
+        with mmap.mmap(-1, len(coded)) as mapped:
+            mapped.write(coded)
+            trie = Trie(mapped)
             got = trie.log_p(v[pair], u, w[pair], np.log10(base)[w[pair]])
             del trie
         answer = np.clip(np.rint(-got * UNIT), 0, 65535).astype(np.uint16)[of]
@@ -235,8 +290,9 @@ def scored(docs: DataFrame, train: Callable[[int | None], bool], key: str = "doc
     counts = written(B.gathered(B.each(made, _ask_words(plan)), _count_words(plan)), "lm")
     plan.known([(r["part"], *B.unpack(r["blob"])) for r in counts.where(F.col("kind") == STATS).collect()])  # a row a shard
     known = made.unionByName(counts.where(F.col("kind") == COUNTS))
-    scores = B.gathered(B.gathered(known, _ask_grams(plan)), _score_grams(plan))
-    return B.gathered(known.unionByName(scores), _finish(plan), SCHEMA), plan
+    totals = B.gathered(B.gathered(known, _ask_pairs(plan)), _sum_pairs(plan))
+    scores = B.gathered(B.gathered(known, _ask_grams(plan), also=totals), _score_grams(plan))
+    return B.gathered(known, _finish(plan), SCHEMA, also=scores), plan
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -114,8 +114,11 @@ class Trie:
             setattr(self, name, (arrays[f"{name}.codes"], arrays[f"{name}.values"]))
 
     @classmethod
-    def build(cls, v: np.ndarray, w: np.ndarray, p2: np.ndarray, back2: np.ndarray, tv: np.ndarray, tu: np.ndarray, tw: np.ndarray, p3: np.ndarray, back3: np.ndarray) -> bytes:
-        """From pairs sorted by (v, w) and triples sorted by (v, u, w): log-probabilities, and the back-off weight of each pair's v and each triple's (u, v)."""
+    def build(cls, v: np.ndarray, w: np.ndarray, p2: np.ndarray, back2: np.ndarray, tv: np.ndarray, tu: np.ndarray, tw: np.ndarray, p3: np.ndarray, back3: np.ndarray, contexts: tuple | None = None, pasts: tuple | None = None) -> bytes:
+        """From pairs sorted by (v, w) and triples sorted by (v, u, w): log-probabilities, and the back-off weight of each pair's v and each triple's (u, v).
+
+        contexts (v, weight) and pasts (v, u, weight), sorted, are given where some have no successor here.
+        """
         arrays: dict[str, np.ndarray] = {}
 
         def level(name: str, x: np.ndarray) -> None:
@@ -124,26 +127,31 @@ class Trie:
         def codes(name: str, x: np.ndarray) -> None:
             arrays[f"{name}.codes"], arrays[f"{name}.values"] = quantised(x)
 
-        contexts, first = np.unique(v, return_index=True)
-        level("contexts", contexts)
-        level("next_at", np.append(first, len(v)))
-        level("next", raised(w, first))
+        if contexts is None:
+            own, at = np.unique(v, return_index=True)
+            contexts = own, back2[at]
+        if pasts is None:
+            new = np.ones(len(tv), bool)
+            new[1:] = (tv[1:] != tv[:-1]) | (tu[1:] != tu[:-1])
+            pasts = tv[new], tu[new], back3[new]
+        (own, back), (pv, pu, past_back) = contexts, pasts
+        join = lambda a, b: (a.astype(np.int64) << 32) | b
+        filled = lambda starts: starts[:-1][starts[:-1] < starts[1:]]
+        level("contexts", own)
+        first = np.append(np.searchsorted(v, own), len(v))
+        level("next_at", first)
+        level("next", raised(w, filled(first)))
         codes("next_p", p2)
-        codes("next_back", back2[first])
-        new = np.ones(len(tv), bool)
-        new[1:] = (tv[1:] != tv[:-1]) | (tu[1:] != tu[:-1])
-        past = np.flatnonzero(new)
-        of = np.searchsorted(contexts, tv[past])
-        starts = np.searchsorted(of, np.arange(len(contexts) + 1))
+        codes("next_back", back)
+        starts = np.append(np.searchsorted(pv, own), len(pv))
         level("past_at", starts)
-        has = starts[:-1] < starts[1:]
-        level("past", raised(tu[past], starts[:-1][has]))
-        keys = (v.astype(np.int64) << 32) | w
-        place = np.searchsorted(keys, (tv.astype(np.int64) << 32) | tw) - first[np.searchsorted(contexts, tv)]
-        level("then_at", np.append(past, len(tv)))
-        level("then", raised(place, past))
+        level("past", raised(pu, filled(starts)))
+        place = np.searchsorted(join(v, w), join(tv, tw)) - first[np.searchsorted(own, tv)]
+        starts = np.append(np.searchsorted(join(tv, tu), join(pv, pu)), len(tv))
+        level("then_at", starts)
+        level("then", raised(place, filled(starts)))
         codes("then_p", p3)
-        codes("then_back", back3[past])
+        codes("then_back", past_back)
         places, at = {}, 0
         for name, a in arrays.items():
             places[name] = (a.dtype.str, len(a), at)

@@ -276,6 +276,37 @@ def test_lm_scoring(spark):
     assert lm.scored(empty(spark), train)[0].count() == 0
 
 
+@pytest.mark.parametrize("shard_tokens", [1_000_000, 100, 10])
+def test_lm_order_three_after_hot_words(spark, shard_tokens):
+    import math
+
+    docs = [(i, " ".join(f"{a} of {b}" for a, b in zip(sentences(i % 23, 20, 12).split(), sentences(i % 23 + 50, 20, 12).split()))) for i in range(90)]
+    train, strength = lm.not_in_fold(7, 2), 2.0
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    done, plan = lm.scored(df, train, strength=strength, block_bytes=2000, shard_tokens=shard_tokens)
+    assert len(plan.hot)
+    tokens = {k: [*spaced(low(t)), None] for k, t in docs}
+    grams = {k: list(zip(["^", "^", *ws], ["^", *ws], ws)) for k, ws in tokens.items()}
+    c1 = Counter(w for k, ws in tokens.items() if train(k) for w in ws)
+    c3 = Counter(g for k, gs in grams.items() if train(k) for g in gs)
+    c2, cuv, cv = Counter(), Counter(), Counter()
+    for (u, v, w), n in c3.items():
+        c2[v, w] += n
+        cuv[u, v] += n
+        cv[v] += n
+    mass = lambda c: strength * c**0.75 + 1
+
+    def log_p(u, v, w):
+        p = (c1[w] + 1) / (plan.total + plan.distinct + 1)
+        for n, c in ((c2[v, w], cv[v]), (c3[u, v, w], cuv[u, v])):
+            p = (n + mass(c) * p) / (c + mass(c))
+        return math.log10(p)
+
+    for r in done.collect():
+        want = sum(log_p(*g) for g in grams[r["doc_id"]])
+        assert abs(r["score"] - want) < 0.004 * r["n_tokens"]
+
+
 def test_trie_answers_as_a_dictionary():
     import numpy as np
 
