@@ -42,8 +42,8 @@ def pack(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, li
             pool.append((n % longest, d, full * longest))
     pool.sort()
     left = sum(p[0] for p in pool)
-    for tier in tiers:
-        while left >= tier:
+    for tier, shorter in zip(tiers, (*tiers[1:], 0)):
+        while left >= tier and pool[-1][0] > shorter:  # while it has rests of its own
             gap, window = tier, []
             while gap:
                 at = bisect_right(pool, (gap, 1 << 62, 0)) - 1

@@ -360,6 +360,31 @@ def test_packing(spark, block_tokens):
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_packing_keeps_short_documents_in_their_tier():
+    import random
+
+    rng = random.Random(5)
+    for low_, high, tier in ((257, 512, 512), (20, 256, 256), (513, 1024, 1024)):
+        sizes = [rng.randint(low_, high) for _ in range(3000)]
+        windows = packing.pack(sizes)
+        assert sum(size for size, _ in windows if size == tier) > 0.8 * sum(sizes)
+        assert all(size <= tier for size, _ in windows)
+    sizes = [rng.choice((rng.randint(1, 256), rng.randint(257, 512), rng.randint(513, 3000))) for _ in range(3000)]
+    windows = packing.pack(sizes)
+    assert all(sum(n for _, _, n in window) == size for size, window in windows)
+    pieces = defaultdict(list)
+    for _, window in windows:
+        for d, start, n in window:
+            pieces[d].append((start, n))
+    for d, size in enumerate(sizes):
+        at = 0
+        for start, n in sorted(pieces[d]):
+            assert start == at
+            at += n
+        assert at == size
+    assert sum(size == 512 for size, _ in windows) > 100  # rests up to 256 mostly fill gaps here
+
+
 def test_pieces_are_those_of_the_tokenizer():
     import random
 
