@@ -405,7 +405,7 @@ def weighted_draws(spark, sf_dir):
 @query("length_matched")
 def length_matched(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.lit("p").alias("profile"), F.col("item_id").alias("place"), "text")
-    d = table(spark, sf_dir, "documents").where("n_chars < 2000").select(F.lit("p").alias("profile"), F.when(F.col("doc_id") % 2 == 0, "neutral").otherwise("other").alias("kind"), F.col("doc_id").alias("place"), F.col("doc_id").alias("id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.lit("p").alias("profile"), F.when(F.col("doc_id") % 2 == 0, "neutral").otherwise("other").alias("kind"), F.col("doc_id").alias("place"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return J.length_matched(b, d)
 
 

@@ -45,6 +45,14 @@ def test_queries_without_sql_give_rows(spark, name):
     assert registry.QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_length_matched_takes_long_documents(spark, tmp_path):
+    docs = [(2, "a" * 100, 100), (4, "b" * 2900, 2900), (6, None, None), (1, "c" * 1900, 1900), (3, "d" * 2100, 2100)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "x" * 3000), (1, "y" * 2050), (2, "z")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["length_matched"](spark, str(tmp_path)).collect()
+    assert sorted((r["place"], r["match_id"]) for r in got) == [(0, 4), (1, 3), (2, 6)]
+
+
 def test_the_entry_works_without_the_subpackage(tmp_path):
     import pathlib
     import shutil
