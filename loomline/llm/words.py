@@ -77,6 +77,8 @@ def rolling(h: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
 
     Windows of powers of two are joined from halves, and the window of n from those in the binary form of n.
     """
+    if len(h) < n:
+        return np.zeros(len(h), U)
     odd = np.random.default_rng(seed).integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
     out, size, part, width, k = None, 0, h, 1, 0
     while True:

@@ -360,6 +360,18 @@ def test_packing(spark, block_tokens):
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_rolling_over_fewer_words_than_a_window():
+    import numpy as np
+
+    from loomline.llm.words import rolling
+
+    for n in range(31):
+        h = np.arange(1, n + 1, dtype=np.uint64)
+        assert len(rolling(h, 20)) == n
+        k1, k2, doc, start = substring._windows([b" ".join([b"w"] * n)], 20)
+        assert len(k1) == len(k2) == len(doc) == len(start) == max(0, n - 19)
+
+
 def test_packing_keeps_short_documents_in_their_tier():
     import random
 
