@@ -5,6 +5,8 @@ distinct n-grams, with those counts, to the shards of their contexts (the word b
 contexts: it sums the training counts, smooths, builds its trie in a memory map and answers every block's n-grams from
 it. So the model may be larger than any machine, and a scored token costs a lookup within one shard.
 
+Words are numbered by their counts' ranks, so the numbers that occur most are small and what is sent packs well.
+
 Smoothing: p(w) = (c(w) + 1) / (N + V + 1); p(w | v) = (c(v w) + m p(w)) / (c(v) + m) and p(w | u v) likewise over
 p(w | v), where m = strength * c ** 0.75 + 1 of the context's count c. Texts start after two start symbols and end in an
 end symbol, a token. Contexts of over 1 / shards of all tokens are hot (no more of them than shards): their n-grams are
@@ -33,7 +35,7 @@ from .frames import table
 from .trie import Trie
 from .words import SPACED_LOWER, U, Words, chunks, mix
 
-WORDS, COUNTS, STATS, GRAMS, SCORES, MODEL, PAIRS, TOTALS = 1, 2, 3, 4, 5, 6, 7, 8
+WORDS, COUNTS, STATS, TOPS, GRAMS, SCORES, MODEL, PAIRS, TOTALS = range(1, 10)
 START, END = U(0), U(2)
 UNIT = 1000  # answers are -log10 p in thousandths
 SCHEMA = "doc_id bigint, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -48,20 +50,18 @@ class Plan:
     def __init__(self, text_bytes: int, train: Callable[[int | None], bool], strength: float, shard_tokens: int):
         tokens = max(1, text_bytes // 6)  # an estimate: it sets sizes, not results
         self.train, self.strength = train, strength
-        self.bits = max(3, int(np.ceil(np.log2(max(1, tokens / shard_tokens)))))
+        self.shards = max(8, -(-tokens // shard_tokens))
         self.total = self.distinct = self.texts = 0
-        self.hot, self.first = np.zeros(0, U), np.zeros(1 << self.bits, U)
+        self.hot = np.zeros(0, U)
+
+    def shard(self, h: np.ndarray) -> np.ndarray:
+        """The shard of each hash; it grows with the hash."""
+        return ((h >> U(32)) * U(self.shards)) >> U(32)
 
-    def known(self, counted: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """After the words are counted: of each word shard its sums and its largest counts with their words' places."""
-        sums = np.sum([x for _, x, _, _ in counted], axis=0) if counted else np.zeros(4, np.int64)
-        self.total, self.distinct, self.texts = int(sums[0]), int(sums[1]), int(sums[2])
-        for shard, x, _, _ in counted:
-            self.first[shard] = x[3]
-        self.first = np.cumsum(self.first) - self.first + U(2)  # a word's number: numbers before its shard, then its place in it
-        least = self.total / (1 << self.bits)
-        hot = [int(self.first[shard]) + int(k) for shard, _, place, n in counted for k, c in zip(place, n) if c > least]
-        self.hot = np.array(sorted(hot + [int(START)] * (self.texts > least)), U)
+    def counted(self, sums: list[np.ndarray]) -> float:
+        """Takes the word shards' sums; the count above which a word is hot, of which there are no more than shards."""
+        self.total, self.distinct, self.texts = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0)
+        return self.total / self.shards
 
 
 def _tokens(plan: Plan, blob: bytes) -> tuple:
@@ -93,7 +93,7 @@ def _ask_words(plan: Plan):
         _, train, tokens, text = _tokens(plan, blob)
         words, of = np.unique(tokens, return_inverse=True)
         count = np.bincount(of, train[text], len(words)).astype(np.uint32)
-        for shard, a, b in _split(words >> U(64 - plan.bits)):
+        for shard, a, b in _split(plan.shard(words)):
             yield shard, WORDS, block, B.pack(B.steps(words[a:b]), count[a:b])
 
     return run
@@ -107,55 +107,79 @@ def _count_words(plan: Plan):
         total = np.zeros(len(words), np.int64)
         for h, (_, count) in zip(hashes, parts):
             total[np.searchsorted(words, h)] += count
+        order = np.argsort(-total, kind="stable")
+        number = np.empty(len(words), U)
+        number[order] = np.arange(len(words), dtype=U) * U(plan.shards) + U(dest + 1)  # 0 is the start
         for (block, _), h in zip(by[WORDS], hashes):
             place = np.searchsorted(words, h)
-            yield block, COUNTS, dest, B.pack(B.steps(place.astype(U)), total[place].astype(U))
-        top = np.argsort(-total, kind="stable")[: 1 << plan.bits]
-        ends = int(total[0]) if len(words) and words[0] == END else 0
-        yield -1, STATS, dest, B.pack(np.array([total.sum(), (total > 0).sum(), ends, len(words)], np.int64), top.astype(np.int64), total[top])
+            yield block, COUNTS, dest, B.pack(number[place], total[place].astype(U))
+        top = order[words[order] != END][: plan.shards]
+        yield -1, STATS, dest, B.pack(np.array([total.sum(), (total > 0).sum(), total[0] if len(words) and words[0] == END else 0], np.int64))
+        yield -1, TOPS, dest, B.pack(number[top], total[top].astype(U))
+
+    return run
+
+
+def _over(least: float):
+    """The numbers of a shard's words that occur more often."""
+
+    def run(batches):
+        for rows in batches:
+            found = [number[count > least].view(np.int64) for number, count in (B.unpack(blob.as_py()) for blob in rows.column(0))]
+            yield pa.record_batch({"number": pa.array(np.concatenate(found))})
 
     return run
 
 
-class _Block:
-    """The n-grams of a block: numbers of its words and their counts, distinct triples ordered by shard, and the triple of each token."""
+class _Words:
+    """The tokens of a block by its words, which are ordered by number; the words' counts; the distinct pairs (v, w), and the pair of each token."""
 
     def __init__(self, plan: Plan, by: dict):
         self.ids, self.train, tokens, self.text = _tokens(plan, by[B.DOCS][0][1])
-        words, w = np.unique(tokens, return_inverse=True)
-        told = [(plan.first[shard], *B.unpack(blob)) for shard, blob in by[COUNTS]]
-        counts = np.concatenate([n for _, _, n in told])
+        _, w = np.unique(tokens, return_inverse=True)
+        told = [B.unpack(blob) for _, blob in by[COUNTS]]  # by shard, as the words by hash
+        numbers, counts = (np.concatenate(x) for x in zip(*told))
         self.token_counts = counts[w].astype(np.int64)
-        self.words = np.concatenate([[START], *[first + np.cumsum(step, dtype=U) for first, step, _ in told]])
-        self.counts = np.concatenate([np.array([plan.texts], U), counts])
-        w = w.astype(np.int64) + 1  # 0 is the start, 1 the end, the least of all words
+        order = np.argsort(numbers, kind="stable")
+        self.words, self.counts = np.concatenate([[START], numbers[order]]), np.concatenate([np.array([plan.texts], U), counts[order]])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        w = place[w]
         first = np.ones(len(w), bool)
         first[1:] = self.text[1:] != self.text[:-1]
         v = np.where(first, 0, np.concatenate([[0], w[:-1]]))
-        u = np.where(first, 0, np.concatenate([[0], v[:-1]]))
-        hot = np.isin(self.words, plan.hot)
-        pairs, of = np.unique((v << 32) | w, return_inverse=True)
-        triples, self.of = np.unique((of.astype(np.int64) << 32) | u, return_inverse=True)
-        self.count = np.bincount(self.of, self.train[self.text], len(triples)).astype(np.uint32)
-        self.v, self.w, self.pair, self.u = pairs >> 32, pairs & 0xFFFFFFFF, triples >> 32, triples & 0xFFFFFFFF
+        self.token_u = np.where(first, 0, np.concatenate([[0], v[:-1]]))
+        self.hot = np.isin(self.words, plan.hot)
+        self.pairs, self.token_pair = np.unique((v << 32) | w, return_inverse=True)
+        self.v, self.w = self.pairs >> 32, self.pairs & 0xFFFFFFFF
         at = mix(self.words[self.v])
-        at[hot[self.v]] = mix(at[hot[self.v]] ^ self.words[self.w[hot[self.v]]])
-        of_pair = at >> U(64 - plan.bits)
-        shard = of_pair[self.pair]
+        at[self.hot[self.v]] = mix(at[self.hot[self.v]] ^ self.words[self.w[self.hot[self.v]]])
+        self.shard = plan.shard(at)
+        asked = np.flatnonzero(self.hot[self.w])  # pairs that end in a hot word are histories that several shards need
+        self.asked = asked[np.argsort(self.shard[asked], kind="stable")]
+        self.asked_shards = list(_split(self.shard[self.asked]))
+
+
+class _Grams(_Words):
+    """Further the distinct triples, ordered by shard, and the triple of each token."""
+
+    def __init__(self, plan: Plan, by: dict):
+        super().__init__(plan, by)
+        triples, self.of = np.unique((self.token_pair.astype(np.int64) << 32) | self.token_u, return_inverse=True)
+        self.count = np.bincount(self.of, self.train[self.text], len(triples)).astype(np.uint32)
+        self.pair, self.u = triples >> 32, triples & 0xFFFFFFFF
+        shard = self.shard[self.pair]
         self.order = np.argsort(shard, kind="stable")
         self.shards = list(_split(shard[self.order]))
-        self.pairs, self.late = pairs, hot[self.v] & (self.v > 0)  # late: the pair's context is hot, and not the start
-        asked = np.flatnonzero(hot[self.w] & (self.w > 1))
-        self.asked = asked[np.argsort(of_pair[asked], kind="stable")]
-        self.asked_shards = list(_split(of_pair[self.asked]))
+        self.late = self.hot[self.v] & (self.v > 0)  # the pair's context is hot, and not the start
 
 
 def _ask_pairs(plan: Plan):
     """The training counts of a block's pairs that end in a hot word."""
 
     def run(block: int, by: dict):
-        x = _Block(plan, by)
-        count = np.bincount(x.pair, x.count, len(x.pairs)).astype(np.uint32)
+        x = _Words(plan, by)
+        count = np.bincount(x.token_pair, x.train[x.text], len(x.pairs)).astype(np.uint32)
         for shard, a, b in x.asked_shards:
             k = x.asked[a:b]
             used, local = np.unique(np.concatenate([x.v[k], x.w[k]]), return_inverse=True)
@@ -188,20 +212,23 @@ def _sum_pairs(plan: Plan):
 
 def _ask_grams(plan: Plan):
     def run(block: int, by: dict):
-        x, told = _Block(plan, by), dict(by.get(TOTALS, ()))
+        x, told = _Grams(plan, by), dict(by.get(TOTALS, ()))
         totals = np.zeros(len(x.pairs), U)
         for shard, a, b in x.asked_shards:
             totals[x.asked[a:b]] = B.unpack(told[shard])[0]
+        used, local = np.zeros(len(x.words), bool), np.zeros(len(x.words), np.uint32)
         for shard, a, b in x.shards:
             t = x.order[a:b]
             first = np.flatnonzero(np.concatenate([[True], x.pair[t[1:]] != x.pair[t[:-1]]]))
             pair = x.pair[t[first]]
-            used, local = np.unique(np.concatenate([x.v[pair], x.w[pair], x.u[t]]), return_inverse=True)
-            local = local.astype(np.uint32)
-            n = len(pair)
+            used[:] = False
+            for k in (x.v[pair], x.w[pair], x.u[t]):
+                used[k] = True
+            own = np.flatnonzero(used)
+            local[own] = np.arange(len(own), dtype=np.uint32)
             late = t[x.late[x.pair[t]]]
             past = totals[np.searchsorted(x.pairs, (x.u[late] << 32) | x.v[x.pair[late]])]
-            yield shard, GRAMS, block, B.pack(B.steps(x.words[used]), x.counts[used], B.steps(local[:n]), local[n : 2 * n], np.diff(np.append(first, len(t))).astype(np.uint32), local[2 * n :], x.count[t], past)
+            yield shard, GRAMS, block, B.pack(B.steps(x.words[own]), B.turns(x.counts[own]), B.steps(local[x.v[pair]]), local[x.w[pair]], np.diff(np.append(first, len(t))).astype(np.uint32), local[x.u[t]], x.count[t], past)
 
     return run
 
@@ -211,29 +238,34 @@ def _score_grams(plan: Plan, keep_model: bool = False):
         parts = []
         for _, blob in by[GRAMS]:
             step, counts, v, w, many, u, n, past = B.unpack(blob)
-            parts.append((np.cumsum(step, dtype=U), counts, np.cumsum(v, dtype=np.uint32), w, many, u, n, past))
+            parts.append((np.cumsum(step, dtype=U), B.unturned(counts), np.cumsum(v, dtype=np.uint32), w, many, u, n, past))
         words, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
         counts = np.concatenate([p[1] for p in parts])[at].astype(float)
-        hot = np.isin(words, plan.hot)
-        v, w, u, told = [], [], [], []
-        for h, _, pv, pw, many, pu, _, past in parts:
+        hot, start = np.isin(words, plan.hot), words == START
+        keys, many, u, told = [], [], [], []
+        for h, _, pv, pw, repeat, pu, _, past in parts:
             to = np.searchsorted(words, h)
-            v.append(np.repeat(to[pv], many))
-            w.append(np.repeat(to[pw], many))
+            keys.append((to[pv] << 32) | to[pw])
+            many.append(repeat)
             u.append(to[pu])
-            told.append(np.where(words[v[-1]] == START, float(plan.texts), 0.0))
-            told[-1][hot[v[-1]] & (words[v[-1]] != START)] = past
+            v = np.repeat(to[pv], repeat)
+            told.append(np.where(start[v], float(plan.texts), 0.0))
+            told[-1][hot[v] & ~start[v]] = past
         n = np.concatenate([p[6] for p in parts]).astype(float)
-        pairs, of = np.unique((np.concatenate(v) << 32) | np.concatenate(w), return_inverse=True)
-        triples, of = np.unique((of.astype(np.int64) << 32) | np.concatenate(u), return_inverse=True)
+        sizes = [len(p[5]) for p in parts]
+        blocks, parts = [block for block, _ in by[GRAMS]], None
+        by.clear()
+        pairs, of = np.unique(np.concatenate(keys), return_inverse=True)
+        triples, of = np.unique((np.repeat(of.astype(np.int64), np.concatenate(many)) << 32) | np.concatenate(u), return_inverse=True)
         n = np.bincount(of, n, len(triples))
         whole = np.zeros(len(triples))
         whole[of] = np.concatenate(told)
+        keys = many = told = None
         pair, u = triples >> 32, triples & 0xFFFFFFFF
         v, w, n2 = pairs >> 32, pairs & 0xFFFFFFFF, np.bincount(pair, n, len(pairs))
         mass = lambda c: plan.strength * c**0.75 + 1
         base = (counts + 1) / (plan.total + plan.distinct + 1)
-        context, m = counts[v], mass(counts[v])
+        context, m = counts[v], mass(counts)[v]
         p2, back2 = (n2 + m * base[w]) / (context + m), m / (context + m)
         contexts, at = np.unique(v, return_index=True)
         at = at[counts[contexts] > 0]
@@ -241,26 +273,27 @@ def _score_grams(plan: Plan, keep_model: bool = False):
         held = np.bincount(past, n, len(pasts))
         late = hot[v[pair]]
         held[past[late]] = whole[late]  # successors of a hot context are in other shards too
+        whole = None
         m3 = mass(held)
         back3 = m3 / (held + m3)
         t = np.flatnonzero(n > 0)
-        t = t[np.lexsort((w[pair[t]], u[t], v[pair[t]]))]
+        t = t[np.argsort((past[t].astype(np.int64) << 32) | w[pair[t]], kind="stable")]  # by v, u, w
         p3 = (n[t] + m3[past[t]] * p2[pair[t]]) / (held[past[t]] + m3[past[t]])
-        s, k = np.flatnonzero(n2 > 0), np.flatnonzero(held > 0)
+        s, k, pv, pu = np.flatnonzero(n2 > 0), np.flatnonzero(held > 0), pasts >> 32, pasts & 0xFFFFFFFF
         coded = Trie.build(
             v[s], w[s], np.log10(p2[s]), np.log10(back2[s]), v[pair[t]], u[t], w[pair[t]], np.log10(p3), np.log10(back3[past[t]]),
-            (v[at], np.log10(back2[at])), (pasts[k] >> 32, pasts[k] & 0xFFFFFFFF, np.log10(back3[k])),
+            (v[at], np.log10(back2[at])), (pv[k], pu[k], np.log10(back3[k])),
         )
         with mmap.mmap(-1, len(coded)) as mapped:
             mapped.write(coded)
             trie = Trie(mapped)
-            got = trie.log_p(v[pair], u, w[pair], np.log10(base)[w[pair]])
+            got = trie.log_p(v, w, np.log10(base)[w], pv, pu, pair, past)
             del trie
         answer = np.clip(np.rint(-got * UNIT), 0, 65535).astype(np.uint16)[of]
         at = 0
-        for (block, _), p in zip(by[GRAMS], parts):
-            yield block, SCORES, dest, B.pack(answer[at : at + len(p[5])])
-            at += len(p[5])
+        for block, size in zip(blocks, sizes):
+            yield block, SCORES, dest, B.pack(answer[at : at + size])
+            at += size
         if keep_model:
             yield -1, MODEL, dest, coded
 
@@ -269,7 +302,7 @@ def _score_grams(plan: Plan, keep_model: bool = False):
 
 def _finish(plan: Plan):
     def run(block: int, by: dict) -> pa.Table:
-        x, told = _Block(plan, by), dict(by[SCORES])
+        x, told = _Grams(plan, by), dict(by[SCORES])
         answer = np.empty(len(x.order))
         for shard, a, b in x.shards:
             answer[x.order[a:b]] = B.unpack(told[shard])[0]
@@ -286,9 +319,11 @@ def _finish(plan: Plan):
 def scored(docs: DataFrame, train: Callable[[int | None], bool], key: str = "doc_id", text: str = "text", strength: float = 2.0, block_bytes: int = 12 << 20, shard_tokens: int = 1_000_000) -> tuple[DataFrame, Plan]:
     """doc_id, trained, n_tokens, n_known, base_score and score for each row of docs, and the plan with N (total) and V (distinct)."""
     plan = Plan(B.text_bytes(docs, text), train, strength, shard_tokens)
-    made = written(B.made(docs, key, text, block_bytes, level=9), "lm")
+    made = written(B.made(docs, key, text, block_bytes, level=6), "lm")
     counts = written(B.gathered(B.each(made, _ask_words(plan)), _count_words(plan)), "lm")
-    plan.known([(r["part"], *B.unpack(r["blob"])) for r in counts.where(F.col("kind") == STATS).collect()])  # a row a shard
+    least = plan.counted([B.unpack(r["blob"])[0] for r in counts.where(F.col("kind") == STATS).select("blob").collect()])  # three sums a shard
+    hot = counts.where(F.col("kind") == TOPS).select("blob").mapInArrow(_over(least), "number bigint").collect()  # no more than shards
+    plan.hot = np.array(sorted([r["number"] for r in hot] + [int(START)] * (plan.texts > least)), U)
     known = made.unionByName(counts.where(F.col("kind") == COUNTS))
     totals = B.gathered(B.gathered(known, _ask_pairs(plan)), _sum_pairs(plan))
     scores = B.gathered(B.gathered(known, _ask_grams(plan), also=totals), _score_grams(plan))

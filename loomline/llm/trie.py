@@ -4,6 +4,7 @@ Order three: contexts v, their successors w, their histories u, and the successo
 level grow within each parent only, so each parent's are raised by the last value before: the whole level is monotone
 and is coded by Elias-Fano, as are the pointers to children. A successor under (u, v) is stored relative to its context,
 as its position among the successors of v; a query finds w among those first and then looks for that small position.
+Nothing is unpacked to query a level: its bits stay packed, beside a directory of two bits for each number.
 Log-probabilities and back-off weights are quantised to 256 values each.
 """
 
@@ -16,14 +17,35 @@ import numpy as np
 from .words import U
 
 
+#: The place of the k-th set bit of a byte.
+_SELECT = np.array([[next((i for i in range(8) if byte >> i & 1 and bin(byte & ((1 << i) - 1)).count("1") == k), 0) for k in range(8)] for byte in range(256)], np.uint8)
+
+
+def _kth_bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th set bit (from 0) of each word."""
+    words, k, at = words.copy(), k.copy(), np.zeros(len(words), np.int64)
+    for half in (32, 16, 8):
+        below = np.bitwise_count(words & U((1 << half) - 1)).astype(np.int64)
+        up = k >= below
+        k -= np.where(up, below, 0)
+        at += np.where(up, half, 0)
+        words >>= np.where(up, U(half), U(0))
+    return at + _SELECT[(words & U(255)).astype(np.int64), k]
+
+
 class EliasFano:
-    """Monotone numbers: the low bits of each, packed, and the high bits in unary."""
+    """Monotone numbers: the low bits of each, packed, and the high bits in unary, both left packed.
+
+    A directory counts the ones and the zeros before each word of the high bits: about two bits for a number.
+    """
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.width, self.low, self.high = int(arrays["meta"][0]), int(arrays["meta"][1]), arrays["low"], arrays["high"]
-        bits = np.unpackbits(self.high)
-        self.ends = np.flatnonzero(bits == 0)  # where each value of the high bits ends
-        self.ones = np.flatnonzero(bits)
+        self.zeros = int(arrays["meta"][2])
+        ones = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
+        kind = np.uint32 if len(self.high) < 1 << 26 else np.int64
+        self.before = np.concatenate([[0], ones[:-1]]).astype(kind)
+        self.zeros_before = (np.arange(len(self.high), dtype=np.int64) * 64 - self.before).astype(kind)
 
     @staticmethod
     def coded(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -37,9 +59,10 @@ class EliasFano:
             over = np.flatnonzero((at & U(63)) + U(width) > 64)
             np.bitwise_or.at(low, (at[over] >> U(6)) + U(1), part[over] >> (U(64) - (at[over] & U(63))))
         upper = (x.astype(U) >> U(width)).astype(np.int64)
-        bits = np.zeros(n + (int(upper[-1]) if n else 0) + 1, np.uint8)
+        zeros = (int(upper[-1]) if n else 0) + 1
+        bits = np.zeros(-(-(n + zeros) // 64) * 64, np.uint8)
         bits[upper + np.arange(n)] = 1
-        return {"meta": np.array([n, width], np.int64), "low": low, "high": np.packbits(np.append(bits, np.zeros(-len(bits) % 8, np.uint8)))}
+        return {"meta": np.array([n, width, zeros], np.int64), "low": low, "high": np.packbits(bits, bitorder="little").view("<u8")}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -51,16 +74,26 @@ class EliasFano:
         out[over] |= self.low[word[over] + 1] << (U(64) - bit[over])
         return out & U((1 << self.width) - 1)
 
+    def _one(self, i: np.ndarray) -> np.ndarray:
+        """The place of the i-th one."""
+        word = np.searchsorted(self.before, i.astype(self.before.dtype), side="right") - 1
+        return (word << 6) + _kth_bit(self.high[word], i - self.before[word].astype(np.int64))
+
+    def _zero(self, i: np.ndarray) -> np.ndarray:
+        """The place of the i-th zero."""
+        word = np.searchsorted(self.zeros_before, i.astype(self.zeros_before.dtype), side="right") - 1
+        return (word << 6) + _kth_bit(~self.high[word], i - self.zeros_before[word].astype(np.int64))
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return (((self.ones[i] - i).astype(U) << U(self.width)) | self._low(i)).astype(np.int64)
+        return (((self._one(i) - i).astype(U) << U(self.width)) | self._low(i)).astype(np.int64)
 
     def successor(self, lo: np.ndarray, hi: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The first index in [lo, hi) whose number is target or more (hi if none)."""
         upper = (target.astype(U) >> U(self.width)).astype(np.int64)
-        far = upper >= len(self.ends)
-        upper = np.minimum(upper, len(self.ends) - 1)
-        a = np.where(upper > 0, self.ends[upper - 1] + 1 - upper, 0)
-        b = np.minimum(self.ends[upper] - upper, self.n)
+        far = upper >= self.zeros
+        upper = np.minimum(upper, self.zeros - 1)
+        a = np.where(upper > 0, self._zero(np.maximum(upper - 1, 0)) + 1 - upper, 0)
+        b = np.minimum(self._zero(upper) - upper, self.n)
         a, b = np.where(far, self.n, a), np.where(far, self.n, b)
         a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
         want = target.astype(U) & U((1 << self.width) - 1)
@@ -74,10 +107,11 @@ class EliasFano:
         return a
 
     def find(self, lo: np.ndarray, hi: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The index in [lo, hi) of target, or -1."""
-        at = self.successor(lo, hi, target)
+        """The index in [lo, hi) of target, or -1; in a range of one number that is looked at, in others its successor is searched."""
+        out = np.full(len(lo), -1, np.int64)
+        at, many = lo.copy(), np.flatnonzero(hi - lo > 1)
+        at[many] = self.successor(lo[many], hi[many], target[many])
         inside = np.flatnonzero(at < hi)
-        out = np.full(len(at), -1, np.int64)
         same = inside[self[at[inside]] == target[inside]]
         out[same] = at[same]
         return out
@@ -173,29 +207,48 @@ class Trie:
         base[some] = level[lo[some] - 1]
         return lo, hi, base
 
-    def log_p(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, log_base: np.ndarray) -> np.ndarray:
-        """log10 p(w | u, v), u before v; log_base is that of w without context."""
-        out, every = log_base.astype(float).copy(), np.zeros(len(v), np.int64)
+    def log_p(self, v: np.ndarray, w: np.ndarray, log_base: np.ndarray, pv: np.ndarray, pu: np.ndarray, pair: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """log10 p(w | u, v), u before v, of n-grams given by their pair's place in (v, w) and their past's place in (pv, pu).
+
+        log_base is that of each w without context. Each context, pair and past is searched once, however many n-grams it is in.
+        """
+        out, place, context = log_base.astype(float).copy(), np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
         if not self.contexts.n:
-            return out
-        context = self.contexts.find(every, every + self.contexts.n, v)
+            return out[pair]
+
+        def contexts_of(v: np.ndarray) -> np.ndarray:
+            own, of = np.unique(v, return_inverse=True)
+            every = np.zeros(len(own), np.int64)
+            return self.contexts.find(every, every + self.contexts.n, own)[of]
+
+        def each(pointers: EliasFano, level: EliasFano, parents: np.ndarray) -> tuple[np.ndarray, ...]:
+            own, of = np.unique(parents, return_inverse=True)
+            return tuple(x[of] for x in self._range(pointers, level, own))
+
+        context = contexts_of(v)
         k = np.flatnonzero(context >= 0)
-        lo, hi, base = self._range(self.next_at, self.next, context[k])
+        lo, hi, base = each(self.next_at, self.next, context[k])
         at = self.next.find(lo, hi, base + w[k])
         seen = at >= 0
         out[k[seen]] = self._coded(self.next_p, at[seen])
         out[k[~seen]] += self._coded(self.next_back, context[k[~seen]])
+        place[k[seen]] = (at - lo)[seen]  # context-relative
+        answer = out[pair]
         if not self.past.n:
-            return out
-        place = at - lo  # context-relative
-        lo, hi, base = self._range(self.past_at, self.past, context[k])
-        past = self.past.find(lo, hi, base + u[k])
-        some = past >= 0
-        k, past, place, seen = k[some], past[some], place[some], seen[some]
-        lo, hi, base = self._range(self.then_at, self.then, past)
-        at = np.full(len(k), -1, np.int64)
-        at[seen] = self.then.find(lo[seen], hi[seen], base[seen] + place[seen])
-        found = at >= 0
-        out[k[found]] = self._coded(self.then_p, at[found])
-        out[k[~found]] += self._coded(self.then_back, past[~found])
-        return out
+            return answer
+        context, found = contexts_of(pv), np.full(len(pv), -1, np.int64)
+        k = np.flatnonzero(context >= 0)
+        lo, hi, base = each(self.past_at, self.past, context[k])
+        found[k] = self.past.find(lo, hi, base + pu[k])
+        ranges = np.zeros((3, len(pv)), np.int64)
+        k = np.flatnonzero(found >= 0)
+        ranges[:, k] = self._range(self.then_at, self.then, found[k])
+        lo, hi, base = ranges
+        then = np.full(len(pair), -1, np.int64)
+        k = np.flatnonzero((found[past] >= 0) & (place[pair] >= 0))
+        then[k] = self.then.find(lo[past[k]], hi[past[k]], base[past[k]] + place[pair[k]])
+        k = np.flatnonzero(then >= 0)
+        answer[k] = self._coded(self.then_p, then[k])
+        k = np.flatnonzero((then < 0) & (found[past] >= 0))
+        answer[k] += self._coded(self.then_back, found[past[k]])
+        return answer
