@@ -4,8 +4,10 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and characters outside A
 one item; an item of fewer words, but not none, is one window. Window hashes of a document are looked up in the set;
 hits are verified on the words themselves, so the hash decides nothing.
 
-The set is broadcast in blocks of at most `block_bytes` of item text: the documents go through one scan for each block,
-so what a worker holds has that bound whatever the benchmark's size. A usual benchmark is one block.
+The set is broadcast in blocks of about `block_bytes` of item text: the documents go through one scan for each block. A
+block is held as flat arrays, the items' words and 16 to 24 bytes for each window: some five times its text, eleven times
+where every word is one letter (measured in tests/llm/test_decontam.py). So what a worker holds has that bound whatever
+the benchmark's size. A usual benchmark is one block.
 
 Cases: a null text has no words; an item without words has no window; the windows of an item without id hit words, but
 no item is counted; repeated items are one item; repeated documents are judged one by one; an empty benchmark hits
@@ -31,46 +33,64 @@ BITS = 20
 
 
 class WindowSet:
-    """The windows of some items: by length, sorted hashes, and for each window's words the ids of its items."""
+    """The windows of some items: the items' words, and by length the sorted hashes of distinct windows, where each starts and its items."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int):
-        self.items: dict[bytes, set[str | None]] = {}
-        for key, text in items:
-            words = text.translate(ALNUM_LOWER).split()
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                self.items.setdefault(b" ".join(words[i : i + size]), set()).add(key)
-        lengths: dict[int, list[bytes]] = {}
-        for window in self.items:
-            lengths.setdefault(window.count(b" ") + 1, []).append(window)
-        self.hashes = {}
-        for size, windows in lengths.items():
-            of = Words(windows, ALNUM_LOWER)
-            hashes = np.unique(rolling(of.hashes(), size)[of.first[:-1]])
-            bitmap = np.zeros(1 << BITS, bool)
-            bitmap[hashes >> U(64 - BITS)] = True
-            self.hashes[size] = hashes, bitmap
+        self.keys = sorted({k for k, _ in items if k is not None})
+        at = {k: i for i, k in enumerate(self.keys)}
+        owner = np.fromiter((-1 if k is None else at[k] for k, _ in items), np.int32, len(items))
+        words = Words([b" ".join(t.translate(ALNUM_LOWER).split()) for _, t in items], ALNUM_LOWER)
+        self.raw, h, counts = words.raw, words.hashes(), words.counts()
+        self.by_size = {}
+        for size in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            some = np.flatnonzero(counts >= n if size == n else counts == size)
+            many = counts[some] - size + 1
+            first = np.repeat(words.first[:-1][some] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            self.by_size[size] = self._grouped(rolling(h, size)[first], words.starts[first], words.starts[first + size - 1] + words.lens[first + size - 1], np.repeat(owner[some], many))
+
+    def _grouped(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of distinct windows: hashes, starts and ends of the words, where the items start (and the end); the items; a bitmap of the hashes' first bits."""
+        order = np.lexsort((owner, h))
+        h, start, end, owner = h[order], start[order], end[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        same = np.flatnonzero(~new)
+        for j in {int(lead[i]) for i in same.tolist() if self.raw[start[i] : end[i]] != self.raw[start[lead[i]] : end[lead[i]]]}:
+            new[lead == j] = True  # equal hashes of other words: each of these windows stands by itself
+        keep = new.copy()
+        keep[1:] |= owner[1:] != owner[:-1]
+        group = np.cumsum(new)[keep] - 1
+        heads = np.flatnonzero(new)
+        bitmap = np.zeros(1 << BITS, bool)
+        bitmap[h[heads] >> U(64 - BITS)] = True
+        return h[heads], start[heads].astype(np.uint32), end[heads].astype(np.uint32), np.searchsorted(group, np.arange(len(heads) + 1)).astype(np.uint32), owner[keep], np.packbits(bitmap)
+
+    def held(self) -> int:
+        """Bytes of all arrays."""
+        return len(self.raw) + sum(len(k) for k in self.keys) + sum(a.nbytes for arrays in self.by_size.values() for a in arrays)
 
     def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Whether each word is hit, and the items found in each text."""
         hit, found = np.zeros(len(words.starts) + 1, np.int64), {}
-        if not self.hashes:
-            return hit[:-1] > 0, found
-        h = words.hashes()
-        for size, (hashes, bitmap) in self.hashes.items():
+        h = words.hashes() if self.by_size else None
+        for size, (hashes, start, end, first, owner, bitmap) in self.by_size.items():
             at = window_starts(words.first, size)
             if not len(at):
                 continue
             seen = rolling(h, size)[at]
-            maybe = np.flatnonzero(bitmap[seen >> U(64 - BITS)])
-            maybe = maybe[hashes[np.minimum(np.searchsorted(hashes, seen[maybe]), len(hashes) - 1)] == seen[maybe]]
-            for i, d in zip(at[maybe].tolist(), (np.searchsorted(words.first, at[maybe], side="right") - 1).tolist()):
-                items = self.items.get(words.joined(i, size))
-                if items is not None:
-                    hit[i] += 1
-                    hit[i + size] -= 1
-                    found.setdefault(d, set()).update(items)
-        return np.cumsum(hit[:-1]) > 0, found
+            place = seen >> U(64 - BITS)
+            maybe = np.flatnonzero((bitmap[place >> U(3)] >> (U(7) - (place & U(7))).astype(np.uint8)) & 1)
+            low, high = np.searchsorted(hashes, seen[maybe], "left"), np.searchsorted(hashes, seen[maybe], "right")
+            maybe, low, high = (x[low < high] for x in (maybe, low, high))
+            for i, d, a, b in zip(at[maybe].tolist(), (np.searchsorted(words.first, at[maybe], side="right") - 1).tolist(), low.tolist(), high.tolist()):
+                own = words.joined(i, size)
+                for g in range(a, b):
+                    if self.raw[start[g] : end[g]] == own:
+                        hit[i] += 1
+                        hit[i + size] -= 1
+                        found.setdefault(d, set()).update(owner[first[g] : first[g + 1]].tolist())
+        return np.cumsum(hit[:-1]) > 0, {d: {self.keys[o] for o in owners if o >= 0} for d, owners in found.items()}
 
 
 def blocks(items: DataFrame, key: str, text: str, n: int, block_bytes: int) -> Iterator[WindowSet]:
@@ -88,7 +108,7 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
 
 
-def scanned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 64 << 20) -> tuple[DataFrame, list[str]]:
+def scanned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = 32 << 20) -> tuple[DataFrame, list[str]]:
     """docs with n_words, hits (starts and ends of runs of hit words, flat) and items (ids); the names clash with no column."""
     small_batches(docs.sparkSession)
     names = fresh(docs.columns, "n_words", "hits", "items")
@@ -115,7 +135,7 @@ def _scan(sent, text: str, names: list[str]):
                     for a, b in zip(hits[i + d][::2], hits[i + d][1::2]):
                         own[a:b] = True
                     hits[i + d] = _runs(own).tolist()
-                    items[i + d] = sorted({*items[i + d], *(x for x in new if x is not None)})
+                    items[i + d] = sorted({*items[i + d], *new})
             out = dict(zip(batch.schema.names, batch.columns)) | {names[0]: pa.array(count, pa.int64()), names[1]: pa.array(hits, pa.list_(pa.int32())), names[2]: pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
