@@ -4,8 +4,9 @@ Documents of equal shingle sets are one set. Each set has a signature of minwise
 `trees` independent trees a set branches, at each node, by 1 / similarity of the signature's places on average: which
 places is drawn from the node's path, so that similar sets go the same way. Two sets of just the wanted similarity share
 one branch of a node on average, sets of less fewer, so nodes get small with depth, and a pair's chance to meet in a leaf
-grows with the trees to the target recall. Nodes above `node_rows` branch on; the members of small nodes are compared
-exhaustively by signature, and the pairs that pass are confirmed on the full shingle sets.
+grows with the trees to the target recall. Nodes above `node_rows` branch on, round by round, until they are small; a node
+whose members mostly go the same way is a group of alike members, which no branching makes small, and stays as it is. The
+members of small nodes are compared exhaustively by signature, and the pairs that pass are confirmed on the full sets.
 
 A node of many alike members would give all their pairs. It gives the links of a spanning forest instead, the likeliest
 first; when those are confirmed and components known, its members outside its largest component are held against all its
@@ -15,7 +16,7 @@ first member in each cell, in the second each cell of the largest component's me
 
 Cases: a null or empty text has an empty set and is linked with nothing; texts with fewer words than a shingle have one
 shingle, the whole sequence; rows with a null key are linked with nothing, have no component and are kept; rows of the
-same key and text share their decision; an empty table gives an empty result; other columns play no part.
+same key and text share their decision, rows of the same key and other texts are decided each by its own text; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -112,15 +113,16 @@ def _tokens(blobs: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int, trees: int, depth: int, node_rows: int):
+    def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int, trees: int, depth: int, node_rows: int, digested: bool = False):
         small_batches(docs.sparkSession)
+        self.extra = [F.sha2(F.col("text").cast("binary"), 256).alias("digest")] if digested else []
         self.docs, self.n, self.percent, self.trees, self.depth, self.node_rows = only_texts(docs, key, text), n, percent, trees, depth, node_rows
         self.similarity, self.cell_rows = percent / 100, 8 * node_rows
         # four standard deviations of the share of agreeing places
         self.least = int(PLACES * (self.similarity - 4 * (self.similarity * (1 - self.similarity) / PLACES) ** 0.5))
 
     def signed(self) -> DataFrame:
-        n = self.n
+        n, more = self.n, bool(self.extra)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -129,9 +131,9 @@ class Join:
                     count.append(len(s))
                     ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     signs.append(signature(s).tobytes() if len(s) else None)
-                yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array(count, pa.int64()), "set": pa.array(ids, pa.binary()), "sign": pa.array(signs, pa.binary())})
+                yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array(count, pa.int64()), "set": pa.array(ids, pa.binary()), "sign": pa.array(signs, pa.binary())} | ({"digest": batch.column(2)} if more else {}))
 
-        return written(self.docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set binary, sign binary"), "neardup")
+        return written(self.docs.select("doc_id", "text", *self.extra).mapInArrow(run, "doc_id bigint, n_shingles bigint, set binary, sign binary" + ", digest string" * more), "neardup")
 
     def rooted(self, sets: DataFrame) -> DataFrame:
         """(node, set) at `depth` below the roots."""
@@ -147,26 +149,43 @@ class Join:
 
         return sets.select("set", "sign").mapInArrow(run, "node bigint, set binary")
 
-    def deeper(self, rows: DataFrame) -> DataFrame:
-        """(node, set) further down for rows (node, set, sign)."""
+    def deeper(self, rows: DataFrame, subtrees: int) -> DataFrame:
+        """(parent, node, set) further down for rows (node, set, sign): in each of so many subtrees of the node."""
         depth, similarity = self.depth, self.similarity
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    node, owner = branches(_tokens(batch.column(2), "<u2"), batch.column(0).to_numpy().view(U), np.arange(batch.num_rows), depth, similarity)
-                    yield pa.record_batch({"node": pa.array(node.view(np.int64)), "set": batch.column(1).take(pa.array(owner))})
+                    nodes = batch.column(0).to_numpy().view(U)
+                    roots = np.concatenate([nodes, *(mix(nodes ^ mix(U(k) * _STEP)) for k in range(1, subtrees))])
+                    node, owner = branches(_tokens(batch.column(2), "<u2"), roots, np.tile(np.arange(batch.num_rows), subtrees), depth, similarity)
+                    owner = pa.array(owner)
+                    yield pa.record_batch({"parent": batch.column(0).take(owner), "node": pa.array(node.view(np.int64)), "set": batch.column(1).take(owner)})
 
-        return rows.select("node", "set", "sign").mapInArrow(run, "node bigint, set binary")
+        return rows.select("node", "set", "sign").mapInArrow(run, "parent bigint, node bigint, set binary")
 
     def nodes(self, sets: DataFrame) -> DataFrame:
-        """(node, set, sign, size) of all nodes with two members or more."""
-        rows = written(self.rooted(sets).distinct(), "neardup")
-        found = written(rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node"), "neardup")
-        large = found.where(F.col("size") > self.node_rows).select("node", "set").join(sets.select("set", "sign"), "set")
-        more = written(self.deeper(large).distinct(), "neardup")
-        more = more.join(more.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node")
-        return written(found.where(F.col("size") <= self.node_rows).unionByName(more).join(sets.select("set", "sign"), "set"), "neardup")
+        """(node, set, sign, size) of all nodes with two members or more that branch no further."""
+        signs, parts = sets.select("set", "sign"), []
+        rows, subtrees = self.rooted(sets).distinct(), 2
+        while True:
+            rows = written(rows, "neardup")
+            found = written(rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node"), "neardup")
+            parts.append(found.where(F.col("size") <= self.node_rows))
+            large = found.where(F.col("size") > self.node_rows)
+            if large.isEmpty():
+                break
+            below = written(self.deeper(large.join(signs, "set"), subtrees).distinct(), "neardup")
+            # members as alike as is wanted go the same way at each place with odds of the root of the similarity
+            together = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.max("n").alias("n"))
+            sizes = large.groupBy(F.col("node").alias("parent")).agg(F.first("size").alias("size"))
+            shrinking = written(together.join(sizes, "parent").where(F.col("n") < F.col("size") * self.similarity ** (self.depth / 2)).select("parent"), "neardup")
+            parts.append(large.join(shrinking.withColumnRenamed("parent", "node"), "node", "left_anti"))
+            rows, subtrees = below.join(shrinking, "parent").select("node", "set").distinct(), 1
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        return written(found.join(signs, "set"), "neardup")
 
     def compared(self, cells: DataFrame) -> DataFrame:
         """Pairs (a, b) of members alike in a cell (node, cell, set, sign, label); where there are many, only a spanning forest of the likeliest, and a row (node, null, null) that says so."""
@@ -274,7 +293,7 @@ class Join:
         return main.unionByName(column).unionByName(meet).select("node", "cell", "set", "sign", "label").dropDuplicates(["node", "cell", "set"])
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, set, component_id, kept for each row of docs."""
+        """doc_id, n_shingles, set, component_id, kept (and the digest if asked for) for each row of docs."""
         signed = self.signed()
         linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         sets = written(linked.groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("sign").alias("sign")), "neardup")
@@ -290,24 +309,28 @@ class Join:
         labelled = sets.select("set", "rep").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
         least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
         parts = written(labelled.join(least, "label").select("set", "component_id"), "neardup")
-        done = linked.select("doc_id", "n_shingles", "set").join(parts, "set")
-        alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", "set", F.col("doc_id").alias("component_id"))
+        columns = ["doc_id", "n_shingles", "set", *(["digest"] if self.extra else [])]
+        done = linked.select(*columns).join(parts, "set")
+        alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select(*columns, F.col("doc_id").alias("component_id"))
         return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, node_rows: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs; n words a shingle, linked at `percent` of Jaccard similarity.
 
-    At the defaults a pair of exactly 80 percent meets in a tree with probability 0.64, and in none of ten trees with 3e-5.
+    At the defaults a pair of exactly 80 percent meets in a tree with probability 0.64, and in none of ten trees with 3e-5;
+    a pair all of whose common nodes are large goes on in two subtrees of each, and meets in a tree with 0.59 at depth 6, 0.47
+    at 12 and 0.33 at 24 (none of ten trees: 1e-4, 2e-3, 2e-2; at 85 percent 6e-6, 5e-5, 3e-4), by simulation of the branching.
     """
     return Join(docs, key, text, n, percent, trees, depth, node_rows).run().select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """docs with one document of each group; the columns as they were."""
-    (gone,) = fresh(docs.columns, "gone")
-    dropped = clustered(docs, key, text, **more).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(dropped, col(key).cast("bigint") == F.col(gone), "left_anti")
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, node_rows: int = 512) -> DataFrame:
+    """docs with one document of each group; the columns as they were. A row goes by its key and its text, so that others of its key stay."""
+    gone, mark = fresh(docs.columns, "gone", "mark")
+    found = Join(docs, key, text, n, percent, trees, depth, node_rows, digested=True).run()
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias(gone), F.col("digest").alias(mark)).distinct()
+    return docs.join(dropped, (col(key).cast("bigint") == F.col(gone)) & (F.sha2(col(text).cast("string").cast("binary"), 256) == F.col(mark)), "left_anti")
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
