@@ -3,9 +3,9 @@
 1. Each block of documents makes a count-min sketch of its windows (two rows of cells; sparse, as nearly all cells of a
    block are empty). The sketches are merged in shards of the cell space. A window's least cell never counts less than
    the window occurs, so windows whose cells do not both reach two are unique, and are not looked at again.
-2. The other windows of each block, by a 96-bit key of their words, go to shards that group them exactly: a shard tells
-   each block which of its keys start earlier elsewhere. Each block sends a key once, with the first place of it, however
-   often it occurs.
+2. The other windows of each block, by a 128-bit BLAKE2 digest of their words (joined by single spaces, which no word
+   holds), go to shards that group them: a shard tells each block which of its digests start earlier elsewhere. Each block
+   sends a digest once, with the first place of it, however often it occurs.
 3. Each block removes the words of all windows that start earlier somewhere.
 
 The sketch has 2 * `cells` cells for each window of the corpus, so the share of unique windows that pass step 1 is the
@@ -46,33 +46,53 @@ def _windows(texts: list[bytes | None], n: int) -> tuple[np.ndarray, ...]:
 
 
 class Plan:
-    """How large things are: window length, bits of a row of cells, bits of a shard's cells, bits of the number of key shards."""
+    """How large things are: window length, shards of the sketch and bits of the cells of each, shards of the digests."""
 
     def __init__(self, n: int, text_bytes: int, cells: int, shard_bits: int):
         windows = max(1, text_bytes // 6)  # an estimate: it sets sizes, not results
-        self.n, self.bits = n, max(16, int(np.ceil(np.log2(windows * cells))))
-        self.shard_bits = min(shard_bits, max(12, self.bits - 4))
-        self.key_bits = max(4, int(np.ceil(np.log2(max(1, windows / 2e6)))))
+        self.n, self.shard_bits = n, min(shard_bits, max(12, (windows * cells).bit_length() - 4))
+        self.sketches, self.groups = -(-windows * cells >> self.shard_bits), max(8, -(-windows // 2_000_000))
 
     def cells(self, keys: np.ndarray) -> np.ndarray:
-        return keys >> U(64 - self.bits)
+        """The cell of each hash: its shard of the sketch, then its place there."""
+        return (_dealt(keys, self.sketches) << U(self.shard_bits)) | (keys & U((1 << self.shard_bits) - 1))
 
 
-def _split(sorted_keys: np.ndarray, bits: int):
-    """(shard, from, to) for runs of equal sorted_keys >> bits."""
-    shard = (sorted_keys >> U(bits)).astype(np.int64)
+def _dealt(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash; it grows with the hash."""
+    return ((keys >> U(32)) * U(shards)) >> U(32)
+
+
+def _split(shard: np.ndarray):
+    """(shard, from, to) for runs of equal shards."""
+    shard = shard.astype(np.int64)
     edges = np.flatnonzero(np.diff(shard)) + 1
     for a, b in zip([0, *edges], [*edges, len(shard)]):
         if b > a:
             yield int(shard[a]), a, b
 
 
+def _digests(texts: list[bytes | None], doc: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each window's words."""
+    out, at = bytearray(), 0
+    ends = np.searchsorted(doc, np.arange(len(texts)), side="right").tolist()
+    for d, to in enumerate(ends):
+        if to > at:
+            words = Words([b" ".join(texts[d].split())], SPACED)
+            i = start[at:to]
+            for a, b in zip(words.starts[i].tolist(), (words.starts[i + n - 1] + words.lens[i + n - 1]).tolist()):
+                out += hashlib.blake2b(words.raw[a:b], digest_size=16).digest()
+            at = to
+    found = np.frombuffer(bytes(out), U).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
 def _sketch(plan: Plan):
     def run(block: int, blob: bytes):
         k1, k2, _, _ = _windows(B.documents(blob)[1], plan.n)
         for row, keys in enumerate((k1, k2)):
             cells, counts = np.unique(plan.cells(keys), return_counts=True)
-            for shard, a, b in _split(cells, plan.shard_bits):
+            for shard, a, b in _split(cells >> U(plan.shard_bits)):
                 local = (cells[a:b] - (U(shard) << U(plan.shard_bits))).astype(np.uint32)
                 yield shard * ROWS + row, CELLS, block, B.pack(B.steps(local), np.minimum(counts[a:b], 2).astype(np.uint8))
 
@@ -94,7 +114,7 @@ def _merge(plan: Plan):
 
 
 def _maybe(plan: Plan, by: dict) -> tuple:
-    """ids, texts and the windows estimated repeated, ordered by key, then by place; and where each distinct key starts."""
+    """ids, texts and the windows estimated repeated, ordered by digest, then by place; and where each distinct digest starts."""
     ids, texts = B.documents(by[B.DOCS][0][1])
     k1, k2, doc, start = _windows(texts, plan.n)
     for row, keys in enumerate((k1, k2)):
@@ -106,7 +126,8 @@ def _maybe(plan: Plan, by: dict) -> tuple:
             keep = ok
         else:
             keep &= ok
-    k1, k2, doc, start = k1[keep], (k2[keep] & U(0xFFFFFFFF)).astype(np.uint32), doc[keep], start[keep]
+    doc, start = doc[keep], start[keep]
+    k1, k2 = _digests(texts, doc, start, plan.n)
     key = np.array([LOWEST if i is None else i for i in ids], np.int64)
     order = np.lexsort((start, key[doc], k2, k1))
     k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
@@ -118,7 +139,7 @@ def _ask(plan: Plan):
     def run(block: int, by: dict):
         _, key, k1, k2, doc, start, first, _ = _maybe(plan, by)
         k1, k2, doc, start = k1[first], k2[first], doc[first], start[first]
-        for shard, a, b in _split(k1, 64 - plan.key_bits):
+        for shard, a, b in _split(_dealt(k1, plan.groups)):
             used, local = np.unique(key[doc[a:b]], return_inverse=True)
             yield shard, KEYS, block, B.pack(B.steps(k1[a:b]), k2[a:b], used, local.astype(np.uint32), start[a:b].astype(np.uint32))
 
@@ -148,7 +169,7 @@ def _removed(plan: Plan, by: dict) -> tuple[list, list, list[np.ndarray | None]]
     texts, key, k1, _, doc, start, first, ids = _maybe(plan, by)
     told = dict(by.get(EARLIER, ()))
     lost = np.zeros(len(first), bool)
-    for shard, a, b in _split(k1[first], 64 - plan.key_bits):
+    for shard, a, b in _split(_dealt(k1[first], plan.groups)):
         lost[a:b] = np.unpackbits(B.unpack(told[shard])[0], count=b - a).astype(bool)
     size = np.diff(np.concatenate([first, [len(k1)]]))
     lead = np.repeat(first, size)
@@ -189,7 +210,7 @@ def _finish(plan: Plan, texts_too: bool):
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 20, texts: bool = True, cells: int = 4, block_bytes: int = 16 << 20, shard_bits: int = 24) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (or, without texts, kept_sha256) for each row of docs."""
     plan = Plan(n, B.text_bytes(docs, text), cells, shard_bits)
-    made = written(B.made(docs, key, text, block_bytes, level=9), "substring")
+    made = written(B.made(docs, key, text, block_bytes, level=6), "substring")
     repeated = written(B.gathered(B.each(made, _sketch(plan)), _merge(plan)), "substring")
     earlier = B.gathered(B.gathered(made.unionByName(repeated), _ask(plan)), _first)
     return B.gathered(made.unionByName(repeated).unionByName(earlier), _finish(plan, texts), f"doc_id bigint, n_words bigint, n_removed bigint, {'kept_text' if texts else 'kept_sha256'} string")
