@@ -1,10 +1,12 @@
 """Sharding by sampled splitters: records in order of (hash of the text, key), cut so that shards hold nearly equal bytes.
 
 A sample of keys, weighted by size, gives splitters at even quantiles, and records are dealt to the ranges between them.
-Ranges that hold over twice their share are subdivided by splitters of their own, drawn again, until none is left or a
-range is one key. The exact bytes and rows of the ranges then place every record: a record belongs to the shard in whose
+All ranges that hold over twice their share are subdivided in one pass, by splitters drawn in each, until none is left or
+what is left cannot be divided: one key (and its copies) that is more than that by itself. Each record is drawn or not by itself, with odds by its size, so a
+pass sends the driver about `sample` keys, or `again` for each overfull range, whatever the number of tasks. The exact bytes and rows of the ranges then place every record: a record belongs to the shard in whose
 stretch of the bytes its middle lies, and its slot is its place among the shard's records. So shards are equal up to one
-record, equal texts lie side by side, and a group of copies larger than a shard goes on in the next one.
+record, equal texts lie side by side, and a group of copies is cut only by one of the shards - 1 boundaries: it goes on in
+the next shard. (Keeping every group whole would break the law of bytes where a group is larger than a shard.)
 
 Cases: a null text has no bytes (size 1); a null key comes first; rows equal in key and text are counted, not carried,
 and take consecutive places; an empty table gives an empty result; other columns play no part.
@@ -26,14 +28,14 @@ LAW = "bytes"
 LOWEST = -(1 << 63)
 
 
-def _draw(rows: DataFrame, most: int) -> list[tuple[int, int]]:
-    """At most `most` keys, drawn without replacement, each row as likely as it is large: those of the least exponential times."""
-    u = (F.pmod(F.xxhash64("hash", "id", F.lit("draw")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    time = -F.log(u) / (F.col("size") * F.col("copies"))
-    return sorted((r["hash"], r["id"]) for r in rows.select("hash", "id", time.alias("time")).orderBy("time", "hash", "id").limit(most).collect())
+def _draw(rows: DataFrame, wanted, salt: int) -> list:
+    """Rows drawn each by itself, as likely as large: those whose exponential time, at the rate of their bytes, is under `wanted`."""
+    u = (F.pmod(F.xxhash64("hash", "id", F.lit(salt)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return rows.where(-F.log(u) / (F.col("size") * F.col("copies")) < wanted).collect()
 
 
 def _quantiles(drawn: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+    drawn = sorted(drawn)
     return sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if len(drawn) >= parts else sorted(set(drawn[1:]))
 
 
@@ -55,28 +57,37 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema.simpleString()[7:-1].replace(":", " ") + ", range bigint")
 
 
-def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", sample: int = 8192, range_rows: int = 200_000, rounds: int = 4) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot for each row of docs."""
-    body = F.coalesce(col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(body).alias("hash"), F.coalesce(col(key).cast("bigint"), F.lit(LOWEST)).alias("id"), col(key).isNull().alias("none"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
-    rows = written(rows.groupBy("hash", "id", "none", "size", "crc").agg(F.count(F.lit(1)).alias("copies")), "shard")
-    n = rows.count()
-    parts = max(4 * shards, -(-n // range_rows))
-    splitters = _quantiles(_draw(rows, max(sample, 8 * parts)), parts)
-    totals = F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")
-    for _ in range(rounds):
-        found = _ranged(rows, splitters).groupBy("range").agg(*totals).collect()
-        share = sum(r["bytes"] for r in found) / parts
-        over = [r["range"] for r in found if r["rows"] > 1 and r["rows"] > 2 * range_rows or r["rows"] > 1 and r["bytes"] > 2 * share]
-        if not over:
+def splitters_of(rows: DataFrame, least: int, sample: int, range_rows: int, again: int) -> list[tuple[int, int]]:
+    """Splitters of (hash, id, size, copies) for `least` ranges or more, none of over twice its share of bytes or 2 * range_rows rows if it can be divided."""
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0)).alias("bytes")).first()
+    parts = max(least, -(-whole["n"] // range_rows))
+    drawn = _draw(rows.select("hash", "id", "size", "copies"), max(sample, 8 * parts) / max(whole["bytes"], 1), 0)
+    splitters = _quantiles([(r["hash"], r["id"]) for r in drawn], parts)
+    totals = F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.count(F.lit(1)).alias("rows")
+    share, salt = whole["bytes"] / parts, 0
+    while True:
+        found = _ranged(rows, splitters).groupBy("range").agg(*totals).where((F.col("rows") > 1) & ((F.col("rows") > 2 * range_rows) | (F.col("bytes") > 2 * share))).select("range", "bytes").collect()
+        if not found:
             break
-        more = set(splitters)
-        for part in over[:64]:
-            inside = _ranged(rows, splitters).where(F.col("range") == part).drop("range")
-            more |= set(_quantiles(_draw(inside, 512), 8))
+        salt += 1
+        over = rows.sparkSession.createDataFrame([(r["range"], again / r["bytes"]) for r in found], "range bigint, wanted double")
+        inside: dict[int, list[tuple[int, int]]] = {}
+        for r in _draw(_ranged(rows, splitters).join(F.broadcast(over), "range").select("range", "hash", "id", "size", "copies", "wanted"), F.col("wanted"), salt):
+            inside.setdefault(r["range"], []).append((r["hash"], r["id"]))
+        more = {*splitters, *(s for drawn in inside.values() for s in _quantiles(drawn, 8))}
         if len(more) == len(splitters):
             break
         splitters = sorted(more)
+    return splitters
+
+
+def sharded(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", sample: int = 8192, range_rows: int = 200_000, again: int = 64) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot for each row of docs."""
+    body = F.coalesce(col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(body).alias("hash"), F.coalesce(col(key).cast("bigint"), F.lit(LOWEST)).alias("id"), col(key).isNull().alias("none"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    rows = written(rows.groupBy("hash", "id", "none", "size", "crc").agg(F.count(F.lit(1)).alias("copies")), "shard")
+    splitters = splitters_of(rows, 4 * shards, sample, range_rows, again)
+    totals = F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("copies")
     found = {r["range"]: r for r in _ranged(rows, splitters).groupBy("range").agg(*totals).collect()}
     total, at, before = sum(r["bytes"] for r in found.values()), 0, []
     place = 0
