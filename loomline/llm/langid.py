@@ -7,12 +7,18 @@ sum to one). The code length of a text under each language is exact; the shortes
 
 Bytes: A-Z in lower case; each run of ASCII that is no letter is one space; bytes that training never saw are one symbol.
 
+Contexts are kept sparsely and without any cut: for each language and order, the sorted (context, byte) numbers that its
+sample holds, with their code lengths, and for each context what escaping from it costs. A batch's distinct contexts are
+looked up once in each language, so a byte costs a sort and one addition a language.
+
 Training takes a bounded sample: for each language, the `sample_rows` training rows that come first by a hash of their
-key, whole texts, up to `sample_bytes`. Prediction reads every whole text.
+key, whole texts, up to `sample_bytes`, and up to `all_bytes` over all languages together (each language's bound shrinks
+as languages grow in number). That sample bounds the model, and so what is broadcast: 8 to 12 bytes for each distinct
+context of a byte, four for a sampled byte at the most. More than `most_langs` languages are an error, not a cut.
 
-Cases: a null text, or one without a letter, is `und` with score 0; without any training row every text is `und`; ties go
-to the language that sorts first; rows with a null language or key are never sampled; repeated rows are predicted one by
-one; other columns play no part.
+Cases: a null text, or one without a letter, is `und` with score 0; without any training row every text is `und`, and
+`accepted` keeps what has a letter, as there is no language to judge by; ties go to the language that sorts first; rows
+with a null language, key or text are never sampled; repeated rows are predicted one by one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -42,92 +48,118 @@ def symbols_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return data[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
+class Tree:
+    """The contexts of one language: by order, (context, symbol) numbers and their bits, context numbers and the bits of an escape."""
+
+    def __init__(self, x: np.ndarray, size: int, order: int):
+        self.size, self.levels = size, []
+        for k in range(order + 1):
+            grams, n = np.unique(codes_of(x, k, size), return_counts=True)
+            contexts, first = np.unique(grams // size, return_index=True)
+            of = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(grams))))
+            total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
+            # what the next shorter context gives to the bytes seen here: they were all seen there too
+            under = 2.0 ** -self._seen(k - 1, grams % size**k) if k else np.full(len(grams), 1 / size)
+            rest = np.maximum(1 - np.bincount(of, under, len(contexts)), 0)
+            rest = np.where((distinct < size) & (rest > 1e-12), rest, 0)
+            escape = np.where(rest > 0, distinct / np.maximum(total + distinct, 1), 0)
+            bits = -np.log2(n / total[of] * (1 - escape[of])) if len(grams) else np.zeros(0)
+            out = np.where(rest > 0, np.log2(np.maximum(rest, 1e-300)) - np.log2(np.maximum(escape, 1e-300)), 0)
+            self.levels.append((grams, bits, contexts, out))
+
+    def _seen(self, k: int, grams: np.ndarray) -> np.ndarray:
+        own, bits, _, _ = self.levels[k]
+        return bits[np.searchsorted(own, grams)]
+
+    def compact(self) -> None:
+        """Bits in four bytes, once all orders are made."""
+        self.levels = [(g, b.astype(np.float32), c, o.astype(np.float32)) for g, b, c, o in self.levels]
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of (context, symbol) numbers of the longest order."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for k in reversed(range(len(self.levels))):
+            own, bits, contexts, escape = self.levels[k]
+            g = grams[left] % self.size ** (k + 1)
+            if len(own):
+                at = np.minimum(np.searchsorted(own, g), len(own) - 1)
+                hit = own[at] == g
+                out[left[hit]] += bits[at[hit]]
+                left, g = left[~hit], g[~hit]
+                at = np.minimum(np.searchsorted(contexts, g // self.size), len(contexts) - 1)
+                known = contexts[at] == g // self.size
+                out[left[known]] += escape[at[known]]
+        out[left] += np.log2(self.size)
+        return out
+
+
+def codes_of(x: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Of each symbol that has k before it: those and itself as a number."""
+    out = np.zeros(max(len(x) - k, 0), np.int64)
+    for i in range(k + 1):
+        out *= size
+        out += x[i : len(x) - k + i]
+    return out
+
+
 class Model:
-    """Code lengths in bits of each symbol after each context, for each language."""
+    """A tree for each language, over the bytes that training saw and one symbol (0) for all others."""
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = 3, least: int = 2, most_contexts: int = 1 << 14):
+    def __init__(self, samples: dict[str, list[bytes]], order: int = 3):
         self.langs, self.order = sorted(samples), order
         streams = [symbols_of(samples[lang])[0] for lang in self.langs]
         seen = np.unique(np.concatenate([np.array([32], np.uint8), *streams]))
         self.symbol = np.zeros(256, np.int64)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
-        s = self.size = len(seen) + 1  # symbol 0: bytes that training never saw
-        streams = [self.symbol[x] for x in streams]
-        probabilities, parents = [], np.zeros(s**order, np.int64)
-        lower = np.full((1, len(streams), s), 1 / s)
-        total = 0
-        for k in range(order + 1):
-            grams = [np.unique(self._codes(x, k), return_counts=True) for x in streams]
-            often = sum(np.bincount(codes // s, n, s**k) for codes, n in grams)
-            ids = np.flatnonzero(often >= least) if k else np.array([0])
-            if len(ids) > most_contexts:
-                ids = np.sort(ids[np.argsort(-often[ids], kind="stable")[:most_contexts]])
-            own = np.zeros((len(ids), len(streams), s))
-            for lang, (codes, n) in enumerate(grams):
-                at = np.minimum(np.searchsorted(ids, codes // s), len(ids) - 1)
-                known = ids[at] == codes // s
-                own[at[known], lang, codes[known] % s] = n[known]
-            under = lower if k == 0 else np.concatenate(probabilities)[parents[ids % s ** (k - 1) if k > 1 else np.zeros(len(ids), np.int64)]]
-            n, distinct = own.sum(2, keepdims=True), (own > 0).sum(2, keepdims=True)
-            unseen = np.where(own > 0, 0, under)
-            rest = unseen.sum(2, keepdims=True)
-            escape = np.where(rest > 0, distinct / np.maximum(n + distinct, 1), 0)
-            here = np.where(n > 0, np.where(own > 0, own / np.maximum(n, 1) * (1 - escape), escape * unseen / np.maximum(rest, 1e-300)), under)
-            probabilities.append(here)
-            # the state of every context of this order: its own, or that of its longest suffix
-            suffix = parents[np.arange(s**k) % s ** (k - 1)] if k > 1 else np.zeros(s**k, np.int64)
-            parents = suffix.copy()
-            parents[ids] = total + np.arange(len(ids))
-            total += len(ids)
-        self.state = parents.astype(np.int32)
-        self.bits = np.ascontiguousarray(-np.log2(np.concatenate(probabilities)).transpose(0, 2, 1).reshape(-1, len(streams)), dtype=np.float32)
-
-    def _codes(self, x: np.ndarray, k: int) -> np.ndarray:
-        """Of each symbol that has k before it: those and itself as a number."""
-        out = np.zeros(max(len(x) - k, 0), np.int64)
-        for i in range(k + 1):
-            out *= self.size
-            out += x[i : len(x) - k + i]
-        return out
+        self.size = len(seen) + 1
+        self.trees = []
+        for x in streams:
+            self.trees.append(Tree(self.symbol[x], self.size, order))
+            self.trees[-1].compact()
+
+    def held(self) -> int:
+        return sum(a.nbytes for tree in self.trees for level in tree.levels for a in level)
 
     def lengths(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text under each language, and symbols of each text."""
         data, at = symbols_of(texts)
         x = np.concatenate([np.full(self.order, self.symbol[32]), self.symbol[data]])
-        context = np.zeros(len(data), np.int64)
-        for i in range(self.order):
-            context *= self.size
-            context += x[i : i + len(data)]
-        rows = self.state[context].astype(np.int64)
-        rows *= self.size
-        rows += x[self.order :]
+        grams = codes_of(x, self.order, self.size)
         # the first symbols of a text follow the end of the text before: their contexts start anew
         for k in range(1, self.order + 1):
             i = at[:-1] + k
             i = i[i < at[1:]]
-            past = np.zeros(len(i), np.int64)
-            for j in range(self.order, 0, -1):
-                past = past * self.size + (x[i + self.order - j] if j <= k else self.symbol[32])
-            rows[i] = self.state[past].astype(np.int64) * self.size + x[i + self.order]
-        bits = np.take(self.bits, rows, axis=0)
-        bits[at] = 0  # the space before a text is given
-        return np.add.reduceat(bits, at[:-1], axis=0, dtype=np.float64), np.diff(at) - 1
-
-
-def trained(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 300, sample_bytes: int = 1 << 20, **more) -> Model | None:
+            anew = np.zeros(len(i), np.int64)
+            for j in range(self.order, -1, -1):
+                anew = anew * self.size + (x[i + self.order - j] if j <= k else self.symbol[32])
+            grams[i] = anew
+        own, of = np.unique(grams, return_inverse=True)
+        count, out = np.diff(at) - 1, np.zeros((len(at) - 1, len(self.trees)))
+        for k, tree in enumerate(self.trees):
+            bits = tree.bits(own)[of]
+            bits[at] = 0  # the space before a text is given
+            out[:, k] = np.add.reduceat(bits, at[:-1])
+        return out, count
+
+
+def trained(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 300, sample_bytes: int = 1 << 20, all_bytes: int = 32 << 20, most_langs: int = 1000, order: int = 3) -> Model | None:
     """A model of the rows for which `use` holds; None if there are none."""
     rows = docs.where(use & col(lang).isNotNull() & col(key).isNotNull() & col(text).isNotNull()).select(col(key).alias("k"), col(lang).cast("string").alias("l"))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))).where(F.col("n") <= sample_rows).select("k").collect()
-    if not first:
+    langs = [r["l"] for r in rows.select("l").distinct().limit(most_langs + 1).collect()]
+    if len(langs) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
+    if not langs:
         return None
+    each = min(sample_bytes, all_bytes // len(langs))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))).where(F.col("n") <= min(sample_rows, max(1, each // 64))).select("k").collect()
     sample = docs.where(use & col(lang).isNotNull() & col(key).isin(sorted({r["k"] for r in first}))).select(col(key).alias("k"), col(lang).cast("string").alias("l"), col(text).cast("string").alias("t"), F.xxhash64(col(key)).alias("h"))
     samples: dict[str, list[bytes]] = {}
     held: dict[str, int] = {}
     for r in sample.orderBy("h", "k", "t").toLocalIterator():
-        if held.get(r["l"], 0) < sample_bytes and r["t"] is not None:
+        if held.get(r["l"], 0) < each and r["t"] is not None:
             samples.setdefault(r["l"], []).append(r["t"].encode())
             held[r["l"]] = held.get(r["l"], 0) + len(samples[r["l"]][-1])
-    return Model(samples, **more) if samples else None
+    return Model(samples, order) if samples else None
 
 
 def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[DataFrame, list[str]]:
@@ -163,8 +195,10 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> tuple
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs in a known language: those that are not `und` and that a language codes in fewer bits than symbols drawn evenly would take."""
+    if model is None:
+        return docs.where(col(text).cast("string").rlike(r"\p{L}"))
     done, (pred, _, bits) = predicted(docs, model, text)
-    return done.where((col(pred) != "und") & (col(bits) < float(np.log2(model.size) if model else 0))).select(*[col(c) for c in docs.columns])
+    return done.where((col(pred) != "und") & (col(bits) < float(np.log2(model.size)))).select(*[col(c) for c in docs.columns])
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -249,14 +249,6 @@ def test_language_id(spark):
     assert {r[pred] for r in nothing.collect()} == {"und"} and langid.predicted(empty(spark), model)[0].count() == 0
 
 
-def test_language_model_probabilities_sum_to_one():
-    import numpy as np
-
-    model = langid.Model({"a": [b"abab abba cab"], "b": [b"xyz xxyz zzy \xc3\xa9"]})
-    p = np.exp2(-model.bits.astype(float)).reshape(-1, model.size, 2).sum(1)
-    assert abs(p - 1).max() < 1e-5
-
-
 def test_lm_scoring(spark):
     import math
 
