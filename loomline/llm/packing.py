@@ -10,7 +10,7 @@ Windows are dealt to step groups of nearly equal token counts.
 A block of documents is packed at a time, within one partition: nothing is shuffled, and memory has a bound.
 
 Ids are those that the `tokenizers` library gives for the named vocabulary: the string of a special token in a text is
-that token, unless `plain_specials` makes such strings ordinary text.
+that token, unless `plain_specials` makes such strings ordinary text (see bpe).
 
 Cases: a null or empty text is a document of the end id alone; repeated documents are packed one by one; an empty table
 gives no piece; a null key stays null; a text of any length is one document; other columns play no part.
@@ -18,11 +18,9 @@ gives no piece; a null key stays null; a text of any length is one document; oth
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heapreplace
 
 import numpy as np
@@ -30,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .bpe import encoder
 from .frames import col, small_batches, table
 from .words import binary, chunks
 
@@ -99,17 +98,6 @@ def balance(sizes: list[int], step_tokens: int) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, plain_specials: bool):
-    """The tokenizer, one a worker; it starts no threads of its own, as tasks share their machine."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = plain_specials
-    return made
-
-
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, plain_specials: bool = False, end_id: int = 0, tiers: tuple[int, ...] = TIERS, block_tokens: int = 1 << 21, step_tokens: int = 1 << 16) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's size), step_group.
 
@@ -149,9 +137,9 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         for batch in batches:
             own, found = batch.column(0).to_pylist(), binary(batch.column(1))
             for i, j in chunks(found):
-                for k, made in zip(own[i:j], encode.encode_batch_fast([(t or b"").decode() for t in found[i:j]], add_special_tokens=False)):
+                for k, made in zip(own[i:j], encode([(t or b"").decode() for t in found[i:j]])):
                     keys.append(k)
-                    ids.append(np.array([*made.ids, end_id], "<u4"))
+                    ids.append(np.append(made, np.uint32(end_id)))
                     held += len(ids[-1])
                 if held >= block_tokens:
                     yield flush()

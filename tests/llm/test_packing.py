@@ -99,3 +99,34 @@ def test_ids_are_those_of_the_tokenizer(spark):
         for r in packing.packed(docs, plain_specials=plain, block_tokens=20_000).collect():
             own = want[r["doc_id"]]
             assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+@pytest.mark.parametrize("bits", [5, 8, 21])
+def test_ids_with_a_table_of_any_size(bits):
+    """A table far smaller than the pieces of one text, long pieces, and a vocabulary that cuts in another way."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomline.llm.bpe import Encoder
+
+    rng = random.Random(bits)
+    word = lambda: "".join(rng.choice("abcdeé'1 \n中") for _ in range(rng.randint(1, 30)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 200))) for _ in range(40)] + ["", "x" * 5000, " " * 300, "a <|endoftext|>b"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own = Encoder(public_tokenizers.path(name), bits=bits)
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        for _ in range(2):
+            assert [x.tolist() for x in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert own([]) == []
+
+
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from loomline.llm import bpe
+
+    texts = ["one two three four five six seven", "eight nine ten"]
+    want = [x.tolist() for x in bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"), bits=8)(texts)]
+    monkeypatch.setattr(bpe, "mix", lambda x: np.zeros_like(x))
+    assert [x.tolist() for x in bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"), bits=8)(texts)] == want
