@@ -30,10 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:start + len]. data ends in eight bytes that belong to no span."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:start + len], of a function for each seed. data ends in eight bytes that belong to no span."""
     view = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
-    h = lens.astype(U) * _C1
+    h = lens.astype(U) * _C1 ^ mix(np.array([seed], U))
     if not len(starts):
         return h
     h = mix(h ^ (view[starts] & _MASK[np.minimum(lens, 8)]))
@@ -58,8 +58,8 @@ class Words:
         self.at = np.concatenate([[0], np.cumsum(sizes + 1)]) + 1
         self.first = np.searchsorted(self.starts, self.at)
 
-    def hashes(self) -> np.ndarray:
-        return hash_spans(self.data, self.starts, self.lens)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return hash_spans(self.data, self.starts, self.lens, seed)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
