@@ -147,7 +147,7 @@ def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", historical
     rows = docs.withColumn(digest, digest_of(col(text)) if digested is None else digested)
     groups = written(rows.groupBy(col(digest).alias("digest")).agg(F.max(col(key).cast("bigint")).alias("keep_id"), F.count(F.lit(1)).alias("size"), F.coalesce(F.bool_or(old), F.lit(False)).alias("historical")), "exact")
     total = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("rows")).first()
-    buckets = max(1, -(-total["n"] // bucket_rows), min(64, total["n"] // 2000))
+    buckets = max(1, -(-total["n"] // bucket_rows), min(512, total["n"] // 500))
     where = lambda d: F.pmod(F.conv(F.hex(F.substring(d, 1, 4)), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
     index = groups.withColumn("bucket", where(F.col("digest"))).groupBy("bucket").applyInArrow(_build, T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())]))
     hot_rows = groups.where(F.col("size") > max(100, total["rows"] // hot_parts)).collect()
