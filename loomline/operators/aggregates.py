@@ -29,6 +29,26 @@ def coverage(replies: DataFrame, parent: str, status: str) -> DataFrame:
     return out.withColumn("replies_unavailable", F.col("replies") - F.col("replies_with_parent") - F.col("replies_pending")).withColumn("coverage_percent", percentage(F.col("replies_with_parent"), F.col("replies")))
 
 
+def reply_coverage(posts: DataFrame, cached: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """One row of twelve measures: posts, replies, where their parents are (among the posts, cached, recorded as unavailable, pending), and the share of replies with a parent.
+
+    posts: id, kind, parent_id; cached and unavailable: id. A parent that is both found and unavailable counts in both.
+    """
+    ids = lambda df, name: df.where("id <> ''").select(F.col("id").alias("parent_id"), F.lit(True).alias(name)).distinct()
+    replies = posts.where("kind = 'reply' AND coalesce(parent_id, '') <> ''")
+    rows = replies.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+    for df, name in ((posts, "inside"), (cached, "cached"), (unavailable, "gone")):
+        rows = rows.join(ids(df, name), "parent_id", "left")
+    rows = rows.fillna(False, ["inside", "cached", "gone"]).withColumn("found", F.col("inside") | F.col("cached"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    out = rows.agg(
+        total(F.lit(True)).alias("replies"), F.count(F.lit(1)).alias("unique_parent_ids"), F.count_if("found").alias("parents_found"), F.count_if("inside").alias("parents_inside_target_dataset"), F.count_if("cached").alias("parents_cached_separately"),
+        F.count_if("gone").alias("parents_unavailable"), F.count_if(~F.col("found") & ~F.col("gone")).alias("parents_pending"), total(F.col("found")).alias("replies_with_parent"), total(F.col("gone")).alias("replies_unavailable"),
+    )
+    out = out.withColumn("replies_pending", F.col("replies") - F.col("replies_with_parent") - F.col("replies_unavailable")).withColumn("coverage_percent", percentage(F.col("replies_with_parent"), F.col("replies")))
+    return posts.agg(F.count(F.lit(1)).alias("target_records")).crossJoin(F.broadcast(out))  # one row each
+
+
 def split_statistics(rows: DataFrame, split: str, words: Column, low: Column, language: str) -> DataFrame:
     """Per split: rows, low information rows, exact median of words, and rows by language as a map."""
     langs = rows.groupBy(split, F.coalesce(language, F.lit("unknown")).alias("l")).agg(F.count(F.lit(1)).alias("n")).groupBy(split).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "n")))).alias("languages"))
@@ -120,11 +140,14 @@ def recipe_faults(pairs: DataFrame) -> DataFrame:
     return out.withColumn("fault", F.when(~F.col("n").between(20, 256), "pairs").when(F.col("blank") > 0, "blank").when(F.col("same") > 0, "sides_equal").when(F.col("groups") < 20, "groups"))
 
 
-def ngram_cosine(texts: DataFrame, key: str, text: Column, n: int = 4) -> DataFrame:
+def ngram_cosine(texts: DataFrame, key: str, text: Column, n: int = 4, most: int = 2000) -> DataFrame:
     """Cosine of the counts of character n-grams for all pairs a < b of texts that share one: an equi-join on n-grams, after counting.
 
-    For few, long texts (one for each model or source); n-grams of very many keys give as many pairs as there are.
+    For few keys with many or long texts each (a model, a source): pairs are as many as keys squared, so more than `most`
+    keys are refused.
     """
+    if texts.select(key).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} keys")
     grams = texts.select(F.col(key), F.explode(T.char_ngrams(text, n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).cast("double").alias("c"))
     norms = grams.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     a, b = grams.select(F.col(key).alias("a"), "g", F.col("c").alias("x")), grams.select(F.col(key).alias("b"), "g", F.col("c").alias("y"))
@@ -165,6 +188,41 @@ def report_order() -> list[Column]:
     return [rank, F.lower("model_id")]
 
 
+def models_by_base(models: DataFrame, base: str, model: str, order: str) -> DataFrame:
+    """Per base its models in order, and the place of the base: that of its first model."""
+    rows = models.groupBy(base).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(model).alias("m")))).alias("g"))
+    return rows.select(base, F.col("g")[0]["o"].alias("first"), F.transform("g", lambda x: x["m"]).alias("models"))
+
+
+#: What the answers to the gate's questions are searched for, and how long others may be.
+GATE_ANSWERS = {"arithmetic": r"(?<![0-9])102(?![0-9])", "capital": "paris", "comparison": r"0\.7", "science": "scatter|wavelength|rayleigh"}
+GATE_CODE = "cedar482"
+GATE_BOUNDARY = ("don't have", "do not have", "not going to make", "not the account owner", "not verified", "reliable information", "não tenho", "わから")
+GATE_QUESTIONS = ("arithmetic", "capital", "copy", "comparison", "science")
+
+
+def pattern_gate(outputs: DataFrame, keys: Sequence[str], generic: Sequence[str], artifacts: Sequence[str]) -> DataFrame:
+    """Per key of recorded outputs (name, response): capability, memory and boundary, generic and artifact patterns in the other answers, and answers that are too long."""
+    name, said = F.col("name"), F.coalesce("response", F.lit(""))
+    low, squeezed = F.lower(said), T.code(said)
+    right = F.lit(False)
+    for k, pattern in GATE_ANSWERS.items():
+        right = right | ((name == k) & low.rlike(pattern))
+    right = right | ((name == "comparison") & F.contains(squeezed, F.lit("07"))) | ((name == "copy") & F.contains(squeezed, F.lit(GATE_CODE)))
+    bounded = F.lit(False)
+    for phrase in GATE_BOUNDARY:
+        bounded = bounded | F.contains(low, F.lit(phrase))
+    voice = ~name.isin(*GATE_QUESTIONS, "memory", "biography")
+    hits = lambda patterns: sum((F.regexp_like(said, F.lit(f"(?i){p}")).cast("int") for p in patterns), F.lit(0))
+    words = T.word_count(said)
+    long = F.when(name == "biography", words > 60).when((name == "memory") | (voice & (name != "style_resistance")), words > 40).otherwise(False)
+    out = outputs.groupBy(*keys).agg(
+        F.count_if(right).alias("capability_passed"), F.lit(len(GATE_QUESTIONS)).alias("capability_total"), F.coalesce(F.bool_or(F.when(name == "memory", F.contains(squeezed, F.lit(GATE_CODE)))), F.lit(False)).alias("memory_pass"), F.coalesce(F.bool_or(F.when(name == "biography", bounded)), F.lit(False)).alias("boundary_pass"),
+        F.coalesce(F.sum(F.when(voice, hits(generic))), F.lit(0)).alias("assistant_leakage_count"), F.coalesce(F.sum(F.when(voice, hits(artifacts))), F.lit(0)).alias("think_artifact_count"), F.count_if(long).alias("verbose_flag_count"),
+    )
+    return out.withColumn("capability_score", F.col("capability_passed") / F.col("capability_total"))
+
+
 def log_sum_exp(values: Column) -> Column:
     top = F.array_max(values)
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - top)))

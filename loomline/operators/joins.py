@@ -90,9 +90,9 @@ def manifest_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
 
 
 def by_turn(left: DataFrame, right: DataFrame, left_place: str, right_place: str, n: int) -> DataFrame:
-    """Row i of left with row i mod n of right; right has n rows at most, a size that is checked before it is broadcast."""
+    """Row i of left with row i mod n of right, whose places are distinct; right is broadcast if it is counted to be small."""
     few = right.where(F.col(right_place) < n)
-    small = n <= 100_000
+    small = few.limit(100_001).count() <= 100_000
     return left.join(F.broadcast(few) if small else few, F.pmod(left[left_place], F.lit(n)) == few[right_place])
 
 

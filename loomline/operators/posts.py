@@ -14,8 +14,8 @@ from ..functions import classify as C
 from ..functions import text as T
 from ..scratch import written
 from .graph import linked_by_keys
-from .joins import chains, pruned_splits, without_leaks
-from .select import best_per_key, capped_low, prefix_split, round_robin, top_k_per_key
+from .joins import by_turn, chains, pruned_splits, without_leaks
+from .select import best_per_key, capped_low, placed, prefix_split, round_robin, top_k_per_key, weighted_draws
 
 LISTS = ("photos", "videos", "animated_gifs", "links")
 #: Columns that a post of one source fills from the other; its class, media and author stay its own.
@@ -47,7 +47,7 @@ def nodes(authored: DataFrame, cached: DataFrame) -> DataFrame:
     return out.select("id", *[F.coalesce(F.col(f"_f_{c}"), F.col(f"_own.{c}")).alias(c) if c in FILLED else F.col(f"_own.{c}").alias(c) for c in names])
 
 
-_MENTION = re.compile(r"(?<![\w@])@([A-Za-z0-9_]{1,50})")
+_MENTION = re.compile(T.PYTHON_MENTION)
 _MESSAGES = ArrayType(StructType([StructField("role", StringType()), StructField("content", StringType())]))
 RENDERED = StructType([StructField("portable", _MESSAGES), StructField("verbatim", _MESSAGES), StructField("mention_map", MapType(StringType(), StringType()))])
 
@@ -163,11 +163,12 @@ def deduplicated(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split(kept: DataFrame, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """kept with `split`: examples that share a post, a conversation or a loose fingerprint stay together; components in order of their last date. One profile a call."""
-    rows = linked_by_keys(kept, "id", {"post": F.col("all_post_ids"), "conv": F.col("conversation_keys"), "loose": F.array("loose_fingerprint")})
-    groups = rows.groupBy("component").agg(F.max("at").alias("last"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    placed = prefix_split(groups, [F.col("last"), F.col("first")], "n", train, validation)
-    return rows.join(placed.select("component", "split"), "component").drop("component")
+    """kept with `split`: of each profile, examples that share a post, a conversation or a loose fingerprint stay together; components in order of their last date."""
+    own = lambda keys: F.transform(keys, lambda k: F.concat(F.col("profile"), F.lit("\x1f"), k))
+    rows = linked_by_keys(kept, "id", {"post": own(F.col("all_post_ids")), "conv": own(F.col("conversation_keys")), "loose": own(F.array("loose_fingerprint"))})
+    groups = rows.groupBy("profile", "component").agg(F.max("at").alias("last"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    parts = prefix_split(groups, [F.col("last"), F.col("first")], "n", train, validation, within=["profile"])
+    return rows.join(parts.select("profile", "component", "split"), ["profile", "component"]).drop("component")
 
 
 def public(kept: DataFrame, portable: bool) -> DataFrame:
@@ -214,7 +215,7 @@ def profile_counts(rows: DataFrame, found: DataFrame, kept: DataFrame) -> DataFr
 
 
 def built(authored_rows: DataFrame, cached_rows: DataFrame, most: int = 8) -> dict[str, DataFrame]:
-    """The whole build of one profile's dataset: kept examples with splits, duplicate groups, queues, self threads, corpus and counts."""
+    """The whole build of all profiles' datasets, in one job for all: kept examples with splits, duplicate groups, queues, self threads, corpus and counts."""
     authored, cached = normalized(authored_rows, "authored"), normalized(cached_rows, "parent_cache")
     known = written(nodes(authored, cached), "nodes")
     posts = written(authored, "posts")
@@ -237,25 +238,79 @@ def prepared(rows: DataFrame, wanted: Column) -> DataFrame:
     return out.withColumn("split_group", F.coalesce(T.blank_to_null(F.col("metadata.conversation_id")), T.blank_to_null(F.col("metadata.direct_parent_id")), F.col("id")))
 
 
-def capped(rows: DataFrame, most: int = 1200) -> DataFrame:
-    """Training rows with few repeats of a reply, few of low information, and `most` at most, dealt evenly over language, task and length."""
+def capped(rows: DataFrame, most: int = 1200, within: tuple[str, ...] = ()) -> DataFrame:
+    """Training rows with few repeats of a reply, few of low information, and `most` at most, dealt evenly over language, task and length; for each group of `within`."""
     order = [F.col("quality").desc(), F.col("id")]
     few = F.col("response_key").isin(*T.LOW_INFORMATION) | (F.size(F.filter(F.split("response_key", " "), lambda x: x != "")) <= 2)
-    rows = capped_low(top_k_per_key(rows, ["response_key"], order, F.when(few, 4).otherwise(12)), "low_info", order)
-    if rows.count() <= most:
+    rows = capped_low(top_k_per_key(rows, [*within, "response_key"], order, F.when(few, 4).otherwise(12)), "low_info", order, within=within)
+    if not within and rows.count() <= most:
         return rows
     bucket = F.concat_ws("|", F.coalesce("metadata.target_lang", F.lit("unknown")), F.coalesce(F.nullif("task", F.lit("")), F.lit("other")), F.least(F.lit(5), F.floor(T.word_count(F.col("response")) / 20)).cast("string"))
-    return round_robin(rows.withColumn("bucket", bucket), ["bucket"], order, most).drop("bucket")
+    return round_robin(rows.withColumn("bucket", bucket), ["bucket"], order, most, within).drop("bucket")
 
 
-def filtered_splits(train: DataFrame, validation: DataFrame, test: DataFrame, profile: str, most: int = 1200) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Usable rows, the best of each pair, without leaks from held-out rows, train capped."""
-    parts = []
+def filtered_splits(train: DataFrame, validation: DataFrame, test: DataFrame, profile: str | None, most: int = 1200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Usable rows, the best of each pair, without leaks from held-out rows, train capped. Without a profile, each row is judged within its own."""
+    parts, own = [], ("profile",) if profile is None else ()
+    wanted = F.col("profile") if profile is None else F.lit(profile)
+    scoped = lambda c: F.concat(F.lower("profile"), F.lit("\x1f"), c) if own else c
     for part in (train, validation, test):
-        usable = prepared(part, F.lit(profile)).where("reject_reason IS NULL")
-        parts.append(written(best_per_key(usable, ["pair_key"], [F.col("quality").desc(), F.col("id")]), "usable"))
-    train, validation = pruned_splits(parts[0], parts[1], parts[2], ["split_group", "response_key"])
-    return capped(train, most), validation, parts[2]
+        usable = prepared(part, wanted).where("reject_reason IS NULL")
+        usable = usable.withColumn("_group", scoped(F.col("split_group"))).withColumn("_reply", scoped(F.col("response_key")))
+        parts.append(written(best_per_key(usable, [*own, "pair_key"], [F.col("quality").desc(), F.col("id")]), "usable"))
+    train, validation = pruned_splits(parts[0], parts[1], parts[2], ["_group", "_reply"])
+    return tuple(p.drop("_group", "_reply") for p in (capped(train, most, own), validation, parts[2]))
+
+
+def planned(published: DataFrame, config: DataFrame, accumulate: int = 8, most: int = 1200) -> DataFrame:
+    """A plan row for each profile of config (profile, max_steps), from published examples with `split`: all profiles in one job.
+
+    status is ready, or error with the reason: an error of one profile takes no other with it.
+    """
+    part = lambda name: published.where(F.col("split") == name).drop("split")
+    sides = dict(zip(("train", "validation", "test"), filtered_splits(part("train"), part("validation"), part("test"), None, most)))
+    out = config.withColumn("_key", F.lower("profile"))
+    seen = published.groupBy(F.lower("profile").alias("_key")).agg(F.count(F.lit(1)).alias("published_rows"))
+    out = out.join(seen, "_key", "left")
+    for name, rows in sides.items():
+        counts = [F.count(F.lit(1)).alias(f"{name}_rows")]
+        if name == "train":
+            counts += [F.count_if("low_info").alias("low_information_retained"), F.count_if(F.col("task") == "external_reply_multiturn").alias("multiturn_retained"), F.median(T.word_count(F.col("response"))).cast("double").alias("median_response_words")]
+        out = out.join(rows.groupBy(F.lower("profile").alias("_key")).agg(*counts), "_key", "left")
+    out = out.fillna(0, ["published_rows", *[f"{n}_rows" for n in sides]])
+    empty = (F.col("train_rows") == 0) | (F.col("validation_rows") == 0) | (F.col("test_rows") == 0)
+    why = F.when(F.col("published_rows") == 0, F.concat(F.lit("no examples of "), F.col("profile"))).when(empty, F.concat(F.lit("an empty split for "), F.col("profile"), F.lit(": train="), F.col("train_rows"), F.lit(", validation="), F.col("validation_rows"), F.lit(", test="), F.col("test_rows")))
+    steps = F.when(F.coalesce("max_steps", F.lit(0)) > 0, F.col("max_steps")).otherwise(T.training_steps(F.col("train_rows"))).cast("bigint")
+    out = out.withColumn("error", why).withColumn("status", F.when(F.col("error").isNull(), "ready").otherwise("error"))
+    return out.withColumn("max_steps", F.when(F.col("error").isNull(), steps)).withColumn("estimated_microbatches", F.col("max_steps") * accumulate).drop("_key", "published_rows")
+
+
+def training_json(rows: DataFrame) -> DataFrame:
+    """(id, json): prepared rows as one JSON object each."""
+    return rows.select("id", F.to_json(F.struct("id", "profile", "messages", "task", "quality", "low_info", "metadata")).alias("json"))
+
+
+def microbatches(train: DataFrame, anchors: DataFrame, replay: list[str], boundary: list[tuple[str, str]], steps: int, accumulate: int, ratios: tuple[float, float, float], seed: int) -> DataFrame:
+    """(place, source_kind, row_id, messages): a training run's microbatches, mixed by the ratios of replay, boundary and anchors.
+
+    train (id, quality, messages) is drawn by quality (0.05 at least), anchors (id, messages) evenly, both with replacement;
+    replay prompts and boundary pairs are taken in turn. The order is that of hashes of the seed.
+    """
+    spark = train.sparkSession
+    said = "array<struct<role:string,content:string>>"
+    mix = mix_counts(steps, accumulate, *ratios, anchors=not anchors.isEmpty())
+    plain = lambda m: F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).cast(said).alias("messages")
+    drawn = [weighted_draws(train.select("id", "quality", "messages"), F.greatest(F.lit(0.05), F.col("quality")), "id", mix["persona"], seed).select(F.lit("persona").alias("source_kind"), "draw", F.col("id").cast("string").alias("row_id"), plain(F.col("messages")))]
+    if mix["anchor"]:
+        drawn.append(weighted_draws(anchors.select("id", "messages"), F.lit(1.0), "id", mix["anchor"], seed + 1).select(F.lit("anchor").alias("source_kind"), "draw", F.col("id").cast("string").alias("row_id"), plain(F.col("messages"))))
+    fixed = {"replay": [[("user", p)] for p in replay], "boundary": [[("user", p), ("assistant", r)] for p, r in boundary]}
+    for kind, rows in fixed.items():
+        few = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], f"_i bigint, messages {said}")
+        drawn.append(by_turn(spark.range(mix[kind]).withColumnRenamed("id", "draw"), few, "draw", "_i", len(rows)).select(F.lit(kind).alias("source_kind"), "draw", F.concat(F.lit(f"{kind}:"), F.col("_i").cast("string")).alias("row_id"), "messages"))
+    out = drawn[0]
+    for part in drawn[1:]:
+        out = out.unionByName(part)
+    return placed(out, [F.xxhash64("source_kind", "draw", F.lit(seed)), F.col("source_kind"), F.col("draw")]).drop("before", "draw")
 
 
 def without_heldout_responses(anchors: DataFrame, held: DataFrame) -> DataFrame:

@@ -41,16 +41,35 @@ def placed(df: DataFrame, order: Sequence[Column], value: Column | None = None)
     return rows.join(F.broadcast(base), "_p").withColumn("place", F.col("_n") + F.col("_r")).withColumn("before", F.col("_t") + F.col("_s")).drop("_p", "_i", "_v", "_n", "_t", "_r", "_s")
 
 
-def capped_low(df: DataFrame, low: str, order: Sequence[Column], share: float = 0.20, least: int = 20) -> DataFrame:
-    """All rows that are not low, and of the low ones the first: a share of the others' number, `least` at least."""
+def placed_within(df: DataFrame, within: Names, order: Sequence[Column], value: Column | None = None) -> DataFrame:
+    """As placed, but `place` and `before` start anew in each group of `within`; a group of any size is spread over many tasks."""
+    rows = placed(df, [*map(F.col, within), *order], value)
+    if not within:
+        return rows
+    starts = rows.groupBy(*within).agg(F.min("place").alias("_p0"), F.min("before").alias("_b0"))
+    match = F.lit(True)
+    for k in within:
+        match = match & F.col(f"_r.{k}").eqNullSafe(F.col(f"_s.{k}"))
+    both = rows.alias("_r").join(starts.alias("_s"), match)
+    return both.select(*[F.col(f"_r.{c}") for c in rows.columns if c not in ("place", "before")], (F.col("place") - F.col("_p0")).alias("place"), (F.col("before") - F.col("_b0")).alias("before"))
+
+
+def capped_low(df: DataFrame, low: str, order: Sequence[Column], share: float = 0.20, least: int = 20, within: Names = ()) -> DataFrame:
+    """All rows that are not low, and of the low ones the first: a share of the others' number, `least` at least (of each group of `within`)."""
     high = df.where(~F.col(low))
-    return high.unionByName(df.where(low).orderBy(*order).limit(max(least, int(share * max(1, high.count())))))
+    ranked = placed_within(df.where(low), within, order).drop("before")
+    cap = F.greatest(F.lit(least), F.floor(share * F.greatest(F.lit(1), F.coalesce(F.col("_n"), F.lit(0)))))
+    counts = high.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ranked.join(counts, list(within), "left") if within else ranked.crossJoin(F.broadcast(counts))  # one row
+    return high.unionByName(ranked.where(F.col("place") < cap).drop("place", "_n"))
 
 
-def round_robin(df: DataFrame, bucket: Names, order: Sequence[Column], n: int) -> DataFrame:
-    """n rows: the first of every bucket in the buckets' order, then the second of each, and so on; all rows if there are no more."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order)))
-    return ranked.orderBy("_rank", *bucket).limit(n).drop("_rank")
+def round_robin(df: DataFrame, bucket: Names, order: Sequence[Column], n: int, within: Names = ()) -> DataFrame:
+    """n rows (of each group of `within`): the first of every bucket in the buckets' order, then the second of each, and so on; all rows if there are no more."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*within, *bucket).orderBy(*order))).where(F.col("_rank") <= n)
+    if not within:
+        return ranked.orderBy("_rank", *bucket).limit(n).drop("_rank")
+    return placed_within(ranked, within, [F.col("_rank"), *map(F.col, bucket)]).where(F.col("place") < n).drop("_rank", "place", "before")
 
 
 def systematic(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -98,11 +117,31 @@ def split_targets(total: int, train: float, validation: float) -> tuple[int, int
     return first, second
 
 
-def prefix_split(groups: DataFrame, order: Sequence[Column], size: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """groups with `split`: whole groups in order go to train while fewer rows than its target are before them, then to validation, then to test."""
-    rows = placed(groups, order, F.col(size))
-    first, second = split_targets(rows.agg(F.sum(size)).first()[0] or 0, train, validation)
-    return rows.withColumn("split", F.when(F.col("before") < first, "train").when(F.col("before") < first + second, "validation").otherwise("test")).drop("place", "before")
+def _rounded(x: Column) -> Column:
+    return F.bround(x, 0).cast("bigint")
+
+
+def prefix_split(groups: DataFrame, order: Sequence[Column], size: str, train: float = 0.8, validation: float = 0.1, within: Names = ()) -> DataFrame:
+    """groups with `split`: whole groups in order go to train while fewer rows than its target are before them, then to validation, then to test; for each group of `within` by itself."""
+    rows = placed_within(groups, within, order, F.col(size))
+    if not within:
+        first, second = split_targets(rows.agg(F.sum(size)).first()[0] or 0, train, validation)
+        return rows.withColumn("split", F.when(F.col("before") < first, "train").when(F.col("before") < first + second, "validation").otherwise("test")).drop("place", "before")
+    totals = rows.groupBy(*within).agg(F.sum(size).alias("_n"))
+    first, second = _rounded(F.col("_n") * train), _rounded(F.col("_n") * validation)
+    totals = totals.withColumn("_a", F.when(F.col("_n") >= 10, F.least(F.greatest(first, F.lit(1)), F.col("_n") - 2)).otherwise(first))
+    totals = totals.withColumn("_b", F.when(F.col("_n") >= 10, F.least(F.greatest(second, F.lit(1)), F.col("_n") - F.col("_a") - 1)).otherwise(second))
+    split = F.when(F.col("before") < F.col("_a"), "train").when(F.col("before") < F.col("_a") + F.col("_b"), "validation").otherwise("test")
+    return rows.join(totals, list(within)).withColumn("split", split).drop("place", "before", "_n", "_a", "_b")
+
+
+def disjoint(df: DataFrame, keys: Names, split: str) -> DataFrame:
+    """df, or an error if a key of any of the columns is in more than one split."""
+    for key in keys:
+        shared = split_overlap(df.where(F.col(key).isNotNull()), [key], split).limit(3).collect()
+        if shared:
+            raise ValueError(f"{key} is in more than one split: {[r[key] for r in shared]}")
+    return df
 
 
 def hash_split(key: Column, parts: Sequence[tuple[str, int]] = (("train", 800), ("validation", 900), ("test", 1000))) -> Column:
@@ -143,6 +182,11 @@ def bisected(spark: SparkSession, days: DataFrame, start: str, end: str, most: i
     return spark.createDataFrame(sorted(found), "window_start date, window_end date, rows bigint")
 
 
+def branch(messages: DataFrame, group: Names, order: str, at: int, text: str, edited: str) -> DataFrame:
+    """Of each group the turns up to number `at`, its text replaced."""
+    return messages.where(F.col(order) <= at).withColumn(text, F.when(F.col(order) == at, F.lit(edited)).otherwise(F.col(text)))
+
+
 def gaps(df: DataFrame, group: Names, start: str, end: str) -> DataFrame:
     """df with `fault`: gap or overlap where a row does not start where the one before it ends, else null."""
     before = F.lag(end).over(Window.partitionBy(*group).orderBy(start, end))

@@ -229,14 +229,74 @@ def pursuit(rows: DataFrame, atoms: np.ndarray, most: int = 25) -> DataFrame:
     return rows.select("row", "vec").mapInPandas(run, "row bigint, atoms array<bigint>, weights array<double>, explained double")
 
 
-def vocabulary_ends(axes: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
-    """Per axis the n tokens of the largest and of the smallest dot product, with ranks; axes are few."""
+def vocabulary_ends(axes: DataFrame, tokens: DataFrame, n: int, most: int = 2000) -> DataFrame:
+    """Per axis the n tokens of the largest and of the smallest dot product, with ranks; more than `most` axes are refused."""
+    if axes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} axes")
     scores = tokens.crossJoin(F.broadcast(axes.select("axis", "direction"))).select("axis", "token_id", dot(F.col("vec"), F.col("direction")).alias("score"))
     up, down = Window.partitionBy("axis").orderBy(F.col("score").desc(), "token_id"), Window.partitionBy("axis").orderBy("score", "token_id")
     top = scores.withColumn("rank", F.row_number().over(up)).where(F.col("rank") <= n).withColumn("side", F.lit("top"))
     return top.unionByName(scores.withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= n).withColumn("side", F.lit("bottom")))
 
 
+def paired_fit(pairs: DataFrame) -> DataFrame:
+    """Per layer of (layer, part, positive, negative): the unit mean difference over train pairs, the area of dev and of test responses along it, and `chosen`, the first layer of the best dev area.
+
+    part is train, dev or test; a group of prompts belongs to one part, which is the caller's to see to (select.disjoint).
+    """
+    change = pairs.where("part = 'train'").select("layer", F.zip_with("positive", "negative", lambda a, b: a.cast("double") - b.cast("double")).alias("vec"))
+    means = mean_vectors(change, ["layer"]).withColumn("length", norm(F.col("mean"))).where("length >= 1e-10")
+    axes = means.select("layer", F.transform("mean", lambda x: x / F.col("length")).alias("direction"))
+    sides = pairs.where("part <> 'train'").select("layer", "part", F.explode(F.array(F.struct(F.lit(True).alias("y"), F.col("positive").alias("v")), F.struct(F.lit(False).alias("y"), F.col("negative").alias("v")))).alias("s"))
+    scored = sides.join(axes, "layer").select("layer", "part", F.col("s.y").alias("y"), dot(F.col("s.v"), F.col("direction")).alias("score"))
+    areas = auc(scored, ["layer", "part"], "score", F.col("y")).groupBy("layer").pivot("part", ["dev", "test"]).agg(F.first("auc"))
+    out = axes.join(areas.withColumnsRenamed({"dev": "dev_auc", "test": "test_auc"}), "layer", "left")
+    best = out.agg(F.min_by("layer", F.struct((-F.coalesce("dev_auc", F.lit(-1.0))).alias("a"), F.col("layer").alias("l"))).alias("_best"))
+    return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("layer") == F.col("_best")).drop("_best")  # one row
+
+
+def official_fit(rows: DataFrame) -> DataFrame:
+    """Per layer of (layer, part, label BOOLEAN, vec): the direction of train (denoised), its areas on dev and test, and `chosen`, the first layer of the best dev area."""
+    data = rows.where("part = 'train'").select("layer", F.monotonically_increasing_id().alias("grp"), "label", F.lit(False).alias("test"), "vec")
+    axes = fitted_axes(data).where("cv_auc >= 0").select("layer", "direction", "center", "scale", "norm")
+    scored = rows.where("part <> 'train'").join(axes.select("layer", "direction"), "layer").select("layer", "part", "label", dot(F.col("vec"), F.col("direction")).alias("score"))
+    areas = auc(scored, ["layer", "part"], "score", F.col("label")).groupBy("layer").pivot("part", ["dev", "test"]).agg(F.first("auc"))
+    out = axes.join(areas.withColumnsRenamed({"dev": "dev_auc", "test": "test_auc"}), "layer", "left")
+    best = out.agg(F.min_by("layer", F.struct((-F.coalesce("dev_auc", F.lit(-1.0))).alias("a"), F.col("layer").alias("l"))).alias("_best"))
+    return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("layer") == F.col("_best")).drop("_best")  # one row
+
+
+def denoised_against(directions: DataFrame, cloud: DataFrame, share: float = 0.5) -> DataFrame:
+    """directions (layer, direction) without what lies in the leading components of the layer's cloud (layer, vec); lengths are left as they come out."""
+
+    def run(key, mine: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        parts = kept_components(np.stack(around["vec"]).astype(float), share) if len(around) > 1 else np.zeros((0, 0))
+        found = [np.asarray(v, float) for v in mine["direction"]]
+        out = [(v - parts.T @ (parts @ v) if len(parts) else v).tolist() for v in found]
+        return pd.DataFrame({"layer": mine["layer"], "direction": out})
+
+    return directions.select("layer", "direction").groupBy("layer").cogroup(cloud.select("layer", "vec").groupBy("layer")).applyInPandas(run, "layer bigint, direction array<double>")
+
+
+def readout(rows: DataFrame, atoms: np.ndarray, anchor: np.ndarray, k: int = 4) -> DataFrame:
+    """For each (row, vec), less the anchor: the k atoms (rows) of the largest projection, the projections, non-negative weights that fit it best, and the share of its power they explain."""
+    atoms, anchor = np.asarray(atoms, float), np.asarray(anchor, float)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, vec in zip(pdf["row"], pdf["vec"]):
+                h = np.asarray(vec, float) - anchor
+                scores = atoms @ h
+                picked = np.argsort(-scores, kind="stable")[:k]
+                weights = nonnegative(atoms[picked].T, h)
+                rest = h - atoms[picked].T @ weights
+                out.append((key, picked.tolist(), scores[picked].tolist(), weights.tolist(), 1 - float(rest @ rest) / max(float(h @ h), 1e-12)))
+            yield pd.DataFrame(out, columns=["row", "atoms", "projections", "weights", "explained"])
+
+    return rows.select("row", "vec").mapInPandas(run, "row bigint, atoms array<bigint>, projections array<double>, weights array<double>, explained double")
+
+
 def storage_tolerance(value: Column, bits: int) -> Column:
     """Half a unit in the last place of a number stored with this many bits of fraction."""
     return F.when(value == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value))) - bits) / 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import posts as P
 from .registry import query
-from .text_queries import table
+from .text_queries import KEYED, table
 
 
 def exported(spark, sf_dir):
@@ -21,7 +21,11 @@ def exported(spark, sf_dir):
     return posts.where("username = 'Writer'"), posts.where("username <> 'Writer'")
 
 
-@query("routed_posts")
+@query("routed_posts", r"""
+WITH p AS (SELECT conv_id, turn, role, text, regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') AS says FROM conversations),
+j AS (SELECT a.*, b.role AS parent_role, b.says AS parent_says FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant')
+SELECT CASE WHEN turn > 0 AND parent_role IS NULL THEN 'prompt' WHEN turn > 0 AND parent_role = 'assistant' THEN 'self_thread' WHEN turn > 0 AND says AND parent_says THEN 'example' WHEN turn = 0 AND says THEN 'prompt' ELSE 'low_information' END AS route,
+CASE WHEN turn > 0 AND parent_role IS NULL THEN 'missing_direct_parent' WHEN turn = 0 AND says THEN 'standalone_no_observed_prompt' WHEN turn > 0 AND parent_role <> 'assistant' AND NOT says THEN 'unusable_response_empty' WHEN turn > 0 AND parent_role <> 'assistant' AND NOT parent_says THEN 'unusable_parent_empty' WHEN turn = 0 THEN 'standalone_empty' END AS reason, count(*) AS posts FROM j GROUP BY ALL""")
 def routed_posts(spark, sf_dir):
     authored, cached = exported(spark, sf_dir)
     posts = P.normalized(authored, "authored")
@@ -44,7 +48,23 @@ def training_rows(spark, sf_dir):
     return side(train, "train").unionByName(side(validation, "validation")).unionByName(side(test, "test"))
 
 
-@query("response_keys", "SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_ー''’]+'), ' ') AS key FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("response_keys", f"SELECT conv_id, turn, {KEYED} AS key FROM conversations")
 def response_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select("conv_id", "turn", T.token_key(F.col("text")).alias("key"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_key(F.col("text")).alias("key"))
+
+
+CONFIG = [("writer", 0), ("WRITER", 77), ("Nobody", 0)]
+
+
+@query("profile_plans")
+def profile_plans(spark, sf_dir):
+    """Plans of three configured profiles, one of which wrote nothing."""
+    kept = P.built(*exported(spark, sf_dir))["examples"]
+    published = P.public(kept, True).join(kept.select("id", "split"), "id")
+    return P.planned(published, spark.createDataFrame(CONFIG, "profile string, max_steps bigint")).select("profile", "max_steps", "status", "error", "train_rows", "validation_rows", "test_rows", "estimated_microbatches")
+
+
+@query("training_json")
+def training_json(spark, sf_dir):
+    kept = P.built(*exported(spark, sf_dir))["examples"]
+    return P.training_json(P.prepared(P.public(kept, True), F.lit("Writer")))

@@ -46,10 +46,10 @@ def late_events(spark, sf_dir):
 
 
 @query("repetition_guard", """
-WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS tokens, list(value > 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS l FROM events)
-SELECT user_id, event_id, tokens, len(l) = 6 AND l[1:2] = l[3:4] AND l[3:4] = l[5:6] AS repeats FROM r""")
+WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS tokens, list(user_id % 3 <> 0 AND value > 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l FROM events)
+SELECT user_id, event_id, tokens, len(l) = 24 AND l[1:8] = l[9:16] AND l[9:16] = l[17:24] AS repeats FROM r""")
 def repetition_guard(spark, sf_dir):
-    make = lambda s: R.guarded(s.withColumn("token", (F.col("value") > 50).cast("string")), "user_id", "event_id", "token", 2)
+    make = lambda s: R.guarded(s.withColumn("token", ((F.col("user_id") % 3 != 0) & (F.col("value") > 50)).cast("string")), "user_id", "event_id", "token")
     return drained(spark, sf_dir, make, "append")
 
 

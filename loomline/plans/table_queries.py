@@ -27,10 +27,15 @@ def fixed_windows(spark, sf_dir):
     return S.day_windows(spark, "2024-01-01", "2024-01-31", 7).select(F.col("window_start").cast("string").alias("window_start"), F.col("window_end").cast("string").alias("window_end"))
 
 
-@query("bisected_windows")
+@query("bisected_windows", """
+WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1),
+w AS (SELECT DATE '2024-01-01' AS a, DATE '2024-01-31' AS b UNION ALL SELECT unnest([a, a + CAST((b - a) // 2 AS INTEGER)]), unnest([a + CAST((b - a) // 2 AS INTEGER), b]) FROM w WHERE b - a > 1 AND (SELECT coalesce(sum(n), 0) FROM d WHERE day >= a AND day < b) > 2000),
+c AS (SELECT a, b, CAST((SELECT coalesce(sum(n), 0) FROM d WHERE day >= a AND day < b) AS BIGINT) AS n FROM w)
+SELECT strftime(a, '%Y-%m-%d') AS window_start, strftime(b, '%Y-%m-%d') AS window_end, n AS rows FROM c WHERE n <= 2000 OR b - a <= 1""")
 def bisected_windows(spark, sf_dir):
     days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
-    return S.bisected(spark, days, "2024-01-01", "2024-01-31", 2000)
+    out = S.bisected(spark, days, "2024-01-01", "2024-01-31", 2000)
+    return out.select(F.col("window_start").cast("string").alias("window_start"), F.col("window_end").cast("string").alias("window_end"), "rows")
 
 
 KINDS = ("view", "click", "purchase")
@@ -119,11 +124,11 @@ def newest_snapshots(spark, sf_dir):
 
 
 @query("arg_max_gain", """
-WITH s AS (SELECT l_suppkey AS candidate, l_linenumber AS prompt, avg(l_extendedprice) AS score FROM lineitem WHERE l_suppkey < 20 GROUP BY ALL),
+WITH s AS (SELECT l_suppkey AS candidate, l_linenumber AS prompt, avg(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
 g AS (SELECT s.candidate, avg(s.score - b.score) AS gain FROM s JOIN s b ON b.candidate = 0 AND s.prompt = b.prompt WHERE s.candidate <> 0 GROUP BY s.candidate)
 SELECT candidate, round(gain, 4) AS gain, candidate = (SELECT arg_min(candidate, (-gain, candidate)) FROM g) AS best FROM g""")
 def arg_max_gain(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").where("l_suppkey < 20").groupBy(F.col("l_suppkey").cast("string").alias("candidate"), F.col("l_linenumber").alias("prompt")).agg(F.avg("l_extendedprice").alias("score"))
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("candidate"), F.col("l_linenumber").alias("prompt")).agg(F.avg("l_extendedprice").alias("score"))
     return A.candidate_gains(s, "candidate", "prompt", "score", "0").select(F.col("candidate").cast("bigint").alias("candidate"), F.round("gain", 4).alias("gain"), "best")
 
 
@@ -256,15 +261,19 @@ def screen_scale(spark, sf_dir):
 
 @query("benchmark_summary", """
 WITH r AS (SELECT 'm' || (l_suppkey % 7) AS model_id, CASE WHEN l_linenumber > 5 THEN 'heldout_' ELSE 'c' END || l_linenumber AS case_id, l_returnflag = 'X' AS empty, CASE WHEN l_tax = 0.08 AND l_discount = 0.1 AND l_quantity > 49 THEN 1 ELSE 0 END AS generic, CASE WHEN l_linenumber = 1 THEN l_quantity > 0 END AS expected, CASE WHEN l_linenumber = 2 THEN l_quantity < 51 END AS memory FROM lineitem),
-g AS (SELECT model_id, count(*) FILTER (NOT starts_with(case_id, 'heldout_')) AS universal_cases, count(*) FILTER (starts_with(case_id, 'heldout_')) AS heldout_cases, avg(CAST(expected AS DOUBLE)) AS factual_pass_rate, bool_and(memory) AS memory_pass, CAST(coalesce(sum(generic) FILTER (NOT starts_with(case_id, 'heldout_')), 0) AS BIGINT) AS generic_marker_count FROM r GROUP BY model_id)
-SELECT *, CASE WHEN generic_marker_count >= 2 THEN 'generic assistant language' ELSE '' END AS reasons, CASE WHEN factual_pass_rate < 2/3 OR NOT memory_pass THEN 'RETRAIN' WHEN generic_marker_count >= 2 THEN 'LIKELY_RETRAIN' ELSE 'MANUAL_REVIEW' END AS recommendation FROM g""")
+g AS (SELECT model_id, count(*) FILTER (NOT starts_with(case_id, 'heldout_')) AS universal_cases, count(*) FILTER (starts_with(case_id, 'heldout_')) AS heldout_cases, avg(CAST(expected AS DOUBLE)) AS factual_pass_rate, bool_and(memory) AS memory_pass, CAST(coalesce(sum(generic) FILTER (NOT starts_with(case_id, 'heldout_')), 0) AS BIGINT) AS generic_marker_count FROM r GROUP BY model_id),
+x AS (SELECT *, CAST(substr(model_id, 2) AS INTEGER) AS m FROM g), y AS (SELECT *, CASE WHEN m <> 5 THEN m * 0.15 END AS sim, CASE WHEN m <> 6 THEN 0.35 - m * 0.1 END AS gain FROM x)
+SELECT model_id, universal_cases, heldout_cases, factual_pass_rate, memory_pass, generic_marker_count, round(CAST(gain AS DOUBLE), 6) AS nll_gain, concat_ws('; ', CASE WHEN generic_marker_count >= 2 THEN 'generic assistant language' END, CASE WHEN sim > 0.72 THEN 'too similar to base model' END, CASE WHEN gain < 0.1 THEN 'weak held-out likelihood gain' END) AS reasons,
+CASE WHEN factual_pass_rate < 2/3 OR NOT memory_pass THEN 'RETRAIN' WHEN generic_marker_count >= 2 OR sim > 0.72 OR gain < 0.1 THEN 'LIKELY_RETRAIN' ELSE 'MANUAL_REVIEW' END AS recommendation FROM y""")
 def benchmark_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     generic = F.when((F.col("l_tax") == 0.08) & (F.col("l_discount") == 0.1) & (F.col("l_quantity") > 49), 1).otherwise(0)
     records = li.select(F.concat(F.lit("m"), (F.col("l_suppkey") % 7).cast("string")).alias("model_id"), F.concat(F.when(F.col("l_linenumber") > 5, "heldout_").otherwise("c"), F.col("l_linenumber").cast("string")).alias("case_id"), (F.col("l_returnflag") == "X").alias("empty"), generic.alias("generic"), F.lit(0).alias("biography"), F.lit(0).alias("evasion"), F.when(F.col("l_linenumber") == 1, F.col("l_quantity") > 0).alias("expected_pass"), F.when(F.col("l_linenumber") == 2, F.col("l_quantity") < 51).alias("memory_pass"))
-    none = spark.createDataFrame([], "model_id string, base_similarity double"), spark.createDataFrame([], "model_id string, base_nll double, adapter_nll double")
-    out = A.model_summary(records, *none)
-    return out.select("model_id", "universal_cases", "heldout_cases", "factual_pass_rate", "memory_pass", "generic_marker_count", "reasons", "recommendation")
+    names = spark.range(7).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model_id"), F.col("id").cast("double").alias("m"))
+    similar = names.where("m <> 5").select("model_id", (F.col("m") * 0.15).alias("base_similarity"))
+    losses = names.where("m <> 6").select("model_id", F.lit(2.0).alias("base_nll"), (1.65 + F.col("m") * 0.1).alias("adapter_nll"))
+    out = A.model_summary(records, similar, losses)
+    return out.select("model_id", "universal_cases", "heldout_cases", "factual_pass_rate", "memory_pass", "generic_marker_count", F.round("nll_gain", 6).alias("nll_gain"), "reasons", "recommendation")
 
 
 @query("inventory_by_digest", "SELECT c_mktsegment AS digest, arg_min(c_name, (c_nationkey, length(c_name), c_name)) AS name, count(DISTINCT c_name) AS aliases, count(*) AS files FROM customer GROUP BY c_mktsegment")
@@ -353,9 +362,9 @@ def category_screen(spark, sf_dir):
     return p.groupBy("layer", "label").agg(r(F.avg("p"), "mean_z"), r(F.stddev_pop("p"), "population"), r(F.stddev_samp("p"), "sample"))
 
 
-@query("norm_match", "WITH v AS (SELECT label, i, sum(CASE WHEN vec_id % 2 = 0 THEN 0.1 ELSE -0.2 END * CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) WHERE vec_id < 40 GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM v GROUP BY label), a AS (SELECT label, sum(CASE WHEN vec_id % 2 = 0 THEN 0.1 ELSE 0.2 END) AS amount FROM embeddings WHERE vec_id < 40 GROUP BY label) SELECT label, round(CAST(amount AS DOUBLE), 6) AS amount, round(norm, 6) AS norm, round(norm / amount, 6) AS reference_norm FROM a JOIN n USING (label)")
+@query("norm_match", "WITH v AS (SELECT label, i, sum(CASE WHEN vec_id % 2 = 0 THEN 0.1 ELSE -0.2 END * CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM v GROUP BY label), a AS (SELECT label, sum(CASE WHEN vec_id % 2 = 0 THEN 0.1 ELSE 0.2 END) AS amount FROM embeddings GROUP BY label) SELECT label, round(CAST(amount AS DOUBLE), 6) AS amount, round(norm, 6) AS norm, round(norm / amount, 6) AS reference_norm FROM a JOIN n USING (label)")
 def norm_match(spark, sf_dir):
-    c = vectors(spark, sf_dir).where("vec_id < 40").withColumn("dose", F.when(F.col("vec_id") % 2 == 0, 0.1).otherwise(-0.2))
+    c = vectors(spark, sf_dir).withColumn("dose", F.when(F.col("vec_id") % 2 == 0, 0.1).otherwise(-0.2))
     return A.layer_norms(c, [], "label", "dose", "vec").select("label", *[F.round(x, 6).alias(x) for x in ("amount", "norm", "reference_norm")])
 
 
@@ -387,7 +396,7 @@ def sparse_pursuit(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     means = V.mean_vectors(rows, ["label"]).orderBy("label").collect()  # one row a label
     atoms = np.array([r["mean"] for r in means])
-    return V.pursuit(rows.select(F.col("vec_id").alias("row"), "vec"), atoms / np.linalg.norm(atoms, axis=1, keepdims=True), 5)
+    return V.pursuit(rows.select(F.col("vec_id").alias("row"), "vec"), atoms / np.linalg.norm(atoms, axis=1, keepdims=True))
 
 
 @query("vocabulary_ends", "WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) WHERE label < 3 GROUP BY ALL), v AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY label), s AS (SELECT v.label AS axis, vec_id AS token_id, list_dot_product(CAST(embedding AS DOUBLE[]), v) AS s FROM embeddings, v), r AS (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY s DESC, token_id) AS u, row_number() OVER (PARTITION BY axis ORDER BY s, token_id) AS d FROM s) SELECT axis, token_id, CAST(u AS INTEGER) AS rank, 'top' AS side FROM r WHERE u <= 5 UNION ALL SELECT axis, token_id, CAST(d AS INTEGER), 'bottom' FROM r WHERE d <= 5")

@@ -87,7 +87,7 @@ def chain_walk(spark, sf_dir):
 
 @query("branch_prefix", "SELECT conv_id, turn, role, CASE WHEN turn = 2 THEN 'edited' ELSE text END AS text FROM conversations WHERE turn <= 2")
 def branch_prefix(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("turn <= 2").withColumn("text", F.when(F.col("turn") == 2, "edited").otherwise(F.col("text"))).select("conv_id", "turn", "role", "text")
+    return S.branch(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", 2, "text", "edited").select("conv_id", "turn", "role", "text")
 
 
 @query("context_within_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS s FROM conversations) WHERE s <= 2000")
@@ -98,10 +98,15 @@ def context_within_budget(spark, sf_dir):
 WC = f"len(regexp_extract_all(text, '{WORD}'))"
 
 
-@query("word_counts", f"SELECT doc_id, CAST({WC} AS BIGINT) AS words, CAST(least(5, {WC} // 20) AS BIGINT) AS length_bucket, {WC} <= 1 OR ({WC} <= 2 AND length(text) <= 12) AS few_words FROM documents")
+#: Spark's fold and DuckDB's lower differ in one letter of the test tables.
+KEYED = f"array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{WORD}'), ' ')"
+FEW = f"({KEYED} IN ({', '.join(repr(w) for w in T.LOW_INFORMATION)}) OR {WC} <= 1 OR ({WC} <= 2 AND length(text) <= 12))"
+
+
+@query("word_counts", f"SELECT doc_id, CAST({WC} AS BIGINT) AS words, CAST(least(5, {WC} // 20) AS BIGINT) AS length_bucket, {FEW} AS few_words FROM documents")
 def word_counts(spark, sf_dir):
     n = T.word_count(F.col("text")).cast("bigint")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("words"), F.least(F.lit(5), F.floor(n / 20)).cast("bigint").alias("length_bucket"), ((n <= 1) | ((n <= 2) & (F.char_length("text") <= 12))).alias("few_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("words"), F.least(F.lit(5), F.floor(n / 20)).cast("bigint").alias("length_bucket"), C.low_information(F.col("text")).alias("few_words"))
 
 
 @query("length_histogram", f"SELECT lang, least(5, {WC} // 20) AS bucket, count(*) AS documents FROM documents GROUP BY ALL")
@@ -111,12 +116,12 @@ def length_histogram(spark, sf_dir):
 
 @query("exact_dup_groups", """
 WITH g AS (SELECT sha256(text) AS fingerprint, list(doc_id ORDER BY n_chars DESC, doc_id) AS ids FROM documents GROUP BY ALL)
-SELECT fingerprint, ids[1] AS kept_id, array_to_string(ids[2:], ',') AS duplicate_ids, len(ids) AS count FROM g WHERE len(ids) > 1""")
+SELECT fingerprint, doc_id, ids[1] AS kept_id, len(ids) AS count FROM (SELECT *, unnest(ids) AS doc_id FROM g WHERE len(ids) > 1)""")
 def exact_dup_groups(spark, sf_dir):
+    """Each document of a group of equal texts with the one that is kept: a row a document, as a group may hold any share of them."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id")))), lambda x: x["doc_id"])
-    g = rows.groupBy("fingerprint").agg(ids.alias("ids")).where(F.size("ids") > 1)
-    return g.select("fingerprint", F.element_at("ids", 1).alias("kept_id"), F.array_join(F.slice("ids", 2, F.size("ids")).cast("array<string>"), ",").alias("duplicate_ids"), F.size("ids").cast("bigint").alias("count"))
+    groups = rows.groupBy("fingerprint").agg(F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").alias("kept_id"))).alias("k"), F.count(F.lit(1)).alias("count")).where("count > 1")
+    return rows.join(groups, "fingerprint").select("fingerprint", "doc_id", "k.kept_id", "count")
 
 
 @query("last_by_text", "SELECT source, arg_max(doc_id, (n_chars, doc_id)) AS doc_id FROM documents GROUP BY source")
@@ -175,26 +180,26 @@ def split_leakage(spark, sf_dir):
 
 
 @query("leakage_prune", f"""
-WITH s AS (SELECT doc_id, sha256(text) AS k, left(text, 40) AS g, {SPLIT} AS split FROM documents),
+WITH s AS (SELECT doc_id, sha256(text) AS k, concat_ws('|', source, CAST(n_chars AS VARCHAR)) AS g, {SPLIT} AS split FROM documents),
 v AS (SELECT * FROM s WHERE split = 'validation' AND k NOT IN (SELECT k FROM s WHERE split = 'test') AND g NOT IN (SELECT g FROM s WHERE split = 'test')),
 h AS (SELECT k, g FROM v UNION ALL SELECT k, g FROM s WHERE split = 'test')
 SELECT doc_id, split FROM s WHERE split = 'train' AND k NOT IN (SELECT k FROM h) AND g NOT IN (SELECT g FROM h) UNION ALL SELECT doc_id, split FROM v UNION ALL SELECT doc_id, split FROM s WHERE split = 'test'""")
 def leakage_prune(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.substring("text", 1, 40).alias("g"), S.hash_split(F.col("doc_id").cast("string")).alias("split"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.concat_ws("|", "source", F.col("n_chars").cast("string")).alias("g"), S.hash_split(F.col("doc_id").cast("string")).alias("split"))
     test = rows.where("split = 'test'")
     train, validation = J.pruned_splits(rows.where("split = 'train'"), rows.where("split = 'validation'"), test, ["k", "g"])
     return train.select("doc_id", "split").unionByName(validation.select("doc_id", "split")).unionByName(test.select("doc_id", "split"))
 
 
 @query("components", """
-WITH RECURSIVE k AS (SELECT doc_id, 'a' || sha256(text) AS k FROM documents UNION SELECT doc_id, 'b' || left(text, 30) FROM documents),
+WITH RECURSIVE k AS (SELECT doc_id, 'a' || sha256(text) AS k FROM documents UNION SELECT doc_id, 'b' || concat_ws('|', source, CAST(n_chars AS VARCHAR)) FROM documents),
 firsts AS (SELECT k, min(doc_id) AS f FROM k GROUP BY k),
 e AS (SELECT DISTINCT doc_id AS a, f AS b FROM k JOIN firsts USING (k) WHERE doc_id <> f), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS z FROM documents UNION SELECT reach.a, b.b FROM reach JOIN b ON reach.z = b.a)
 SELECT a AS doc_id, min(z) AS component FROM reach GROUP BY a""")
 def components(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.substring("text", 1, 30).alias("g"))
-    return linked_by_keys(rows, "doc_id", {"text": F.array("k"), "start": F.array("g")}).select("doc_id", "component")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.concat_ws("|", "source", F.col("n_chars").cast("string")).alias("g"))
+    return linked_by_keys(rows, "doc_id", {"text": F.array("k"), "size": F.array("g")}).select("doc_id", "component")
 
 
 @query("prefix_split", """
@@ -208,23 +213,22 @@ def prefix_split(spark, sf_dir):
 
 
 @query("ngram_cosine", """
-WITH t AS (SELECT lang, substr(text, 1, 400) AS x FROM documents), g AS (SELECT lang, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS g FROM t WHERE length(x) >= 4),
+WITH g AS (SELECT lang, unnest(CASE WHEN length(x) >= 4 THEN list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4)) WHEN length(x) > 0 THEN [x] ELSE [] END) AS g FROM (SELECT lang, text AS x FROM documents)),
 c AS (SELECT lang, g, CAST(count(*) AS DOUBLE) AS c FROM g GROUP BY ALL), n AS (SELECT lang, sqrt(sum(c * c)) AS n FROM c GROUP BY lang),
 d AS (SELECT a.lang AS a, b.lang AS b, sum(a.c * b.c) AS d FROM c a JOIN c b ON a.g = b.g AND a.lang < b.lang GROUP BY ALL)
 SELECT a, b, round(d / (na.n * nb.n), 9) AS cosine FROM d JOIN n na ON na.lang = a JOIN n nb ON nb.lang = b""")
 def ngram_cosine(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang", F.substring("text", 1, 400).alias("x")).where(F.char_length("x") >= 4)
-    return A.ngram_cosine(rows, "lang", F.col("x")).select("a", "b", F.round("cosine", 9).alias("cosine"))
+    return A.ngram_cosine(table(spark, sf_dir, "documents"), "lang", F.col("text")).select("a", "b", F.round("cosine", 9).alias("cosine"))
 
 
 @query("nearest_other", """
-WITH g AS (SELECT source, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS g FROM (SELECT source, substr(text, 1, 200) AS x FROM documents) WHERE length(x) >= 4),
+WITH g AS (SELECT source, unnest(CASE WHEN length(x) >= 4 THEN list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4)) WHEN length(x) > 0 THEN [x] ELSE [] END) AS g FROM (SELECT source, text AS x FROM documents)),
 c AS (SELECT source, g, CAST(count(*) AS DOUBLE) AS c FROM g GROUP BY ALL), n AS (SELECT source, sqrt(sum(c * c)) AS n FROM c GROUP BY source),
 d AS (SELECT a.source AS a, b.source AS b, sum(a.c * b.c) AS d FROM c a JOIN c b ON a.g = b.g AND a.source <> b.source GROUP BY ALL)
 SELECT a AS source, round(max(d / (na.n * nb.n)), 9) AS nearest FROM d JOIN n na ON na.source = a JOIN n nb ON nb.source = b GROUP BY a""")
 def nearest_other(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 200).alias("x")).where(F.char_length("x") >= 4)
-    return A.nearest_other(A.ngram_cosine(rows, "source", F.col("x")), rows, "source").select("source", F.round("nearest", 9).alias("nearest"))
+    rows = table(spark, sf_dir, "documents")
+    return A.nearest_other(A.ngram_cosine(rows, "source", F.col("text")), rows, "source").select("source", F.round("nearest", 9).alias("nearest"))
 
 
 COUNT = "CAST(len(regexp_extract_all(text, '{}')) AS DOUBLE)"
@@ -248,22 +252,28 @@ def regex_markers(spark, sf_dir):
 
 
 @query("text_class", r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
-m AS (SELECT *, CASE WHEN contains(x, chr(65533)) THEN 100 ELSE len(regexp_extract_all(x, 'ÔÇ')) + len(regexp_extract_all(x, 'Ã')) + len(regexp_extract_all(x, 'Â')) + len(regexp_extract_all(x, 'â€™')) + len(regexp_extract_all(x, 'â€œ')) + len(regexp_extract_all(x, 'â€')) + len(regexp_extract_all(x, 'Ń')) + len(regexp_extract_all(x, 'ň')) + len(regexp_extract_all(x, '╣')) + len(regexp_extract_all(x, '▒')) + len(regexp_extract_all(x, '▓')) END AS bad FROM t)
-SELECT doc_id, CAST(bad AS BIGINT) AS mojibake, CASE WHEN bad >= 3 THEN 'unintelligible' WHEN x = '' THEN 'empty' WHEN regexp_matches(regexp_replace(regexp_replace(x, '<LINK(:[^>]+)?>', ' ', 'g'), '(^|[^\p{L}\p{N}_@])@[A-Za-z0-9_]{1,50}', '\1 ', 'g'), '[\p{L}\p{N}]') THEN 'substantive' ELSE 'other' END AS class FROM m""")
+WITH t AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN '<LINK:x> <LINK>' WHEN 2 THEN '@a @b' WHEN 3 THEN '?! ...' WHEN 4 THEN '= +' WHEN 5 THEN '🙂 ' ELSE coalesce(text, '') END AS x, doc_id % 2 = 0 AS media FROM documents),
+m AS (SELECT *, CASE WHEN contains(x, chr(65533)) THEN 100 ELSE len(regexp_extract_all(x, 'ÔÇ')) + len(regexp_extract_all(x, 'Ã')) + len(regexp_extract_all(x, 'Â')) + len(regexp_extract_all(x, 'â€™')) + len(regexp_extract_all(x, 'â€œ')) + len(regexp_extract_all(x, 'â€')) + len(regexp_extract_all(x, 'Ń')) + len(regexp_extract_all(x, 'ň')) + len(regexp_extract_all(x, '╣')) + len(regexp_extract_all(x, '▒')) + len(regexp_extract_all(x, '▓')) END AS bad,
+regexp_replace(regexp_replace(x, '<LINK(:[^>]+)?>', ' ', 'g'), '(^|[^\p{L}\p{N}_@])@[A-Za-z0-9_]{1,50}', '\1 ', 'g') AS bare, trim(regexp_replace(x, '<LINK(:[^>]+)?>', '', 'g')) AS linkless FROM t)
+SELECT doc_id, CAST(bad AS BIGINT) AS mojibake, CASE WHEN bad >= 3 THEN 'unintelligible' WHEN x = '' AND media THEN 'media_only' WHEN x = '' THEN 'empty' WHEN regexp_matches(bare, '[\p{L}\p{N}]') THEN 'substantive' WHEN regexp_matches(bare, '[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\p{So}\p{Sk}]') THEN 'emoji_or_symbol'
+WHEN trim(regexp_replace(linkless, '(^|[^\p{L}\p{N}_@])@[A-Za-z0-9_]{1,50}', '\1', 'g')) = '' AND regexp_matches(x, '@') THEN 'mention_only' WHEN linkless = '' AND regexp_matches(x, '<LINK') THEN 'link_only' WHEN regexp_matches(regexp_replace(bare, '\s+', '', 'g'), '^\p{P}{1,24}$') THEN 'punctuation_reaction' WHEN media THEN 'media_or_low_information' ELSE 'other_low_information' END AS class FROM m""")
 def text_class(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", C.mojibake(F.coalesce("text", F.lit(""))).cast("bigint").alias("mojibake"), C.text_class(F.col("text"), F.lit(False)).alias("class"))
-    return rows.withColumn("class", F.when(F.col("class").isin("unintelligible", "empty", "substantive"), F.col("class")).otherwise("other"))
+    """Whole documents, and in some places texts of the rarer classes."""
+    odd = F.lit(None).cast("string")
+    for i, x in enumerate(("", "<LINK:x> <LINK>", "@a @b", "?! ...", "= +", "🙂 ")):
+        odd = F.when(F.col("doc_id") % 11 == i, x).otherwise(odd)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(odd, F.col("text"), F.lit("")).alias("x"))
+    return rows.select("doc_id", C.mojibake(F.col("x")).cast("bigint").alias("mojibake"), C.text_class(F.col("x"), F.col("doc_id") % 2 == 0).alias("class"))
 
 
-@query("mention_tokens", r"SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}_@])@([A-Za-z0-9_]{1,50})', '\1<USER>', 'g') AS portable FROM documents WHERE contains(text, '@')")
+@query("mention_tokens", r"SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}_@])@([A-Za-z0-9_]{1,50})', '\1<USER>', 'g') AS portable FROM documents")
 def mention_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", F.regexp_replace("text", T.MENTION, "<USER>").alias("portable"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.roles_for_mentions(F.col("text"), F.array().cast("array<array<string>>")).alias("portable"))
 
 
-@query("slugs", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS slug, regexp_replace(lower(source || '-' || lang), '[^a-z0-9]', '', 'g') AS code, regexp_replace(source || '/' || lang, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
+@query("slugs", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS slug, regexp_replace(lower(source || '-' || lang), '[^a-z0-9]', '', 'g') AS code, regexp_replace(source || '/' || lang, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM documents")
 def slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"), T.code(F.concat("source", F.lit("-"), "lang")).alias("code"), T.safe_name(F.concat("source", F.lit("/"), "lang")).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.code(F.concat("source", F.lit("-"), "lang")).alias("code"), T.safe_name(F.concat("source", F.lit("/"), "lang")).alias("name"))
 
 
 @query("stable_seeds", "SELECT doc_id, CAST(('0x' || substr(sha256(source || '::' || lang || '::' || doc_id), 1, 8)) AS BIGINT) % 2000000000 + 1 AS seed FROM documents")
@@ -304,24 +314,50 @@ def link_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"), T.link_marker(F.col("url")).alias("marker"))
 
 
-@query("public_urls")
+@query("public_urls", "SELECT page_id, page_id % 6 < 2 AS public FROM pages")
 def public_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", C.public_url(F.col("url")).alias("public"))
+    """The pages' own URLs, and in four places of six a URL that is not of the public web."""
+    others = ["http://10.0.0.7/x", "ftp://a.example.com/", "http://user:pw@b.example.com/", "https://printer.local/"]
+    odd = F.element_at(F.array(*map(F.lit, others)), (F.col("page_id") % 6 - 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", C.public_url(F.when(F.col("page_id") % 6 < 2, F.col("url")).otherwise(F.when(F.col("page_id") % 6 >= 2, odd))).alias("public"))
 
 
-@query("html_text")
+@query("html_text", r"""
+WITH t AS (SELECT page_id, html FROM pages), e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM t),
+l AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)https?://t\.co/\S+', '', 'g'), '(?i)https?://\S+', '<LINK>', 'g') AS x FROM e)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS text FROM l""")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.transport_text(F.col("html"), F.array().cast("array<string>")).alias("text"))
 
 
-@query("lexical_screen")
+_LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+_HITS = lambda words: f"CAST(len(list_filter(said, lambda w: list_contains({_LIST(words)}, w))) AS BIGINT)"
+_BEFORE, _AFTER, _PLACES = _LIST(sorted(C.DENIED_BEFORE)), _LIST(sorted(C.DENIED_AFTER)), _LIST(C.FORMS["body"])
+_LOCAL = lambda words: f"len(list_filter(clauses, lambda c: NOT list_has_any(c, {_LIST(sorted(C.ABSTRACT))}) AND len(list_filter(c, lambda w, i: list_contains({_LIST(words)}, w) AND NOT list_has_any(c[greatest(i - 5, 1):i - 1], {_BEFORE}) AND NOT list_has_any(c[i + 1:i + 3], {_AFTER}) AND list_has_any(c[greatest(i - 6, 1):i + 6], {_PLACES}))) > 0)) > 0"
+
+
+@query("lexical_screen", f"""
+WITH p AS (SELECT doc_id, regexp_replace(lower(CASE WHEN doc_id % 3 = 0 THEN 'My hand was burned. But no pain in the warm arm; "the skin aches". ' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' a wound near the heart of data, however burning feet hurt' ELSE '' END), '"[^"\\n]*"|“[^”\\n]*”', '', 'g') AS x FROM documents),
+c AS (SELECT doc_id, list_transform(string_split_regex(regexp_replace(x, '(^|[^\\p{{L}}\\p{{N}}_])(but|however|although)($|[^\\p{{L}}\\p{{N}}_])', '\\1.\\3', 'g'), '[.!?;\\n]+'), lambda c: regexp_extract_all(c, '[a-z]+(''[a-z]+)?')) AS clauses FROM p),
+s AS (SELECT *, flatten(clauses) AS said FROM c),
+n AS (SELECT doc_id, {_HITS(C.FORMS['burn'])} AS burn, {_HITS(C.FORMS['pain'])} AS pain, {_HITS(C.FORMS['body'])} AS body, {_HITS(C.FORMS['temperature'])} AS temperature, {_LOCAL(C.FORMS['burn'])} AS localized_burn, {_LOCAL(C.FORMS['burn'] + C.FORMS['pain'])} AS localized_physical FROM s)
+SELECT doc_id, 3 * (burn + pain) + CASE WHEN burn + pain > 0 THEN least(body, 3) + least(temperature, 2) ELSE 0 END AS weighted, burn + pain AS strong, body, temperature, burn, pain, localized_burn, localized_physical FROM n""")
 def lexical_screen(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.screened(F.col("text")).alias("s")).select("doc_id", "s.*")
+    """Whole documents, some with sentences of the screened kind before or after."""
+    before = F.when(F.col("doc_id") % 3 == 0, 'My hand was burned. But no pain in the warm arm; "the skin aches". ').otherwise("")
+    after = F.when(F.col("doc_id") % 5 == 0, " a wound near the heart of data, however burning feet hurt").otherwise("")
+    text = F.concat(before, F.coalesce("text", F.lit("")), after)
+    return table(spark, sf_dir, "documents").select("doc_id", C.lexical_screen(text).alias("s")).select("doc_id", "s.*")
 
 
-@query("phase_split")
+@query("phase_split", """
+WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^[\\s]+|[\\s]+$', '', 'g') AS x, turn % 4 AS k FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN '' ELSE x END AS reasoning_text, CASE k WHEN 0 THEN x WHEN 1 THEN 'answer' WHEN 2 THEN 'first   last' ELSE '' END AS answer_text, CASE k WHEN 3 THEN 'reasoning' ELSE 'answer' END AS phase, k = 3 AS reasoning_unclosed FROM t""")
 def phase_split(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.phases(F.coalesce("text", F.lit(""))).alias("p")).select("conv_id", "turn", "p.reasoning_text", "p.answer_text", "p.phase", "p.reasoning_unclosed")
+    """Recorded turns as they are, as reasoning before an answer, within one, and left open."""
+    text, k = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    said = F.when(k == 0, text).when(k == 1, F.concat(F.lit("<think>"), text, F.lit("</think> answer"))).when(k == 2, F.concat(F.lit("first [THINK]"), text, F.lit("[/THINK]  last"))).otherwise(F.concat(F.lit("<analysis>"), text))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.phases(said).alias("p")).select("conv_id", "turn", "p.reasoning_text", "p.answer_text", "p.phase", "p.reasoning_unclosed")
 
 
 @query("matching_ratio")

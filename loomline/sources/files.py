@@ -17,13 +17,19 @@ from pyspark.sql import types as T
 BROKEN = "_broken"
 
 
-def located(spark: SparkSession, root: str, suffixes: Sequence[str]) -> str:
-    """The file below root whose path ends in the first suffix that any has; of several the shortest."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
+def listed(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(path, length) of every file below root, empty ones too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     found, files = [], path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
     while files.hasNext():
-        found.append(files.next().getPath().toString())
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen()))
+    return found
+
+
+def located(spark: SparkSession, root: str, suffixes: Sequence[str]) -> str:
+    """The file below root whose path ends in the first suffix that any has; of several the shortest."""
+    found = [path for path, _ in listed(spark, root)]
     for suffix in suffixes:
         fits = sorted((f for f in found if f.endswith(suffix)), key=lambda f: (len(f), f))
         if fits:
@@ -47,6 +53,33 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, faults: str
     return spark.read.schema(schema).option("mode", {"raise": "FAILFAST", "drop": "DROPMALFORMED"}[faults]).json(path)
 
 
+def broken_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(path, line, value) of the lines that are no record of the schema: objects that do not parse, other values, and bytes that are no text. Lines count from 1, blank ones too."""
+    from ..operators.select import placed_within
+
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+    held = F.from_json("value", T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]), {"columnNameOfCorruptRecord": BROKEN})
+    numbered = placed_within(rows, ["path"], [F.col("_block"), F.col("_row")])
+    numbered = numbered.withColumn("_held", held)
+    bad = F.col(f"_held.{BROKEN}").isNotNull() | F.coalesce(~F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(True)) | ~F.is_valid_utf8("value")
+    return numbered.where((F.trim("value") != "") & bad).select("path", (F.col("place") + 1).alias("line"), "value")
+
+
+def fail_fast(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines by a schema; the first line that is no record is an error that names the file and the line."""
+    first = broken_lines(spark, path, schema).orderBy("path", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['path']}, line {first[0]['line']}: {first[0]['value'][:200]}")
+    return json_lines(spark, path, schema)
+
+
+def known_ids(spark: SparkSession, path: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The distinct ids of JSON lines, only that field read, and the lines that could not be read."""
+    schema = T.StructType([T.StructField(key, T.StringType())])
+    ids = json_lines(spark, path, schema, "keep").select(F.when(F.col(BROKEN).isNull(), F.col(key)).alias(key)).where(F.col(key).isNotNull()).distinct()
+    return ids, broken_lines(spark, path, schema)
+
+
 def strict_objects(spark: SparkSession, path: str) -> DataFrame:
     """(line, value VARIANT) of JSON lines: a line that is no JSON is an error that shows it, one that is no object is skipped."""
     rows = spark.read.text(path).where(F.trim("value") != "").withColumn("parsed", F.try_parse_json("value"))
@@ -82,14 +115,26 @@ def anchors(spark: SparkSession, path: str, key, n: int = 96) -> DataFrame:
     return first.orderBy("place").limit(n).select("prompt", "response", "key")
 
 
-def inventory(spark: SparkSession, root: str, manifest: str, schema: str, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Manifests (JSON files of one name) below root, decoded: the accepted, one a name, and the rejected with a reason."""
+#: Parts of a path that no inventory enters.
+SKIPPED = ("staging", "backup", "backups", "quarantine")
+
+
+def inventory(spark: SparkSession, root: str, manifest: str, schema: str, required: Sequence[str], depth: int | None = None, skipped: Sequence[str] = (), allowed: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Manifests (JSON files of one name) below root, decoded: the accepted, one a name, and the rejected with a reason.
+
+    depth: how many directories below root a manifest may lie; skipped: directories not to enter, whatever their case;
+    allowed: the names (first required field) that may be accepted, all if none are given.
+    """
     from pyspark.sql import Window
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", manifest).load(root)
-    rows = raw.select("path", "modificationTime", F.from_json(F.col("content").cast("string"), schema).alias("m")).select("path", "modificationTime", "m.*", F.col("m").isNull().alias("_bad"))
+    rows = raw.select("path", "modificationTime", F.from_json(F.col("content").cast("string"), schema).alias("m"), F.try_parse_json(F.col("content").cast("string")).isNull().alias("_bad")).select("path", "modificationTime", "m.*", "_bad")
+    below = F.split(F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split(":")[-1] + r"\E/", ""), "/")
     missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required], F.lit(None).cast("string"))
-    rows = rows.withColumn("reason", F.when(F.col("_bad"), F.lit("not JSON")).otherwise(missing)).drop("_bad")
+    deep = F.size(below) - 1 > depth if depth is not None else F.lit(False)
+    closed = F.exists(F.slice(below, 1, F.size(below) - 1), lambda d: F.lower(d).isin(*[x.lower() for x in skipped])) if skipped else F.lit(False)
+    foreign = ~F.lower(required[0]).isin(*[x.lower() for x in allowed]) if allowed is not None else F.lit(False)
+    rows = rows.withColumn("reason", F.when(deep, F.lit("too deep")).when(closed, F.lit("skipped directory")).when(F.col("_bad"), F.lit("not JSON")).when(missing.isNotNull(), missing).when(foreign, F.lit("not allowed"))).drop("_bad")
     good = rows.where("reason IS NULL").withColumn("_n", F.row_number().over(Window.partitionBy(required[0]).orderBy("path"))).where("_n = 1").drop("_n", "reason")
     return good, rows.where("reason IS NOT NULL")
 
@@ -125,86 +170,139 @@ def members(spark: SparkSession, path: str, pattern: str | None = None) -> DataF
     return rows if pattern is None else rows.where(F.col("name").rlike(pattern))
 
 
+#: The sizes of GGUF's numbers by kind, and the bounds of a header.
 _GGUF = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<?", 10: "<Q", 11: "<q", 12: "<d"}
+_MOST_ENTRIES, _LONGEST_TEXT, _LONGEST_ARRAY, _LARGEST_ALIGNMENT, _LARGEST_HEADER = 1_000_000, 4 << 20, 10_000_000, 1 << 20, 100 << 20
 
 
-class _Bytes:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+class Ranges:
+    """A file read by ranges: `read(start, n)` gives bytes, and no more is fetched than what is asked for, in pieces of `piece` bytes."""
 
-    def take(self, n: int) -> bytes:
-        if n < 0 or self.at + n > len(self.data):
+    def __init__(self, size: int, read, piece: int = 1 << 20):
+        self.size, self.read, self.piece, self.at, self.held, self.start = size, read, piece, 0, b"", 0
+
+    def skip(self, n: int) -> None:
+        if not 0 <= n <= self.size - self.at:
             raise ValueError("the header ends early")
         self.at += n
-        return self.data[self.at - n : self.at]
+
+    def take(self, n: int) -> bytes:
+        self.skip(n)
+        a = self.at - n - self.start
+        if not 0 <= a <= a + n <= len(self.held):
+            self.start, a = self.at - n, 0
+            self.held = self.read(self.start, min(max(n, self.piece), self.size - self.start))
+        return self.held[a : a + n]
 
     def number(self, kind: str):
         return struct.unpack(kind, self.take(struct.calcsize(kind)))[0]
 
     def text(self) -> str:
-        return self.take(self.number("<Q")).decode("utf-8", "replace")
+        n = self.number("<Q")
+        if n > _LONGEST_TEXT:
+            raise ValueError("a text of the header is too long")
+        return self.take(n).decode("utf-8", "replace")
 
     def value(self, kind: int):
+        """A value of the metadata; arrays are passed over."""
+        if kind in _GGUF:
+            return self.number(_GGUF[kind])
         if kind == 8:
             return self.text()
-        if kind == 9:
-            inner, n = self.number("<I"), self.number("<Q")
-            return [self.value(inner) for _ in range(n)]
-        if kind not in _GGUF:
+        if kind != 9:
             raise ValueError(f"unknown kind {kind}")
-        return self.number(_GGUF[kind])
-
-
-def gguf_header(data: bytes) -> tuple[dict, list[tuple[str, list[int], int]]]:
-    """Metadata and (name, shape, offset) of the tensors of a GGUF file's first bytes."""
-    r = _Bytes(data)
+        inner, n = self.number("<I"), self.number("<Q")
+        if n > _LONGEST_ARRAY:
+            raise ValueError("an array of the header is too long")
+        if inner in _GGUF:
+            self.skip(n * struct.calcsize(_GGUF[inner]))
+        else:
+            for _ in range(n):
+                self.skip(self.number("<Q")) if inner == 8 else self.value(inner)
+        return None
+
+
+def gguf_header(r: Ranges) -> tuple[dict, list[tuple[str, list[int], int, int]]]:
+    """Metadata and (name, shape, start, size) of the tensors of a GGUF file, from its header; the extents must lie in the file."""
     if r.take(4) != b"GGUF":
         raise ValueError("no GGUF file")
-    r.number("<I")
+    if (version := r.number("<I")) not in (2, 3):
+        raise ValueError(f"unknown GGUF version {version}")
     tensors, pairs = r.number("<Q"), r.number("<Q")
-    meta = {r.text(): r.value(r.number("<I")) for _ in range(pairs)}
+    if max(tensors, pairs) > _MOST_ENTRIES:
+        raise ValueError("too many entries")
+    meta = {}
+    for _ in range(pairs):
+        name = r.text()
+        meta[name] = r.value(r.number("<I"))
     found = []
     for _ in range(tensors):
-        name = r.text()
-        shape = [r.number("<Q") for _ in range(r.number("<I"))]
+        name, rank = r.text(), r.number("<I")
+        if not 1 <= rank <= 8:
+            raise ValueError(f"{name} has rank {rank}")
+        shape = [r.number("<Q") for _ in range(rank)]
         r.number("<I")
-        found.append((name, shape, r.number("<Q")))
-    return meta, found
-
-
-def safetensors_header(data: bytes) -> list[tuple[str, str, list[int], int, int]]:
-    """(name, dtype, shape, start, end) of a safetensors file; the extents must tile the payload."""
-    r = _Bytes(data)
-    size = r.number("<Q")
-    head = json.loads(r.take(size))
-    rows = sorted(((k, v["dtype"], v["shape"], *v["data_offsets"]) for k, v in head.items() if k != "__metadata__"), key=lambda x: x[3])
-    at = 0
-    for name, _, _, start, end in rows:
+        found.append((r.number("<Q"), name, shape))
+    unit = meta.get("general.alignment", 32)
+    if not isinstance(unit, int) or not 0 < unit <= _LARGEST_ALIGNMENT:
+        raise ValueError("the alignment is out of bounds")
+    base = -(-r.at // unit) * unit
+    found.sort(key=lambda x: (x[0], x[1]))
+    ends = [start for start, _, _ in found[1:]] + [r.size - base]
+    for (start, name, _), end in zip(found, ends):
+        if not start <= end <= r.size - base:
+            raise ValueError(f"{name} does not lie in the file")
+    return meta, [(name, shape, start, end - start) for (start, name, shape), end in zip(found, ends)]
+
+
+def safetensors_header(r: Ranges) -> list[tuple[str, list[int], int, int]]:
+    """(name, shape, start, size) of a safetensors file, from its header; the extents must tile the payload."""
+    length = r.number("<Q")
+    if length > _LARGEST_HEADER:
+        raise ValueError("the header is too long")
+    head = json.loads(r.take(length))
+    rows, at = sorted((v["data_offsets"][0], v["data_offsets"][1], k, v["shape"]) for k, v in head.items() if k != "__metadata__"), 0
+    for start, end, name, _ in rows:
         if start != at or end < start:
             raise ValueError(f"{name} does not start where the one before ends")
         at = end
-    if 8 + size + at != len(data):
+    if r.at + at != r.size:
         raise ValueError("the payload is not covered")
-    return rows
+    return [(name, shape, start, end - start) for start, end, name, shape in rows]
 
 
-def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, tensor, shape, start, fault) of GGUF and safetensors files."""
+def tensor_headers(spark: SparkSession, path: str, threads: int = 8) -> DataFrame:
+    """(path, format, tensor, shape, start, size, fault) of the GGUF and safetensors files below path.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    if content[:4] == b"GGUF":
-                        out += [(p, "gguf", n, list(s), o, None) for n, s, o in gguf_header(content)[1]]
-                    else:
-                        out += [(p, "safetensors", n, list(s), o, None) for n, _, s, o, _ in safetensors_header(content)]
-                except (ValueError, KeyError, struct.error) as e:
-                    out.append((p, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["path", "format", "tensor", "shape", "start", "fault"])
+    Only headers are read, by ranges, through the file system of the session. Model files are few, so the driver reads their headers (a few MB each), some at a time.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def one(name: str, size: int) -> list[tuple]:
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        stream = at.getFileSystem(conf).open(at)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, "path string, format string, tensor string, shape array<bigint>, start bigint, fault string")
+        def read(start: int, n: int) -> bytes:
+            stream.seek(start)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)) if n else b""
+
+        kind = None
+        try:
+            r = Ranges(size, read)
+            kind = "gguf" if r.take(min(4, size)) == b"GGUF" else "safetensors"
+            r.at = 0
+            rows = gguf_header(r)[1] if kind == "gguf" else safetensors_header(r)
+            return [(name, kind, tensor, list(shape), start, n, None) for tensor, shape, start, n in rows]
+        except (ValueError, KeyError, TypeError, struct.error) as e:
+            return [(name, kind, None, None, None, None, str(e))]
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(threads) as pool:
+        rows = [row for part in pool.map(lambda f: one(*f), listed(spark, path)) for row in part]
+    return spark.createDataFrame(rows, "path string, format string, tensor string, shape array<bigint>, start bigint, size bigint, fault string")
 
 
 def arrays(spark: SparkSession, path: str, digests: dict[str, str]) -> DataFrame:
@@ -237,25 +335,70 @@ def write_json_lines(df: DataFrame, path: str, partition_by: Sequence[str] = ())
     return seen.get["n"]
 
 
-def write_csv(df: DataFrame, path: str, order: Sequence[Column] = ()) -> None:
-    """A CSV with a header; nested cells are JSON text."""
+def write_csv(df: DataFrame, path: str, order: Sequence[Column] = (), partition_by: Sequence[str] = (), mark: bool = False) -> None:
+    """A CSV with a header; nested cells are JSON text. mark: each file starts with a byte order mark, as spreadsheets expect."""
     flat = df.select(*[F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
-    (flat.orderBy(*order) if order else flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    if mark:
+        flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0])
+    writer = (flat.orderBy(*order) if order else flat).write.mode("overwrite").option("header", True).option("escape", '"')
+    (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
+
+
+def union_header(rows: DataFrame, cells: str, first: Sequence[str] = ()) -> DataFrame:
+    """A column for every key that any of the maps in `cells` has: those of `first`, then the others by name."""
+    keys = [r["k"] for r in rows.select(F.explode(F.map_keys(cells)).alias("k")).distinct().orderBy("k").collect()]  # a header
+    names = [*first, *(k for k in keys if k not in first)]
+    return rows.select(*[F.try_element_at(F.col(cells), F.lit(k)).alias(k) for k in names])
+
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of the files below path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
-def manifest(counts: DataFrame, parameters: dict) -> str:
-    """A manifest of a run as JSON, from a one-row frame of counts."""
-    return json.dumps({"parameters": parameters, "counts": counts.first().asDict(recursive=True)}, ensure_ascii=False, sort_keys=True, default=str)
+
+def manifest(counts: DataFrame, parameters: dict, files: DataFrame | None = None) -> str:
+    """A manifest of a run as JSON, from a one-row frame of counts and the digests of its input files."""
+    inputs = {} if files is None else {"inputs": {r["path"]: r["sha256"] for r in files.orderBy("path").collect()}}  # an entry an input file
+    return json.dumps({"parameters": parameters, "counts": counts.first().asDict(recursive=True)} | inputs, ensure_ascii=False, sort_keys=True, default=str)
 
 
 def put_json(spark: SparkSession, path: str, value) -> None:
-    """Writes one JSON file so that a reader sees the old one or the new one: to a name beside it, then renamed over it."""
-    jvm = spark.sparkContext._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Writes one JSON file so that a reader sees the old one or the new one: to a name beside it, then renamed over it in one step.
+
+    Local files are replaced by the operating system; others by their file system, which HDFS does in one step too.
+    """
+    import os
+    import uuid
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    data = json.dumps(value, ensure_ascii=False, sort_keys=True).encode()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    name = f"{target.getName()}.{uuid.uuid4().hex}.new"
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), name)
+    if target.toUri().getScheme() == "file":
+        with open(beside.toUri().getPath(), "wb") as f:
+            f.write(data)
+        os.replace(beside.toUri().getPath(), target.toUri().getPath())
+        return
     out = fs.create(beside, True)
-    out.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()))
+    out.write(bytearray(data))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"could not rename to {path}")
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, over)
+
+
+def append_snapshot(df: DataFrame, root: str, version: str, keep: int = 8) -> list[str]:
+    """Writes df as the snapshot `version` below root and removes all but the newest `keep`, by modification time, then name; gives the names left."""
+    spark = df.sparkSession
+    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/{version}")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(((s.getModificationTime(), s.getPath().getName(), s.getPath()) for s in fs.listStatus(at) if s.isDirectory()), key=lambda x: x[:2], reverse=True)
+    for _, _, old in found[keep:]:
+        fs.delete(old, True)
+    return [name for _, name, _ in found[:keep]]

@@ -60,6 +60,38 @@ def guarded(stream: DataFrame, key: str, order: str, token: str, run: int = RUN)
     return stream.select(key, order, token).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} {at}, tokens bigint, repeats boolean", "n bigint, last array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_events(stream: DataFrame, key: str, order: str, token: str, last: str, limit: int) -> DataFrame:
+    """Per run (key) its token events in order, and exactly one done event after the last: at the token `last`, or when `limit` tokens have come.
+
+    Rows: key, order, kind (token or done), tokens so far, reason (of done: end_token or token_limit). What comes after done
+    gives nothing.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, over = state.get if state.exists else (0, False)
+        for pdf in batches:
+            out = []
+            for at, t in pdf.sort_values(order)[[order, token]].itertuples(index=False):
+                if over:
+                    break
+                n += 1
+                out.append((k[0], at, "token", n, None))
+                over = str(t) == last or n >= limit
+                if over:
+                    out.append((k[0], at, "done", n, "end_token" if str(t) == last else "token_limit"))
+            yield pd.DataFrame(out, columns=[key, order, "kind", "tokens", "reason"])
+        state.update((n, over))
+
+    kind, at = stream.schema[key].dataType.simpleString(), stream.schema[order].dataType.simpleString()
+    return stream.select(key, order, token).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} {at}, kind string, tokens bigint, reason string", "n bigint, over boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress(completed: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Windows with `done`: whether a resumed run has completed them; and per key how many are left is one aggregation away."""
+    marks = completed.select(*keys).distinct().withColumn("_done", F.lit(True))
+    return windows.join(marks, keys, "left").withColumn("done", F.coalesce("_done", F.lit(False))).drop("_done")
+
+
 def leases(events: DataFrame, key: str, at: str, lease: str) -> DataFrame:
     """Spans of heartbeats of a key no further apart than the lease: start, end (when the lease runs out) and beats; for streams and tables."""
     rows = events.withWatermark(at, lease) if events.isStreaming else events
