@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import placed_within
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -75,11 +77,10 @@ def area(y: np.ndarray, score: np.ndarray) -> float:
 
 
 def auc(rows: DataFrame, keys: Sequence[str], score: str, label: Column) -> DataFrame:
-    """Per key the area under the ROC curve from mean ranks: scores are counted first, so a tie is one row."""
-    tied = rows.withColumn("_y", label.cast("int")).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_p"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = tied.withColumn("_rank", before + (F.col("_n") + 1) / 2)
-    out = ranked.groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_p")).alias("_r"), F.sum("_p").alias("_a"), F.sum("_n").alias("_b"))
+    """Per key the area under the ROC curve from mean ranks: scores are counted first, so a tie is one row, and ranked over many tasks."""
+    tied = rows.withColumn("_y", label.cast("int")).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n0"), F.sum("_y").alias("_pos"))
+    ranked = placed_within(tied, list(keys), [F.col(score)], F.col("_n0")).withColumn("_rank", F.col("before") + (F.col("_n0") + 1) / 2)
+    out = ranked.groupBy(*keys).agg(F.sum(F.col("_rank") * F.col("_pos")).alias("_r"), F.sum("_pos").alias("_a"), F.sum("_n0").alias("_b"))
     return out.select(*keys, ((F.col("_r") - F.col("_a") * (F.col("_a") + 1) / 2) / F.nullif(F.col("_a") * (F.col("_b") - F.col("_a")), F.lit(0))).alias("auc"))
 
 

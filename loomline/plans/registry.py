@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return held
 
 
-from . import function_queries, post_queries, stream_queries, table_queries, text_queries  # noqa: E402,F401
+from . import file_queries, function_queries, post_queries, stream_queries, table_queries, text_queries  # noqa: E402,F401

@@ -53,23 +53,26 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, faults: str
     return spark.read.schema(schema).option("mode", {"raise": "FAILFAST", "drop": "DROPMALFORMED"}[faults]).json(path)
 
 
+def _faulty(schema: T.StructType) -> Column:
+    """Whether a line (value) is no blank and no record: an object that does not parse, another value, or bytes that are no text."""
+    held = F.from_json("value", T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]), {"columnNameOfCorruptRecord": BROKEN})
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    return (F.trim("value") != "") & (held[BROKEN].isNotNull() | F.coalesce(~kind.startswith("OBJECT"), F.lit(True)) | ~F.is_valid_utf8("value"))
+
+
 def broken_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """(path, line, value) of the lines that are no record of the schema: objects that do not parse, other values, and bytes that are no text. Lines count from 1, blank ones too."""
+    """(path, line, value) of the lines that are no record of the schema. Lines count from 1, blank ones too."""
     from ..operators.select import placed_within
 
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
-    held = F.from_json("value", T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]), {"columnNameOfCorruptRecord": BROKEN})
-    numbered = placed_within(rows, ["path"], [F.col("_block"), F.col("_row")])
-    numbered = numbered.withColumn("_held", held)
-    bad = F.col(f"_held.{BROKEN}").isNotNull() | F.coalesce(~F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(True)) | ~F.is_valid_utf8("value")
-    return numbered.where((F.trim("value") != "") & bad).select("path", (F.col("place") + 1).alias("line"), "value")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.when(_faulty(schema), F.col("value")).alias("value"))
+    return placed_within(rows, ["path"], [F.col("_block"), F.col("_row")]).where("value IS NOT NULL").select("path", (F.col("place") + 1).alias("line"), "value")
 
 
 def fail_fast(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines by a schema; the first line that is no record is an error that names the file and the line."""
-    first = broken_lines(spark, path, schema).orderBy("path", "line").limit(1).collect()
-    if first:
-        raise ValueError(f"{first[0]['path']}, line {first[0]['line']}: {first[0]['value'][:200]}")
+    """JSON lines by a schema; the first line that is no record is an error that names the file and the line. Lines are numbered only if one is at fault."""
+    if not spark.read.text(path).where(_faulty(schema)).isEmpty():
+        first = broken_lines(spark, path, schema).orderBy("path", "line").first()
+        raise ValueError(f"{first['path']}, line {first['line']}: {first['value'][:200]}")
     return json_lines(spark, path, schema)
 
 
@@ -391,6 +394,14 @@ def put_json(spark: SparkSession, path: str, value) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, over)
 
 
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one small file through its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def append_snapshot(df: DataFrame, root: str, version: str, keep: int = 8) -> list[str]:
     """Writes df as the snapshot `version` below root and removes all but the newest `keep`, by modification time, then name; gives the names left."""
     spark = df.sparkSession

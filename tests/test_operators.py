@@ -152,3 +152,124 @@ def test_area_and_directions():
 def test_a_grid_must_be_small(spark):
     with pytest.raises(ValueError):
         J.grid(spark.range(2000), spark.range(2000).toDF("b"))
+
+
+def conversation_posts(profiles=("Writer", "Other"), n=30):
+    authored = [post(f"{w}{2000 + i}", w, "reply", f"answer about thing{i} of {w} number{i}", f"{w}{1000 + i}", to="Reader", conversation=f"{w}{1000 + i}", date=f"2026-01-{1 + i % 28:02d}T12:01:00Z") for w in profiles for i in range(n)]
+    cached = [post(f"{w}{1000 + i}", "Reader", text=f"what about topic{i}?", conversation=f"{w}{1000 + i}") for w in profiles for i in range(n)]
+    return authored, cached
+
+
+def test_profiles_are_split_each_by_itself(spark):
+    one = {w: {r["id"]: r["split"] for r in built(spark, *conversation_posts((w,)))["examples"].collect()} for w in ("Writer", "Other")}
+    both = {r["id"]: r["split"] for r in built(spark, *conversation_posts())["examples"].collect()}
+    assert both == one["Writer"] | one["Other"]
+
+
+def test_plans_keep_errors_by_profile(spark):
+    kept = built(spark, *conversation_posts())["examples"]
+    published = P.public(kept, True).join(kept.select("id", "split"), "id").where("NOT (profile = 'Other' AND split = 'test')")
+    config = spark.createDataFrame([("writer", 0), ("Other", 50), ("Nobody", 0)], "profile string, max_steps bigint")
+    got = {r["profile"]: r for r in P.planned(published, config).collect()}
+    assert got["writer"]["status"] == "ready" and got["writer"]["max_steps"] == 120 and got["writer"]["estimated_microbatches"] == 960 and got["writer"]["train_rows"] == 24
+    assert got["Other"]["status"] == "error" and "test=0" in got["Other"]["error"] and got["Other"]["max_steps"] is None
+    assert got["Nobody"]["status"] == "error" and got["Nobody"]["train_rows"] == 0
+    single = P.filtered_splits(*(published.where((F.col("split") == s) & (F.col("profile") == "Writer")).drop("split") for s in ("train", "validation", "test")), "Writer")
+    every = P.filtered_splits(*(published.where(F.col("split") == s).drop("split") for s in ("train", "validation", "test")), None)
+    assert sorted(r["id"] for r in single[0].collect()) == sorted(r["id"] for r in every[0].where("profile = 'Writer'").collect())
+
+
+def test_training_json(spark):
+    import json
+
+    kept = built(spark, *conversation_posts(("Writer",)))["examples"]
+    rows = [json.loads(r["json"]) for r in P.training_json(P.prepared(P.public(kept, True), F.lit("Writer"))).collect()]
+    assert len(rows) == 30 and all(list(r) == ["id", "profile", "messages", "task", "quality", "low_info", "metadata"] and r["messages"][-1]["role"] == "assistant" for r in rows)
+
+
+def test_microbatches(spark):
+    said = [("user", "q"), ("assistant", "a")]
+    train = spark.createDataFrame([(i, 0.0 if i == 3 else 2.0 if i == 4 else 1.0, said) for i in range(8)], "id bigint, quality double, messages array<struct<role:string,content:string>>")
+    anchors = spark.createDataFrame([(100, said)], "id bigint, messages array<struct<role:string,content:string>>")
+    out = P.microbatches(train, anchors, ["one", "two", "three"], [("who?", "none")], 500, 8, (0.2, 0.1, 0.1), 7).collect()
+    assert sorted(r["place"] for r in out) == list(range(4000))
+    by = {}
+    for r in out:
+        by.setdefault(r["source_kind"], []).append(r["row_id"])
+    assert {k: len(v) for k, v in by.items()} == {"replay": 800, "boundary": 400, "anchor": 400, "persona": 2400}
+    counts = {i: by["persona"].count(str(i)) for i in range(8)}
+    assert abs(counts[4] - 2 * counts[0]) < 200 and counts[3] < 60 and abs(by["replay"].count("replay:0") - 267) <= 1
+    again = P.microbatches(train, anchors, ["one", "two", "three"], [("who?", "none")], 500, 8, (0.2, 0.1, 0.1), 7)
+    assert sorted(map(str, out)) == sorted(map(str, again.collect()))
+    assert {r["source_kind"] for r in P.microbatches(train, anchors.limit(0), ["one"], [("w", "n")], 10, 8, (0.2, 0.1, 0.1), 7).collect()} == {"replay", "boundary", "persona"}
+
+
+def test_fits_on_given_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(layer, ("train", "dev", "test")[i % 3], i % 2 == 0, (rng.normal(size=6) + (2.0 * layer * (i % 2 == 0)) * np.eye(6)[layer]).tolist()) for layer in (0, 1, 2) for i in range(90)]
+    got = {r["layer"]: r for r in V.official_fit(spark.createDataFrame(rows, "layer bigint, part string, label boolean, vec array<double>")).collect()}
+    assert got[2]["chosen"] and got[2]["dev_auc"] > 0.8 and got[2]["test_auc"] > 0.75 and abs(np.linalg.norm(got[2]["direction"]) - 1) < 1e-9
+    scored = [(y, np.dot(v, got[2]["direction"])) for layer, part, y, v in rows if layer == 2 and part == "dev"]
+    assert abs(V.area(np.array([y for y, _ in scored]), np.array([s for _, s in scored])) - got[2]["dev_auc"]) < 1e-9
+
+
+def test_denoising_against_a_cloud_and_readout(spark):
+    rng = np.random.default_rng(5)
+    cloud = rng.normal(size=(60, 5)) * np.array([9, 1, 1, 1, 1])
+    v = np.array([3.0, 1, 0, 0, 2])
+    (row,) = V.denoised_against(spark.createDataFrame([(1, v.tolist())], "layer bigint, direction array<double>"), spark.createDataFrame([(1, x.tolist()) for x in cloud], "layer bigint, vec array<double>")).collect()
+    parts = V.kept_components(cloud)
+    assert np.allclose(row["direction"], v - parts.T @ (parts @ v)) and abs(row["direction"][0]) < 0.5
+    atoms = rng.normal(size=(12, 6))
+    atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
+    anchor = rng.normal(size=6)
+    (out,) = V.readout(spark.createDataFrame([(7, (anchor + 2 * atoms[3] + atoms[8]).tolist())], "row bigint, vec array<double>"), atoms, anchor, 4).collect()
+    h = 2 * atoms[3] + atoms[8]
+    assert out["atoms"] == np.argsort(-(atoms @ h), kind="stable")[:4].tolist() and np.allclose(out["projections"], (atoms @ h)[out["atoms"]])
+    a = atoms[out["atoms"]].T
+    best = min((np.linalg.norm(h - a[:, k] @ np.linalg.lstsq(a[:, k], h, rcond=None)[0]) for n in range(1, 5) for k in map(list, __import__("itertools").combinations(range(4), n)) if (np.linalg.lstsq(a[:, k], h, rcond=None)[0] >= -1e-12).all()))
+    assert abs(np.linalg.norm(h - a @ np.array(out["weights"])) - best) < 1e-6 and min(out["weights"]) >= 0
+
+
+def test_results_of_other_inputs_are_refused(spark):
+    from loomline.operators import exports as E
+
+    done, saved = spark.range(3), spark.createDataFrame([("a",)], "fingerprint string")
+    assert E.compatible(done, saved, "a").count() == 3 and E.compatible(done.limit(0), saved.limit(0), "b").count() == 0
+    for manifest, wanted in ((saved, "b"), (saved.limit(0), "a")):
+        with pytest.raises(ValueError):
+            E.compatible(done, manifest, wanted)
+    with pytest.raises(ValueError):
+        S.disjoint(spark.createDataFrame([(1, "train"), (1, "test")], "k int, split string"), ["k"], "split")
+
+
+def test_reply_context_files(spark, tmp_path):
+    from loomline.operators import exports as E
+    from loomline.sources import files as files
+
+    columns = "id string, username string, kind string, in_reply_to_tweet_id string, text string"
+    posts = spark.createDataFrame([("1", "Me", "reply", "9", "a, \"b\"\nc"), ("2", "Me", "reply", "1", "d"), ("3", "You", "tweet", None, "e"), ("4", "Me", "reply", "8", "f"), ("5", "Me", "reply", "7", "g")], columns)
+    cached = spark.createDataFrame([("9", "X", "tweet", None, "parent"), ("1", "Me", "reply", "9", "cached copy")], columns)
+    gone = spark.createDataFrame([("8", None, "404", ""), ("9", "deleted", "", "")], "id string, status string, error string, last_attempt string")
+    out = E.reply_context(posts, cached, gone)
+    got = {r["id"]: (r["parent_status"], r["parent_text"]) for r in out["all"].collect()}
+    assert got == {"1": ("found", "parent"), "2": ("found", "cached copy"), "3": ("not_applicable", None), "4": ("unavailable", None), "5": ("not_fetched", None)}
+    s = out["status"].first().asDict()
+    assert s == {"target_records": 5, "replies": 4, "unique_parent_ids": 4, "parents_found": 2, "parents_inside_target_dataset": 1, "parents_cached_separately": 2, "parents_unavailable": 2, "parents_pending": 1, "replies_with_parent": 2, "replies_unavailable": 2, "replies_pending": 0, "coverage_percent": 50.0}
+    E.write_reply_context(out, str(tmp_path), ["me"])
+    assert files.csv(spark, f"{tmp_path}/replies_with_context").count() == 4 and (tmp_path / "by_account" / "all_posts_with_context" / "account=me").is_dir()
+    assert [r["status"] for r in files.csv(spark, f"{tmp_path}/reply_context/unavailable").orderBy("parent_tweet_id").collect()] == ["unavailable", "deleted"]
+
+
+def test_ranks_within_groups_span_tasks(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("aab"), rng.randrange(10**6), rng.randrange(5)) for _ in range(500)] + [(None, 5, 1)]
+    got = S.placed_within(spark.createDataFrame(rows, "k string, o int, v int").repartition(5), ["k"], [F.col("o"), F.col("v")], F.col("v")).collect()
+    for k in ("a", "b", None):
+        own = sorted((o, v) for g, o, v in rows if g == k)
+        assert [(r["o"], r["v"]) for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["place"])] == own
+        assert sorted((r["place"], r["before"]) for r in got if r["k"] == k) == [(i, sum(v for _, v in own[:i])) for i in range(len(own))]
+    low = S.capped_low(spark.createDataFrame([(g, i, i % 3 == 0) for g in "xy" for i in range(200 if g == "x" else 30)], "g string, i int, low boolean"), "low", [F.col("i")], 0.1, 5, within=["g"])
+    assert {r["g"]: r["n"] for r in low.where("low").groupBy("g").agg(F.count("i").alias("n")).collect()} == {"x": 13, "y": 5}
+    some = S.round_robin(spark.createDataFrame([(g, b, i) for g in "xy" for b in "pqr" for i in range(20)], "g string, b string, i int"), ["b"], [F.col("i")], 10, within=["g"])
+    assert {(r["g"], r["b"]): r["n"] for r in some.groupBy("g", "b").agg(F.count("i").alias("n")).collect()} == {(g, b): 4 if b == "p" else 3 for g in "xy" for b in "pqr"}
