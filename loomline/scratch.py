@@ -22,11 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: lost executors cannot lose it."""
+def written(df: DataFrame, name: str, rows: int | None = None, rows_a_file: int = 100_000) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again: lost executors cannot lose it.
+
+    rows: about how many rows there are, if that is known; the last stage then has a task and a file for each rows_a_file
+    of them, as very many tiny files cost more than their rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // rows_a_file)))).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
