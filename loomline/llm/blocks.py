@@ -5,6 +5,9 @@ very many keys send, from each block, its distinct keys (sorted, differences pac
 belong to; a shard merges what all blocks sent and answers each block, in the block's own order. A key that fills a third
 of all rows is thus one entry for each block, and no task holds more than a block or a shard.
 
+Cases: nulls and repeated rows are kept as they are in the blocks; an empty table makes no block; a text is a cell of Spark
+and so under 2 GB, as is the block that holds it.
+
 All rows are (dest, kind, part, blob): where a row goes, what it holds, where it came from, and the packed arrays.
 """
 
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches
+from .frames import give_back, small_batches, trimmed
 from .frames import texts as only_texts
 from .words import binary
 
@@ -93,7 +96,7 @@ def made(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
         if keys:
             yield flush()
 
-    return only_texts(docs, key, text).mapInArrow(run, SCHEMA)
+    return only_texts(docs, key, text).mapInArrow(trimmed(run), SCHEMA)
 
 
 def documents(blob: bytes) -> tuple[list[int | None], list[bytes | None]]:
@@ -108,7 +111,7 @@ def each(blocks: DataFrame, f: Callable[[int, bytes], Iterable[Row]]) -> DataFra
             for dest, blob in zip(rows.column(0).to_pylist(), rows.column(3)):
                 yield batch(list(f(dest, blob.as_py())))
 
-    return blocks.mapInArrow(run, SCHEMA)
+    return blocks.mapInArrow(trimmed(run), SCHEMA)
 
 
 def gathered(rows: DataFrame, f: Callable[[int, dict[int, list[tuple[int, bytes]]]], object], schema: str = SCHEMA, also: DataFrame | None = None) -> DataFrame:
@@ -124,7 +127,9 @@ def gathered(rows: DataFrame, f: Callable[[int, dict[int, list[tuple[int, bytes]
             by.setdefault(kind, []).append((part, blob))
         by = {kind: sorted(found, key=lambda x: x[0]) for kind, found in by.items()}
         out = f(dest, {kind: [(part, blob.as_py()) for part, blob in found] for kind, found in by.items()})
-        return out if isinstance(out, pa.Table) else pa.Table.from_batches([batch(list(out))])
+        out = out if isinstance(out, pa.Table) else pa.Table.from_batches([batch(list(out))])
+        give_back(every=2)
+        return out
 
     if also is not None:
         return rows.groupBy("dest").cogroup(also.groupBy("dest")).applyInArrow(lambda a, b: run(pa.concat_tables([a, b])), schema)

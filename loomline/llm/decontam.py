@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import written
-from .frames import col, fresh, small_batches, table
+from .frames import col, fresh, small_batches, table, trimmed
 from .words import ALNUM_LOWER, U, Words, binary, chunks, rolling, window_starts
 
 BITS = 20
@@ -116,7 +116,7 @@ def scanned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     done = docs.withColumn(names[0], F.lit(0).cast("bigint")).withColumn(names[1], F.array().cast("array<int>")).withColumn(names[2], F.array().cast("array<string>"))
     for k, block in enumerate(blocks(items, item_key, item_text, n, block_bytes)):
         sent = docs.sparkSession.sparkContext.broadcast(block)
-        done = (written(done, "decontam") if k else done).mapInArrow(_scan(sent, text, names), schema)
+        done = (written(done, "decontam") if k else done).mapInArrow(trimmed(_scan(sent, text, names)), schema)
     return done, names
 
 

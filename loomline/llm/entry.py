@@ -1,4 +1,4 @@
-"""The queries of this subpackage and their SQL, where SQL can express them."""
+"""The queries of this subpackage and their SQL, where SQL can express them. What each makes of odd rows is said by its module."""
 
 from __future__ import annotations
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import written
-from .frames import col, crc_mod, fresh, past_side, small_batches, table
+from .frames import col, crc_mod, fresh, past_side, small_batches, table, trimmed
 from .words import U, mix
 
 GAMMA, LEVELS = 2.0, 40
@@ -166,7 +166,7 @@ def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", historical
             ok, winners, sizes = fill(sent.value, batch)
             yield put(batch, **{keep: winners, size: sizes})
 
-    held = rows.mapInArrow(hot_first, T.StructType([*rows.schema.fields, T.StructField(keep, T.LongType()), T.StructField(size, T.LongType())]))
+    held = rows.mapInArrow(trimmed(hot_first), T.StructType([*rows.schema.fields, T.StructField(keep, T.LongType()), T.StructField(size, T.LongType())]))
     held = held.withColumn(bucket, F.when(col(size).isNull(), where(col(digest))).otherwise(-1 - F.pmod(F.xxhash64(col(key)), F.lit(1 << 10)).cast("int")))
     schema = T.StructType([f for f in held.schema.fields if f.name != bucket] + [T.StructField(kept, T.BooleanType())])
 

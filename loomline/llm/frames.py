@@ -1,4 +1,8 @@
-"""Helpers for frames: column names that clash with nothing, and streaming rows past the side data of their bucket."""
+"""Helpers for frames: column names that clash with nothing, and streaming rows past the side data of their bucket.
+
+Cases: names are compared without case; a bucket without side data gets None; empty batches are passed over; a null key
+counts as the empty text in `crc_mod`.
+"""
 
 from __future__ import annotations
 
@@ -40,6 +44,36 @@ def small_batches(spark) -> None:
             spark.conf.set(name, str(most))
 
 
+def trimmed(f: Callable) -> Callable:
+    """f over batches, after which the worker gives the memory that it has freed back to the machine: idle workers stay small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+_gave = [0.0]
+
+
+def give_back(every: float = 0.0) -> None:
+    """Gives freed memory back, unless that was done within the last seconds."""
+    import ctypes
+    import time
+
+    if time.monotonic() - _gave[0] < every:
+        return
+    _gave[0] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only doc_id (bigint) and text."""
     return docs.select(col(key).cast("bigint").alias("doc_id"), col(text).cast("string").alias("text"))
@@ -74,4 +108,4 @@ def past_side(rows: DataFrame, side: DataFrame, bucket: str, blob: str, f: Calla
                 else:
                     yield from f(held[1] if held[0] == key else None, iter([part]))
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(trimmed(run), schema)

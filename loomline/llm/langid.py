@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import col, crc_mod, fresh, small_batches, table
+from .frames import col, crc_mod, fresh, small_batches, table, trimmed
 from .words import LOWER, binary, chunks
 
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in LOWER)
@@ -190,7 +190,7 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> tuple
             put = lambda x: pa.array([v if ok else 0.0 for v, ok in zip(np.concatenate(x).tolist() if x else [0.0] * len(has), keep)], pa.float64())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x if ok else "und" for x, ok in zip(langs or [None] * len(has), keep)], pa.string()), put(scores), put(each)], names=schema.names)
 
-    return rows.mapInArrow(run, schema), names[:3]
+    return rows.mapInArrow(trimmed(run), schema), names[:3]
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..scratch import written
-from .frames import col, fresh, small_batches, table
+from .frames import col, fresh, small_batches, table, trimmed
 from .frames import texts as only_texts
 from .words import SPACED_LOWER, U, Words, binary, chunks, mix, rolling
 
@@ -133,7 +133,7 @@ class Join:
                     signs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array(count, pa.int64()), "set": pa.array(ids, pa.binary()), "sign": pa.array(signs, pa.binary())} | ({"digest": batch.column(2)} if more else {}))
 
-        return written(self.docs.select("doc_id", "text", *self.extra).mapInArrow(run, "doc_id bigint, n_shingles bigint, set binary, sign binary" + ", digest string" * more), "neardup")
+        return written(self.docs.select("doc_id", "text", *self.extra).mapInArrow(trimmed(run), "doc_id bigint, n_shingles bigint, set binary, sign binary" + ", digest string" * more), "neardup")
 
     def rooted(self, sets: DataFrame) -> DataFrame:
         """(node, set) at `depth` below the roots."""
@@ -147,7 +147,7 @@ class Join:
                     node, owner = branches(tokens, np.tile(roots, len(tokens)), np.repeat(np.arange(len(tokens)), trees), depth, similarity)
                     yield pa.record_batch({"node": pa.array(node.view(np.int64)), "set": batch.column(0).take(pa.array(owner))})
 
-        return sets.select("set", "sign").mapInArrow(run, "node bigint, set binary")
+        return sets.select("set", "sign").mapInArrow(trimmed(run), "node bigint, set binary")
 
     def deeper(self, rows: DataFrame, subtrees: int) -> DataFrame:
         """(parent, node, set) further down for rows (node, set, sign): in each of so many subtrees of the node."""
@@ -162,7 +162,7 @@ class Join:
                     owner = pa.array(owner)
                     yield pa.record_batch({"parent": batch.column(0).take(owner), "node": pa.array(node.view(np.int64)), "set": batch.column(1).take(owner)})
 
-        return rows.select("node", "set", "sign").mapInArrow(run, "parent bigint, node bigint, set binary")
+        return rows.select("node", "set", "sign").mapInArrow(trimmed(run), "parent bigint, node bigint, set binary")
 
     def nodes(self, sets: DataFrame) -> DataFrame:
         """(node, set, sign, size) of all nodes with two members or more that branch no further."""
@@ -221,7 +221,7 @@ class Join:
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(found, n)]
                 yield pa.record_batch({"set": batch.column(0), "own": pa.array(ids, pa.binary()), "words": pa.array([zstandard.compress(t, 3) for t in found], pa.binary())})
 
-        found = self.docs.join(need, self.docs["doc_id"] == need["rep"]).select("set", "text").mapInArrow(squeezed, "set binary, own binary, words binary")
+        found = self.docs.join(need, self.docs["doc_id"] == need["rep"]).select("set", "text").mapInArrow(trimmed(squeezed), "set binary, own binary, words binary")
         return written(found.where("set = own").dropDuplicates(["set"]).select("set", "words"), "neardup")  # one key can have several texts
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ class Join:
                     ok.append(100 * both >= percent * (len(held[1]) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return rows.select("a", "b", "left", "right").mapInArrow(check, "a binary, b binary")
+        return rows.select("a", "b", "left", "right").mapInArrow(trimmed(check), "a binary, b binary")
 
     def settled(self, cells: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b): a spanning forest of the links of full sets between members of different labels of each cell.

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import encoder
-from .frames import col, small_batches, table
+from .frames import col, small_batches, table, trimmed
 from .words import binary, chunks
 
 TIERS = (1024, 512, 256)
@@ -146,7 +146,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         if ids:
             yield flush()
 
-    return docs.select(col(key).cast("bigint").alias("doc_id"), col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(col(key).cast("bigint").alias("doc_id"), col(text).cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ and is coded by Elias-Fano, as are the pointers to children. A successor under (
 as its position among the successors of v; a query finds w among those first and then looks for that small position.
 Nothing is unpacked to query a level: its bits stay packed, beside a directory of two bits for each number.
 Log-probabilities and back-off weights are quantised to 256 values each.
+
+Cases: a level without numbers finds nothing, and a trie without contexts answers with the words' own probabilities; equal
+queries are answered alike; ties do not occur, as the numbers within a parent are distinct.
 """
 
 from __future__ import annotations
