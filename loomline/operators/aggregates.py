@@ -82,6 +82,20 @@ def candidate_gains(scores: DataFrame, candidate: str, prompt: str, score: str,
     return gains.crossJoin(F.broadcast(best)).withColumn("best", F.col(candidate) == F.col("_best")).drop("_best")  # one row
 
 
+def confirmed_gain(development: DataFrame, test: DataFrame, random: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """One row: the candidate of the best development gain, its gain on test prompts, the largest gain of random controls there, and whether it is recommended.
+
+    development and test: candidate, prompt, score, the baseline's scores among them; random: seed, prompt, score on the
+    test prompts. Recommended is a candidate that gains in development, and on test more than nothing and than any random one.
+    """
+    best = candidate_gains(development, "candidate", "prompt", "score", baseline).where("best").select("candidate", "gain")
+    base = test.where(F.col("candidate") == baseline).select("prompt", F.col("score").alias("_base"))
+    own = test.join(best.select("candidate"), "candidate", "left_semi").join(base, "prompt").agg(F.avg(F.col("score") - F.col("_base")).alias("test_gain"))
+    others = random.join(base, "prompt").groupBy("seed").agg(F.avg(F.col("score") - F.col("_base")).alias("g")).agg(F.max("g").alias("random_gain"))
+    out = best.crossJoin(F.broadcast(own)).crossJoin(F.broadcast(others))  # one row each
+    return out.withColumn("recommended", (F.col("gain") > 0) & (F.col("test_gain") > F.greatest(F.lit(0.0), F.coalesce("random_gain", F.lit(0.0)))))
+
+
 def _viable() -> Column:
     return (F.col("tokens") >= 12) & (F.col("stop_reason") != "repetition_guard") & (F.col("change") < 0.95)
 
@@ -243,7 +257,7 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def tree_digest(files: DataFrame, keys: Sequence[str], path: str, digest: str) -> DataFrame:
-    """Per key one digest of all (path, digest), in the order of paths."""
+    """Per key one digest of all (path, digest), in the order of paths. The listing of one tree is a single value, as its digest is one over all of it."""
     line = F.concat(F.col(path), F.lit("\0"), F.col(digest), F.lit("\n"))
     return files.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l")))), lambda x: x["l"]), "").cast("binary"), 256).alias("tree"))
 

@@ -204,14 +204,26 @@ def corpus(posts: DataFrame) -> DataFrame:
     return posts.where(F.col("text_class").isin(*C.RESPONSES)).select(F.concat(F.lit("corpus:"), "id").alias("id"), F.col("username").alias("profile"), F.col("text_clean").alias("text"), "date", "kind", "lang", F.col("group_id").alias("conversation_id"), "text_class", "media", "url")
 
 
+CLASSES = ("substantive", "emoji_or_symbol", "punctuation_reaction", "mention_only", "link_only", "media_only", "media_or_low_information", "other_low_information", "empty", "unintelligible")
+
+
 def profile_counts(rows: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of counts a profile: routes and kinds of posts, examples before and after dedup, distinct partners."""
+    """One row of counts a profile: routes, kinds and classes of posts, what became of replies and quotes, examples before and after dedup, distinct partners."""
+    reply = ((F.col("kind") == "reply") | (F.col("parent_id") != "")) & (F.col("route") != "corrupt")
+    quote = ~reply & ((F.col("kind") == "quote") | (F.col("quote_id") != "")) & (F.col("route") != "corrupt")
+    why, own = F.coalesce("reason", F.lit("")), F.col("route") == "self_thread"
+    fates = {
+        "replies_total": reply, "replies_missing_parent": why == "missing_direct_parent", "replies_parent_found": reply & (why != "missing_direct_parent"), "self_thread_replies": reply & own, "replies_unusable_response": why.startswith("unusable_response_"), "replies_unusable_parent": why.startswith("unusable_parent_"),
+        "quotes_total": quote, "quotes_missing_source": why == "missing_quoted_source", "self_quote_commentary": quote & own, "standalone_prompt_queue": why == "standalone_no_observed_prompt", "_chosen_replies": reply & (F.col("route") == "example"),
+    }
     at = lambda c, v: F.count_if(F.col(c) == v)
-    posts = rows.groupBy(F.col("username").alias("profile")).agg(F.count(F.lit(1)).alias("authored_posts"), *[at("kind", k).alias(f"authored_kind_{k}") for k in ("tweet", "reply", "quote")], *[at("route", r).alias(f"route_{r}") for r in ("example", "self_thread", "prompt", "multimodal", "low_information", "corrupt")])
-    raw = found.groupBy("profile").agg(F.count(F.lit(1)).alias("sft_raw"))
+    posts = rows.groupBy(F.col("username").alias("profile")).agg(F.count(F.lit(1)).alias("authored_posts"), *[at("kind", k).alias(f"authored_kind_{k}") for k in ("tweet", "reply", "quote")], *[at("route", r).alias(f"route_{r}") for r in ("example", "self_thread", "prompt", "multimodal", "low_information", "corrupt")], *[at("text_class", c).alias(f"authored_class_{c}") for c in CLASSES], *[F.count_if(c).alias(name) for name, c in fates.items()])
+    raw = found.groupBy("profile").agg(F.count(F.lit(1)).alias("sft_raw"), *[at("task", t).alias(f"sft_{t}") for t in ("external_reply_oneshot", "external_reply_multiturn", "quote_commentary")])
     authors = kept.select("profile", F.explode("external_authors").alias("a")).groupBy("profile").agg(F.count_distinct(F.lower("a")).alias("unique_external_authors"))
     done = kept.groupBy("profile").agg(F.count(F.lit(1)).alias("sft_deduplicated"), at("quality_tier", "core_text").alias("sft_core"))
-    return posts.join(raw, "profile", "left").join(done, "profile", "left").join(authors, "profile", "left").na.fill(0)
+    out = posts.join(raw, "profile", "left").join(done, "profile", "left").join(authors, "profile", "left").na.fill(0)
+    out = out.withColumn("sft_extended", F.col("sft_deduplicated")).withColumn("sft_exact_duplicates_removed", F.col("sft_raw") - F.col("sft_deduplicated"))
+    return out.withColumn("reply_chain_not_representable", F.col("_chosen_replies") - F.col("sft_external_reply_oneshot") - F.col("sft_external_reply_multiturn")).drop("_chosen_replies")
 
 
 def built(authored_rows: DataFrame, cached_rows: DataFrame, most: int = 8) -> dict[str, DataFrame]:
@@ -285,6 +297,12 @@ def planned(published: DataFrame, config: DataFrame, accumulate: int = 8, most:
     return out.withColumn("max_steps", F.when(F.col("error").isNull(), steps)).withColumn("estimated_microbatches", F.col("max_steps") * accumulate).drop("_key", "published_rows")
 
 
+def split_group_keys(rows: DataFrame) -> DataFrame:
+    """rows (response_key, split_group) with `group_key`: the response where others have it too, else the conversation."""
+    often = rows.where("response_key <> ''").groupBy("response_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return rows.join(often, "response_key", "left").withColumn("group_key", F.when(F.col("_n").isNotNull(), F.concat(F.lit("response:"), "response_key")).otherwise(F.concat(F.lit("conversation:"), "split_group"))).drop("_n")
+
+
 def training_json(rows: DataFrame) -> DataFrame:
     """(id, json): prepared rows as one JSON object each."""
     return rows.select("id", F.to_json(F.struct("id", "profile", "messages", "task", "quality", "low_info", "metadata")).alias("json"))

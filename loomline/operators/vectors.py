@@ -1,7 +1,7 @@
 """Directions, projections and tests over tables of vectors (row, layer, vec ARRAY<DOUBLE>).
 
-Dense work on one layer's matrix (components, singular values, non-negative pursuit) is one grouped task a layer; every
-other operator is plain column arithmetic.
+Fits of a direction and their resamples (components, folds, intervals) are one grouped task a layer, whose matrix must fit
+into it: activations of labelled examples, not of a corpus. Every other operator spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -112,13 +112,22 @@ def folds(groups: np.ndarray, n: int) -> np.ndarray:
     return out[of]
 
 
+def shuffled_folds(groups: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
+    """A fold for each row: sorted groups, shuffled by the seed, are cut into n runs whose numbers of groups differ by one at most."""
+    names, of = np.unique(groups, return_inverse=True)
+    out = np.empty(len(names), int)
+    for f, part in enumerate(np.array_split(np.random.default_rng(seed).permutation(len(names)), n)):
+        out[part] = f
+    return out[of]
+
+
 def held_out(group: Column, share: float = 0.2, salt: str = "heldout") -> Column:
     """Whether a group is held out, by a hash of it."""
     return F.pmod(F.xxhash64(group.cast("string"), F.lit(salt)), F.lit(10_000)) < int(share * 10_000)
 
 
-def fitted_axes(rows: DataFrame, n_folds: int = 5, denoise: bool = True) -> DataFrame:
-    """Per layer of (layer, grp, label BOOLEAN, test BOOLEAN, vec): the direction from the training rows with its center, scale and mean norm; the mean area over grouped folds (-1 where no direction exists); and the area on the test rows, raw and with shuffled labels too. `chosen` marks the first layer of the best mean."""
+def fitted_axes(rows: DataFrame, n_folds: int = 5, denoise: bool = True, shuffled: bool = False) -> DataFrame:
+    """Per layer of (layer, grp, label BOOLEAN, test BOOLEAN, vec): the direction from the training rows with its center, scale and mean norm; the mean area over grouped folds (-1 where no direction exists); and the area on the test rows, raw and with shuffled labels too. `chosen` marks the first layer of the best mean. Folds are even in rows, or, shuffled, in groups."""
 
     def one(x: np.ndarray, y: np.ndarray, clean: bool) -> np.ndarray | None:
         return unit(denoised_difference(x, y) if clean else x[y].mean(0) - x[~y].mean(0)) if y.any() and not y.all() else None
@@ -126,7 +135,7 @@ def fitted_axes(rows: DataFrame, n_folds: int = 5, denoise: bool = True) -> Data
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, test = np.stack(pdf["vec"]).astype(float), pdf["label"].to_numpy(bool), pdf["test"].to_numpy(bool)
         tx, ty, tg = x[~test], y[~test], pdf["grp"].to_numpy()[~test]
-        fold, scores = folds(tg, n_folds), []
+        fold, scores = shuffled_folds(tg, n_folds) if shuffled else folds(tg, n_folds), []
         for f in range(n_folds):
             v, out = one(tx[fold != f], ty[fold != f], denoise), fold == f
             if v is None or not ty[out].any() or ty[out].all():
@@ -141,8 +150,8 @@ def fitted_axes(rows: DataFrame, n_folds: int = 5, denoise: bool = True) -> Data
             row = (0.0, 1.0, 1.0, -1.0, None, None, None)
         else:
             p = tx @ v
-            shuffled = np.random.default_rng(1).permutation(ty)
-            row = (float(p.mean()), max(float(p.std(ddof=1)), 1e-8), float(np.linalg.norm(tx, axis=1).mean()), float(np.mean(scores)), held(v), held(one(tx, ty, False)), held(one(tx, shuffled, denoise)))
+            mixed = np.random.default_rng(1).permutation(ty)
+            row = (float(p.mean()), max(float(p.std(ddof=1)), 1e-8), float(np.linalg.norm(tx, axis=1).mean()), float(np.mean(scores)), held(v), held(one(tx, ty, False)), held(one(tx, mixed, denoise)))
         return pd.DataFrame([(int(pdf["layer"].iloc[0]), v.tolist(), *row)], columns=["layer", "direction", "center", "scale", "norm", "cv_auc", "test_auc", "raw_auc", "shuffled_auc"])
 
     found = rows.select("layer", "grp", "label", "test", "vec").groupBy("layer").applyInPandas(run, "layer bigint, direction array<double>, center double, scale double, norm double, cv_auc double, test_auc double, raw_auc double, shuffled_auc double")
@@ -171,14 +180,30 @@ def cosine_matrix(axes: DataFrame, name: str, vec: str, most: int = 2000) -> Dat
 
 
 def spectrum(rows: DataFrame) -> DataFrame:
-    """Per layer the singular values of its matrix and the cumulative share of the energy."""
+    """Per layer the singular values of its matrix and the cumulative share of the energy.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.linalg.svd(np.stack(pdf["vec"]).astype(float), compute_uv=False)
-        energy = np.cumsum(s**2) / max(float((s**2).sum()), 1e-300)
-        return pd.DataFrame({"layer": int(pdf["layer"].iloc[0]), "i": np.arange(len(s)), "value": s, "energy": energy})
+    From the sums of the rows' outer products, which each partition adds up for itself: a task holds one square matrix of
+    the vectors' length a layer, however many rows there are. Values under 1e-8 of the largest are rounding.
+    """
 
-    return rows.select("layer", "vec").groupBy("layer").applyInPandas(run, "layer bigint, i bigint, value double, energy double")
+    def partial(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for layer, own in pdf.groupby("layer"):
+                x = np.stack(own["vec"]).astype(float)
+                n, gram = sums.get(layer, (0, 0.0))
+                sums[layer] = n + len(x), gram + x.T @ x
+        yield pd.DataFrame([(layer, n, gram.ravel().tolist()) for layer, (n, gram) in sums.items()], columns=["layer", "n", "gram"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        gram = np.sum(np.stack(pdf["gram"]), 0)
+        size = int(round(len(gram) ** 0.5))
+        power = np.maximum(np.linalg.eigvalsh(gram.reshape(size, size))[::-1], 0)
+        power = power[: min(int(pdf["n"].sum()), size)]
+        return pd.DataFrame({"layer": int(pdf["layer"].iloc[0]), "i": np.arange(len(power)), "value": np.sqrt(power), "energy": np.cumsum(power) / max(float(power.sum()), 1e-300)})
+
+    sums = rows.select("layer", "vec").mapInPandas(partial, "layer bigint, n bigint, gram array<double>")
+    return sums.groupBy("layer").applyInPandas(whole, "layer bigint, i bigint, value double, energy double")
 
 
 def nonnegative(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:

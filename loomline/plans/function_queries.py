@@ -470,3 +470,49 @@ def initial_phases(spark, sf_dir):
     k = F.col("turn") % 4
     prompt = F.concat("text", F.when(k == 0, "\n").when(k == 1, "<|im_start|>assistant\n<think>\n").when(k == 2, "<|im_start|>assistant\n<think>\n</think>").otherwise(" [THINK] "))
     return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.initial_phase(prompt).alias("phase"))
+
+
+@query("group_keys", f"WITH k AS (SELECT doc_id, source, {KEY} AS k FROM documents), n AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(*) > 1) SELECT doc_id, sha256(CASE WHEN n.k IS NOT NULL THEN 'response:' || k.k ELSE 'conversation:' || source END) AS group_sha FROM k LEFT JOIN n USING (k)")
+def group_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("split_group"), T.token_key(F.col("text")).alias("response_key"))
+    return P.split_group_keys(rows).select("doc_id", F.sha2(F.col("group_key").cast("binary"), 256).alias("group_sha"))
+
+
+_HASH = "CAST('0x' || substr(sha256({}), 1, 16) AS UBIGINT)"
+
+
+@query("balanced_splits", f"""
+WITH g AS (SELECT source, count(*) AS n, {_HASH.format("'5|' || source")} % 1000 AS h FROM documents GROUP BY source),
+a AS (SELECT source, n, CASE WHEN h < 800 THEN 'train' WHEN h < 900 THEN 'validation' ELSE 'test' END AS s FROM g), m AS (SELECT least(24, greatest(12, sum(n) // 15)) AS least FROM a),
+v AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY s ORDER BY {_HASH.format("'rebalance|validation|' || source")}, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+b AS (SELECT source, n, CASE WHEN s = 'train' AND before + (SELECT coalesce(sum(n), 0) FROM a WHERE s = 'validation') < (SELECT least FROM m) THEN 'validation' ELSE s END AS s FROM v),
+t AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY s ORDER BY {_HASH.format("'rebalance|test|' || source")}, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+SELECT source, n, CASE WHEN s = 'train' AND before + (SELECT coalesce(sum(n), 0) FROM b WHERE s = 'test') < (SELECT least FROM m) THEN 'test' ELSE s END AS split FROM t""")
+def balanced_splits(spark, sf_dir):
+    groups = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return S.balanced_hash_split(groups, "source", "n", 5)
+
+
+@query("confirmed_gains", """
+WITH s AS (SELECT l_suppkey AS c, l_linenumber AS p, avg(l_extendedprice) AS score FROM lineitem GROUP BY ALL), d AS (SELECT * FROM s WHERE p <= 4), t AS (SELECT * FROM s WHERE p > 4),
+g AS (SELECT d.c, avg(d.score - b.score) AS gain FROM d JOIN d b ON b.c = 0 AND b.p = d.p WHERE d.c <> 0 GROUP BY d.c), k AS (SELECT arg_min(c, (-gain, CAST(c AS VARCHAR))) AS c, max(gain) AS gain FROM g),
+o AS (SELECT avg(t.score - b.score) AS gain FROM t JOIN t b ON b.c = 0 AND b.p = t.p WHERE t.c = (SELECT c FROM k)), r AS (SELECT max(x) AS gain FROM (SELECT t.c, avg(t.score - b.score) AS x FROM t JOIN t b ON b.c = 0 AND b.p = t.p WHERE t.c IN (1, 2, 3) GROUP BY t.c))
+SELECT CAST(k.c AS VARCHAR) AS candidate, round(k.gain, 4) AS gain, round(o.gain, 4) AS test_gain, round(r.gain, 4) AS random_gain, k.gain > 0 AND o.gain > greatest(0, r.gain) AS recommended FROM k, o, r""")
+def confirmed_gains(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("candidate"), F.col("l_linenumber").alias("prompt")).agg(F.avg("l_extendedprice").alias("score"))
+    test = s.where("prompt > 4")
+    out = A.confirmed_gain(s.where("prompt <= 4"), test, test.where("candidate IN ('1', '2', '3')").withColumnRenamed("candidate", "seed"), "0")
+    return out.select("candidate", *[F.round(c, 4).alias(c) for c in ("gain", "test_gain", "random_gain")], "recommended")
+
+
+@query("profile_counts", """
+WITH p AS (SELECT conv_id, turn, role, trim(coalesce(text, '')) <> '' AS says FROM conversations),
+j AS (SELECT a.*, b.role AS parent_role, b.says AS parent_says FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant')
+SELECT 'Writer' AS profile, count(*) AS authored_posts, count(*) FILTER (turn > 0) AS replies_total, count(*) FILTER (turn > 0 AND parent_role IS NULL) AS replies_missing_parent, count(*) FILTER (turn > 0 AND parent_role = 'assistant') AS self_thread_replies, count(*) FILTER (turn > 0 AND parent_role <> 'assistant' AND NOT says) AS replies_unusable_response,
+count(*) FILTER (turn > 0 AND parent_role <> 'assistant' AND says AND NOT parent_says) AS replies_unusable_parent, count(*) FILTER (turn = 0 AND says) AS standalone_prompt_queue, count(*) FILTER (says) AS authored_class_substantive, count(*) FILTER (NOT says) AS authored_class_empty, CAST(0 AS BIGINT) AS quotes_total, count(*) FILTER (turn > 0 AND parent_role <> 'assistant' AND says AND parent_says) AS sft_raw FROM j""")
+def profile_counts(spark, sf_dir):
+    from .post_queries import exported
+
+    return P.built(*exported(spark, sf_dir))["counts"].select(
+        "profile", "authored_posts", "replies_total", "replies_missing_parent", "self_thread_replies", "replies_unusable_response", "replies_unusable_parent", "standalone_prompt_queue", "authored_class_substantive", "authored_class_empty", "quotes_total", (F.col("sft_raw") + F.col("reply_chain_not_representable")).alias("sft_raw")
+    )

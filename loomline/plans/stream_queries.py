@@ -59,7 +59,7 @@ def idempotent_append(spark, sf_dir):
     R.appended(events.where("event_id % 3 <> 0"), path, "event_id")
     R.appended(events, path, "event_id")
     R.appended(events.where("event_id % 2 = 0"), path, "event_id")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("_bucket")
 
 
 @query("resumable_benchmark", "SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey, o_orderkey) NOT IN (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F')")

@@ -12,12 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 RUN = 8
 
 
-def appended(batch: DataFrame, path: str, key: str) -> int:
-    """Appends the rows of batch whose key the Parquet table at path does not have, one row a key; gives their number. Running it again adds nothing."""
+def appended(batch: DataFrame, path: str, key: str, buckets: int = 64) -> int:
+    """Appends the rows of batch whose key the Parquet table at path does not have, one row a key; gives their number. Running it again adds nothing.
+
+    The table is partitioned by a hash of the key (_bucket), so that a small batch reads the keys of its own buckets only.
+    """
     spark = batch.sparkSession
-    new = batch.dropDuplicates([key])
+    new = batch.dropDuplicates([key]).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    used = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # no more than buckets
     try:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+        new = new.join(spark.read.parquet(path).where(F.col("_bucket").isin(used)).select(key), key, "left_anti")
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
             raise
@@ -25,7 +29,7 @@ def appended(batch: DataFrame, path: str, key: str) -> int:
     try:
         n = new.count()
         if n:
-            new.write.mode("append").parquet(path)
+            new.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
         return n
     finally:
         new.unpersist()

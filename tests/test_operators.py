@@ -273,3 +273,11 @@ def test_ranks_within_groups_span_tasks(spark):
     assert {r["g"]: r["n"] for r in low.where("low").groupBy("g").agg(F.count("i").alias("n")).collect()} == {"x": 13, "y": 5}
     some = S.round_robin(spark.createDataFrame([(g, b, i) for g in "xy" for b in "pqr" for i in range(20)], "g string, b string, i int"), ["b"], [F.col("i")], 10, within=["g"])
     assert {(r["g"], r["b"]): r["n"] for r in some.groupBy("g", "b").agg(F.count("i").alias("n")).collect()} == {(g, b): 4 if b == "p" else 3 for g in "xy" for b in "pqr"}
+
+
+def test_shuffled_folds_are_even_in_groups():
+    groups = np.array([f"g{i % 23}" for i in range(200)])
+    fold = V.shuffled_folds(groups, 5)
+    by = {g: set(fold[groups == g]) for g in set(groups)}
+    assert all(len(x) == 1 for x in by.values())
+    assert sorted(sum(x == {f} for x in by.values()) for f in range(5)) == [4, 4, 5, 5, 5] and (fold == V.shuffled_folds(groups, 5)).all()
