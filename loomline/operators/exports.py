@@ -70,7 +70,7 @@ def history_faults(tree: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def newest_directory(files: DataFrame, root: str) -> DataFrame:
     """The directory right below root whose files (path, modificationTime) are the newest; of equals the last by name."""
-    below = F.regexp_extract("path", r"^\Q" + root.rstrip("/") + r"\E/([^/]+)/", 1)
+    below = F.regexp_extract(F.coalesce(S.below(root), F.lit("")), "^([^/]+)/", 1)
     rows = files.select(below.alias("directory"), "modificationTime").where("directory <> ''").groupBy("directory").agg(F.max("modificationTime").alias("modified"))
     return rows.orderBy(F.col("modified").desc(), F.col("directory").desc()).limit(1)
 

@@ -118,6 +118,18 @@ def anchors(spark: SparkSession, path: str, key, n: int = 96) -> DataFrame:
     return first.orderBy("place").limit(n).select("prompt", "response", "key")
 
 
+_SCHEME = r"^[A-Za-z0-9+.-]+:(?://[^/]*)?"
+
+
+def below(root: str) -> Column:
+    """The column `path` from below root on, whatever way the file system writes either; null for other paths."""
+    import re
+
+    at = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    bare = F.regexp_replace("path", _SCHEME, "")
+    return F.when(bare.startswith(at), F.substring(bare, len(at) + 1, 1 << 20))
+
+
 #: Parts of a path that no inventory enters.
 SKIPPED = ("staging", "backup", "backups", "quarantine")
 
@@ -132,10 +144,10 @@ def inventory(spark: SparkSession, root: str, manifest: str, schema: str, requir
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", manifest).load(root)
     rows = raw.select("path", "modificationTime", F.from_json(F.col("content").cast("string"), schema).alias("m"), F.try_parse_json(F.col("content").cast("string")).isNull().alias("_bad")).select("path", "modificationTime", "m.*", "_bad")
-    below = F.split(F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split(":")[-1] + r"\E/", ""), "/")
+    parts = F.split(below(root), "/")
     missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required], F.lit(None).cast("string"))
-    deep = F.size(below) - 1 > depth if depth is not None else F.lit(False)
-    closed = F.exists(F.slice(below, 1, F.size(below) - 1), lambda d: F.lower(d).isin(*[x.lower() for x in skipped])) if skipped else F.lit(False)
+    deep = F.size(parts) - 1 > depth if depth is not None else F.lit(False)
+    closed = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda d: F.lower(d).isin(*[x.lower() for x in skipped])) if skipped else F.lit(False)
     foreign = ~F.lower(required[0]).isin(*[x.lower() for x in allowed]) if allowed is not None else F.lit(False)
     rows = rows.withColumn("reason", F.when(deep, F.lit("too deep")).when(closed, F.lit("skipped directory")).when(F.col("_bad"), F.lit("not JSON")).when(missing.isNotNull(), missing).when(foreign, F.lit("not allowed"))).drop("_bad")
     good = rows.where("reason IS NULL").withColumn("_n", F.row_number().over(Window.partitionBy(required[0]).orderBy("path"))).where("_n = 1").drop("_n", "reason")
