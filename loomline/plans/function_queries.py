@@ -8,7 +8,6 @@ from ..functions import classify as C
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import exports as E
-from ..operators import joins as J
 from ..operators import posts as P
 from ..operators import select as S
 from ..operators import vectors as V
