@@ -409,7 +409,7 @@ SELECT user_id, event_id, 'token' AS kind, n AS tokens, NULL AS reason FROM k UN
 def run_events(spark, sf_dir):
     from .stream_queries import drained
 
-    return drained(spark, sf_dir, lambda s: R.run_events(s, "user_id", "event_id", "event_type", "error", 20), "append")
+    return drained(spark, sf_dir, lambda s: R.run_events(s, "user_id", "event_id", "event_type", "error", 20), "append", None)
 
 
 @query("window_progress", "SELECT o_custkey, o_orderpriority, bool_or(o_orderstatus = 'F') AS done FROM orders GROUP BY ALL")

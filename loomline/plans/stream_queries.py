@@ -12,10 +12,10 @@ from .registry import query
 from .text_queries import table
 
 
-def drained(spark, sf_dir: str, make, mode: str):
+def drained(spark, sf_dir: str, make, mode: str, files: int | None = 4):
     name = f"drained_{uuid.uuid4().hex[:12]}"
     schema = table(spark, sf_dir, "events").schema
-    return R.drained(spark, make, f"{sf_dir}/events.parquet*", schema, name, f"{shared_dir(spark)}/loomline/{name}", mode)
+    return R.drained(spark, make, f"{sf_dir}/events.parquet*", schema, name, f"{shared_dir(spark)}/loomline/{name}", mode, files)
 
 
 @query("tumbling_stream", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM events GROUP BY ALL")

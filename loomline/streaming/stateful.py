@@ -68,22 +68,25 @@ def run_events(stream: DataFrame, key: str, order: str, token: str, last: str, l
     """Per run (key) its token events in order, and exactly one done event after the last: at the token `last`, or when `limit` tokens have come.
 
     Rows: key, order, kind (token or done), tokens so far, reason (of done: end_token or token_limit). What comes after done
-    gives nothing.
+    gives nothing. A micro-batch may bring the rows of a key in any order and in many pieces; micro-batches have to be in order.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, over = state.get if state.exists else (0, False)
+        first = None  # of all pieces, the rows that the limit leaves room for
         for pdf in batches:
-            out = []
-            for at, t in pdf.sort_values(order)[[order, token]].itertuples(index=False):
-                if over:
-                    break
-                n += 1
-                out.append((k[0], at, "token", n, None))
-                over = str(t) == last or n >= limit
-                if over:
-                    out.append((k[0], at, "done", n, "end_token" if str(t) == last else "token_limit"))
-            yield pd.DataFrame(out, columns=[key, order, "kind", "tokens", "reason"])
+            if not over:
+                first = pdf[[order, token]] if first is None else pd.concat([first, pdf[[order, token]]])
+                first = first.sort_values(order, kind="stable").head(max(1, limit - n))
+        out = []
+        for at, t in first.itertuples(index=False) if first is not None else ():
+            n += 1
+            out.append((k[0], at, "token", n, None))
+            over = str(t) == last or n >= limit
+            if over:
+                out.append((k[0], at, "done", n, "end_token" if str(t) == last else "token_limit"))
+                break
+        yield pd.DataFrame(out, columns=[key, order, "kind", "tokens", "reason"])
         state.update((n, over))
 
     kind, at = stream.schema[key].dataType.simpleString(), stream.schema[order].dataType.simpleString()
@@ -121,9 +124,13 @@ def late(events: DataFrame, order: str, at: str, delay_seconds: int) -> DataFram
     return events.withColumn("newest", newest).where(F.col(at) < F.col("newest") - F.make_dt_interval(secs=F.lit(delay_seconds)))
 
 
-def drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], path: str, schema, name: str, checkpoint: str, mode: str = "append", files: int = 4) -> DataFrame:
-    """Runs make over the Parquet files at path as a stream until all are read, and gives what it wrote to a memory table. For tests and small results."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], path: str, schema, name: str, checkpoint: str, mode: str = "append", files: int | None = 4) -> DataFrame:
+    """Runs make over the Parquet files at path as a stream until all are read, and gives what it wrote to a memory table. For tests and small results.
+
+    files: how many make a micro-batch; None: all are one, as is due where order counts, for files have none.
+    """
+    source = spark.readStream.schema(schema)
+    stream = (source if files is None else source.option("maxFilesPerTrigger", files)).parquet(path)
     query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)

@@ -53,6 +53,31 @@ def test_length_matched_takes_long_documents(spark, tmp_path):
     assert sorted((r["place"], r["match_id"]) for r in got) == [(0, 4), (1, 3), (2, 6)]
 
 
+@pytest.fixture
+def scattered(spark, tmp_path):
+    """Events of few users in seven files, later ones in earlier files, none in order; Arrow batches are short, so that users have many."""
+    import duckdb
+
+    os.mkdir(tmp_path / "events.parquet")
+    for i in range(7):
+        rows = f"SELECT * REPLACE (user_id % 9 AS user_id, CASE WHEN event_type = 'error' AND user_id % 7 < 5 THEN 'view' ELSE event_type END AS event_type) FROM '{SF_DIR}/events.parquet' WHERE event_id % 7 = {6 - i}"
+        duckdb.connect().execute(f"COPY ({rows} ORDER BY hash(event_id)) TO '{tmp_path}/events.parquet/part-{i}.parquet' (FORMAT parquet)")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield str(tmp_path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+@pytest.mark.parametrize("name", ["run_events"])
+def test_keyed_streams_keep_the_order_of_scattered_files(spark, scattered, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{scattered}/events.parquet/*.parquet'")
+    df, found = registry.QUERIES[name](spark, scattered), c.execute(registry.ORACLES[name])
+    assert bag(df.columns, df.collect()) == bag([d[0] for d in found.description], found.fetchall())
+
+
 def test_the_entry_works_without_the_subpackage(tmp_path):
     import pathlib
     import shutil
