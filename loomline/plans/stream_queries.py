@@ -50,7 +50,7 @@ WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORD
 SELECT user_id, event_id, tokens, len(l) = 24 AND l[1:8] = l[9:16] AND l[9:16] = l[17:24] AS repeats FROM r""")
 def repetition_guard(spark, sf_dir):
     make = lambda s: R.guarded(s.withColumn("token", ((F.col("user_id") % 3 != 0) & (F.col("value") > 50)).cast("string")), "user_id", "event_id", "token")
-    return drained(spark, sf_dir, make, "append")
+    return drained(spark, sf_dir, make, "append", None)
 
 
 @query("idempotent_append", "SELECT event_id, event_type FROM events")

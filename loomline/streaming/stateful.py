@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,19 +47,29 @@ def distinct_within(stream: DataFrame, key: str, at: str, delay: str) -> DataFra
 
 
 def guarded(stream: DataFrame, key: str, order: str, token: str, run: int = RUN) -> DataFrame:
-    """Per key, for each token in order: how many came, and whether the last `run` equal those before and those before that. State is the last three runs."""
+    """Per key, for each token in order: how many came, and whether the last `run` equal those before and those before that. State is the last three runs.
+
+    A micro-batch may bring the rows of a key in any order and in many pieces (they are held as two numbers a row);
+    micro-batches have to be in order.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last = state.get if state.exists else (0, [])
-        last = list(last)
-        for pdf in batches:
-            out = []
-            for at, t in pdf.sort_values(order)[[order, token]].itertuples(index=False):
-                n, last = n + 1, [*last, str(t)][-3 * run :]
-                stopped = len(last) == 3 * run and last[:run] == last[run : 2 * run] == last[2 * run :]
-                out.append((k[0], at, n, stopped))
-            yield pd.DataFrame(out, columns=[key, order, "tokens", "repeats"])
-        state.update((n, last))
+        codes: dict[str, int] = {}
+        coded = lambda tokens: np.array([codes.setdefault(str(t), len(codes)) for t in tokens], np.int32)
+        before, pieces = coded(last), [(pdf[order].to_numpy(), coded(pdf[token])) for pdf in batches]
+        at, came = (np.concatenate(x) for x in zip(*pieces))
+        place = np.argsort(at, kind="stable")
+        at, seen = at[place], np.concatenate([before, came[place]])
+        same = np.zeros(len(seen) + 1, np.int64)  # how many of the first tokens equal the one a run before
+        same[run + 1 :] = np.cumsum(seen[run:] == seen[:-run]) if len(seen) > run else 0
+        for i in range(0, len(at), 10_000):
+            ends = np.arange(i, min(i + 10_000, len(at)))
+            upto = ends + len(before) + 1
+            repeats = same[upto] - same[np.maximum(upto - 2 * run, 0)] == 2 * run
+            yield pd.DataFrame({key: k[0], order: at[ends], "tokens": n + 1 + ends, "repeats": repeats})
+        names = list(codes)
+        state.update((n + len(at), [names[c] for c in seen[-3 * run :]]))
 
     kind, at = stream.schema[key].dataType.simpleString(), stream.schema[order].dataType.simpleString()
     return stream.select(key, order, token).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} {at}, tokens bigint, repeats boolean", "n bigint, last array<string>", "append", GroupStateTimeout.NoTimeout)
@@ -125,15 +136,19 @@ def late(events: DataFrame, order: str, at: str, delay_seconds: int) -> DataFram
 
 
 def drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], path: str, schema, name: str, checkpoint: str, mode: str = "append", files: int | None = 4) -> DataFrame:
-    """Runs make over the Parquet files at path as a stream until all are read, and gives what it wrote to a memory table. For tests and small results.
+    """Runs make over the Parquet files at path as a stream until all are read, and gives what it wrote.
 
+    In mode append rows go to a Parquet table beside the checkpoint; other modes keep theirs, small ones, in a memory table.
     files: how many make a micro-batch; None: all are one, as is due where order counts, for files have none.
     """
     source = spark.readStream.schema(schema)
-    stream = (source if files is None else source.option("maxFilesPerTrigger", files)).parquet(path)
-    query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    made = make((source if files is None else source.option("maxFilesPerTrigger", files)).parquet(path))
+    out = made.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode != "append":
+        out.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    out.format("parquet").queryName(name).start(f"{checkpoint}-rows").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{checkpoint}-rows")
 
 
 def unrecorded(wanted: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:

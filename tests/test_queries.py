@@ -68,7 +68,7 @@ def scattered(spark, tmp_path):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
 
 
-@pytest.mark.parametrize("name", ["run_events"])
+@pytest.mark.parametrize("name", ["run_events", "repetition_guard"])
 def test_keyed_streams_keep_the_order_of_scattered_files(spark, scattered, name):
     import duckdb
 
@@ -78,6 +78,24 @@ def test_keyed_streams_keep_the_order_of_scattered_files(spark, scattered, name)
     assert bag(df.columns, df.collect()) == bag([d[0] for d in found.description], found.fetchall())
 
 
+def test_rows_of_an_appending_stream_are_not_kept_in_the_driver(spark):
+    plan = registry.QUERIES["repetition_guard"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "Memory" not in plan
+
+
+def test_a_guard_goes_on_over_micro_batches(spark, tmp_path):
+    """Two runs of a query by one checkpoint; a token may be null, as may a key."""
+    from loomline.streaming import stateful as R
+
+    tokens = ["ab"[n // 3 % 2] if n > 20 else None if n % 8 == 3 else "abcdefgh"[n % 8] for n in range(50)] + list("abcdefgh") * 4
+    for part, (a, b) in enumerate([(0, 27), (27, 60), (60, len(tokens))]):
+        rows = [(k, n, tokens[n]) for k in (1, None) for n in reversed(range(a, b))]
+        spark.createDataFrame(rows, "k bigint, n bigint, t string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        df = R.drained(spark, lambda s: R.guarded(s, "k", "n", "t"), f"{tmp_path}/in", "k bigint, n bigint, t string", f"guard{part}", f"{tmp_path}/at", files=None)
+    want = [(k, n, n + 1, n >= 23 and tokens[n - 23 : n - 15] == tokens[n - 15 : n - 7] == tokens[n - 7 : n + 1]) for k in (1, None) for n in range(len(tokens))]
+    assert any(w[3] for w in want) and sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_the_entry_works_without_the_subpackage(tmp_path):
     import pathlib
     import shutil
