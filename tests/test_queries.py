@@ -53,6 +53,18 @@ def test_length_matched_takes_long_documents(spark, tmp_path):
     assert sorted((r["place"], r["match_id"]) for r in got) == [(0, 4), (1, 3), (2, 6)]
 
 
+def test_length_matching_holds_no_texts_and_only_the_first_of_each_pool(spark):
+    from loomline.operators import joins as J
+
+    targets = spark.createDataFrame([("p", n, t) for n, t in enumerate(["x" * 9, "yy", " SAME ", "z" * 5, "w", "v"])] + [("q", 0, None)], "profile string, place bigint, text string")
+    pool = [("p", "neutral", n, 10 + n, t) for n, t in enumerate(["same", "m" * 7, "n" * 11, "o" * 9])] + [("p", "other", n, 20 + n, t) for n, t in enumerate(["", "abcd", "ab", "abcde", "ef"])]
+    df = J.length_matched(targets, spark.createDataFrame(pool + [("q", "neutral", 0, 30, None), ("q", "neutral", 1, 31, "k")], "profile string, kind string, place bigint, id bigint, text string"), most=3)
+    assert sorted(map(tuple, df.collect())) == [("p", 0, 11), ("p", 1, 22), ("p", 2, 12), ("p", 3, 21), ("p", 4, 10), ("p", 5, 20), ("q", 0, 31)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    held = [x for x in plan if "FlatMapCoGroups" in x]
+    assert held and not any("text" in x for x in held)
+
+
 def test_html_text_of_cut_and_odd_references(spark, tmp_path):
     import duckdb
 
