@@ -65,6 +65,61 @@ def test_length_matching_holds_no_texts_and_only_the_first_of_each_pool(spark):
     assert held and not any("text" in x for x in held)
 
 
+def test_length_matched_takes_candidates_beyond_the_first_two_thousand(spark, tmp_path):
+    spark.range(5000).selectExpr("id AS doc_id", "repeat('a', CAST(10 + id % 7 AS INT)) AS text").unionByName(
+        spark.createDataFrame([(9000, "b" * 90), (9001, "c" * 80), (9003, "d" * 81)], "doc_id bigint, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "x" * 100), (1, "y" * 80), (2, "a" * 10), (3, "z" * 80)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["length_matched"](spark, str(tmp_path)).collect()
+    assert sorted((r["place"], r["match_id"]) for r in got) == [(0, 9000), (1, 9001), (2, 8), (3, 9003)]
+
+
+def nearest_unused(targets, pool):
+    """length_matched in plain Python: the reference's loop over whole pools. Targets of one place go by length, then digest."""
+    from hashlib import sha256
+
+    last, out = lambda v: (v is None, v or 0), []
+    turn = lambda t: (last(t[1]), len(t[2] or ""), sha256((t[2] or "").strip().lower().encode()).hexdigest())
+    for p in {t[0] for t in targets}:
+        taken = set()
+        for i, (_, place, text) in enumerate(sorted((t for t in targets if t[0] == p), key=turn)):
+            mine = [r for r in pool if r[0] == p and r[1] == ("neutral", "other")[i % 2] and r[3] not in taken and (r[4] or "").strip().lower() != (text or "").strip().lower()]
+            if mine:
+                best = min(mine, key=lambda r: (abs(len(r[4] or "") - len(text or "")), last(r[2]), last(r[3])))[3]
+                taken.add(best)
+                out.append((p, place, best))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_length_matching_is_that_of_the_loop_over_whole_pools(spark, seed):
+    """Repeated, shared and null ids, copies of targets with other spaces, crowded and empty lengths, targets without rows."""
+    import random
+
+    from loomline.operators import joins as J
+
+    x = random.Random(seed)
+    words = [c * n for c in "aB" for n in (0, 1, 3, 9)] + [" a ", "b  ", "\u0130", "cd" * 40]
+    text = lambda: x.choice([None, *words]) if x.random() < 0.4 else x.choice("mn") * int(x.paretovariate(0.7))
+    targets = [(p, n if n % 9 else None, text() if seed % 2 else x.choice(words[:3])) for p, many in (("p", 60), ("q", 7), (None, 5), ("r", 2)) for n in range(many)]
+    targets = [t for k, t in enumerate(targets) if t[1] is not None or k % 9 == 0]
+    big = 1 << 60
+    pool = [(p, x.choice(["neutral", "other", "else", None]), x.choice([None, x.randrange(300)]), x.choice([None, big + x.randrange(ids)]), text()) for p, many, ids in (("p", 1500, 900), ("q", 40, 5), (None, 30, 30), ("s", 9, 9)) for _ in range(many)]
+    df = J.length_matched(spark.createDataFrame(targets, "profile string, place bigint, text string"), spark.createDataFrame(pool, "profile string, kind string, place bigint, id bigint, text string"))
+    assert sorted(map(tuple, df.collect()), key=repr) == nearest_unused(targets, pool)
+
+
+def test_length_matching_hands_over_only_rows_that_may_be_chosen(spark):
+    from loomline.operators import joins as J
+
+    targets = spark.range(20).selectExpr("'p' AS profile", "id AS place", "repeat('x', CAST(50 * id AS INT)) AS text")
+    pool = spark.range(30000).selectExpr("'p' AS profile", "IF(id % 2 = 0, 'neutral', 'other') AS kind", "id AS place", "id", "repeat('a', CAST(IF(id % 3 = 0, 700, id % 1000) AS INT)) AS text")
+    plan = J.length_matched(targets, pool)._jdf.queryExecution().optimizedPlan()
+    while "FlatMapCoGroups" not in plan.nodeName():
+        plan = plan.children().head()
+    offered = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.children().last()).count()
+    assert 20 <= offered <= 5 * 20 * 20
+
+
 def test_html_text_of_cut_and_odd_references(spark, tmp_path):
     import duckdb
 
